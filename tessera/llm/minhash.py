@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Words, chunks, mix, runs, settle
@@ -105,7 +105,7 @@ def _verify(percent: int):
     return verify
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int, each: int = 1000) -> DataFrame:
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int, each: int = 250) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. The pairs of one a are salted into parts of about so many rows."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / each).cast("int").alias("parts"))
@@ -131,13 +131,80 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return label
 
 
+#: Texts in a block, of which two meet in a task.
+BLOCK = 256
+
+
+def _cross(percent: int):
+    def judge(c: list[int], items: list[np.ndarray], ids: list[int], side: list[int], same: bool) -> list[tuple[int, int]]:
+        component, n = np.array(c), np.array([len(x) for x in items])
+        if (component == component[0]).all():
+            return []
+        owner, flat = np.repeat(np.arange(len(items)), n), np.concatenate(items)
+        _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = count[column] > 1
+        owner, column = owner[shared], (np.cumsum(count > 1) - 1)[column[shared]]
+        both = np.zeros((len(items), len(items)), np.float32)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        step = 4096
+        for k in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+            x, y = np.searchsorted(column, [k, k + step])
+            m = np.zeros((len(items), step), np.float32)
+            m[owner[x:y], column[x:y] - k] = 1
+            both += m @ m.T
+        linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (component[:, None] != component[None, :]) & (np.arange(len(items))[:, None] < np.arange(len(items))[None, :])
+        if not same:
+            linked &= np.array(side)[:, None] != np.array(side)[None, :]
+        return [(ids[i], ids[j]) for i, j in zip(*np.nonzero(linked), strict=True)]
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by pair of blocks."""
+        key, held = None, ([], [], [], [])
+
+        def done() -> pa.RecordBatch:
+            got = judge(*held, key[1] == key[2]) if held[0] else []
+            for x in held:
+                x.clear()
+            return pa.record_batch([pa.array([g[i] for g in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("cluster", "p", "q")), strict=True)
+            at, items = batch.column("items").offsets.to_numpy(), batch.column("items").values.to_numpy()
+            rest = zip(*(batch.column(c).to_pylist() for c in ("component", "id", "block")), strict=True)
+            for k, (own, (c, id_, block)) in enumerate(zip(keys, rest, strict=True)):
+                if own != key and held[0]:
+                    yield done()
+                key = own
+                for x, v in zip(held, (c, items[at[k] : at[k + 1]].copy(), id_, block), strict=True):
+                    x.append(v)
+        if held[0]:
+            yield done()
+
+    return cross
+
+
+def across(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components among texts that share buckets. near: (least, rep, component), least being the first text of
+    a bucket. Buckets that share texts are clusters; a cluster is dealt into blocks, and all pairs of blocks meet, so that a task
+    holds two blocks however large a cluster is, and only links leave it."""
+    cluster = components(near.filter("least != rep"), "least", "rep")
+    texts = near.select(F.col("rep").alias("id"), "component").distinct().join(cluster.withColumnRenamed("component", "cluster"), "id")
+    blocks = texts.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = texts.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    held = dealt.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = held.select("cluster", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "id", "component", "block", "items")
+    n = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "cluster", "p", "q").sortWithinPartitions("cluster", "p", "q").mapInArrow(_cross(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Every row with n_shingles, component_id and kept: documents are linked where 100 * intersection >= percent * union
     of their sets of distinct 5-word shingles, words lower-cased in A-Z; component_id is the smallest doc_id reachable.
 
     Texts of equal words are one class, and only its smallest doc_id is sketched further. Bands name candidates: the
     members of a bucket are confirmed on full sets against its least, then its greatest member; where a bucket still joins different
-    components, its other pairs across components are checked too, so that no link found by the bands is lost. A null or wordless
+    components, its texts are checked against one another in blocks, so that no link found by the bands is lost. A null or wordless
     text is empty and linked with nothing; a null doc_id takes no part (component_id null, kept). Repeated
     rows share their fate. An empty table gives no rows; extra columns are ignored."""
     docs = docs.select("doc_id", "text")
@@ -146,39 +213,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = settle(active.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = active.join(classes.withColumnRenamed("rep", "doc_id"), ["c1", "c2", "doc_id"]).dropDuplicates(["doc_id"])
     spread = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "hash"))
-    shared = spread.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high")
-    members = settle(spread.join(shared, ["band", "hash"]), "members")
+    shared = spread.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").select("band", "hash")
+    members = settle(spread.join(shared, ["band", "hash"]).select("band", "hash", "rep"), "members")
     involved = members.select(F.col("rep").alias("doc_id")).distinct()
     sets = settle(docs.join(involved, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, items array<long>"), "sets", "none")
     alone = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("u"))
     size = settle(sets.select("id", F.size("items").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u")).filter(f"100 * (n - u) >= {percent} * n"), "sizes")
 
-    def possible(a: str, b: str):
-        """u shingles of a text stand in no other text: they bound what two texts can share, and the least union."""
-        share = F.least(F.col(f"n{a}") - F.col(f"u{a}"), F.col(f"n{b}") - F.col(f"u{b}"))
-        return (100 * share >= percent * F.greatest(F.col(f"n{a}") + F.col(f"u{b}"), F.col(f"n{b}") + F.col(f"u{a}"))) & (F.col(a) != F.col(b))
-
     def sized(x: str) -> DataFrame:
         return size.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("u").alias(f"u{x}"))
 
-    def candidates(pairs: DataFrame) -> DataFrame:
-        return pairs.distinct().join(sized("a"), "a").join(sized("b"), "b").filter(possible("a", "b")).select("a", "b")
-
-    stars = settle(candidates(members.select(F.col("low").alias("a"), F.col("rep").alias("b")).unionByName(members.select(F.col("high").alias("a"), F.col("rep").alias("b")).filter("a != b"))), "stars")
+    def possible() -> Column:
+        """u shingles of a text stand in no other text: they bound what two texts can share, and the least union."""
+        share = F.least(F.col("na") - F.col("ua"), F.col("nb") - F.col("ub"))
+        return 100 * share >= percent * F.greatest(F.col("na") + F.col("ub"), F.col("nb") + F.col("ua"))
+
+    members = settle(members.join(size.select(F.col("id").alias("rep")), "rep"), "able")
+    ends = members.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high")
+    both = members.join(ends, ["band", "hash"])
+    stars = both.select(F.col("low").alias("a"), F.col("rep").alias("b")).filter("a != b").unionByName(both.filter("rep != low").select(F.col("high").alias("a"), F.col("rep").alias("b")).filter("a != b")).distinct()
+    stars = settle(stars.join(sized("a"), "a").join(sized("b"), "b").filter(possible()).select("a", "b"), "stars")
     links = settle(confirm(stars, sets, percent), "links")
     label = components(links)
     placed = members.join(label.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 != c1").select("band", "hash")
-    rest = settle(placed.join(mixed, ["band", "hash"]).filter("rep != low and rep != high").join(size.withColumnRenamed("id", "rep"), "rep").select("band", "hash", "rep", "component", "n", "u"), "rest")
-    one, two = ([F.col("rep").alias(x), F.col("component").alias(f"c{x}"), F.col("n").alias(f"n{x}"), F.col("u").alias(f"u{x}")] for x in "ab")
-    key = ["band", "hash"]
-    l, r = rest.select(*key, *one).alias("l"), rest.select(*key, *two).alias("r")
-    pairs = l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.hash") == F.col("r.hash")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & possible("a", "b")).select("a", "b").distinct()
-    # a pair checked with either end as the centre needs no second check
-    done = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    left = settle(pairs.join(done, ["a", "b"], "left_anti"), "left")
-    if left.limit(1).count():
-        label = components(links.unionByName(confirm(left, sets, percent)))
+    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("least")).filter("c0 != c1").select("band", "hash", "least")
+    near = settle(placed.join(mixed, ["band", "hash"]).select("least", "rep", "component").distinct(), "mixed")
+    if near.limit(1).count():
+        label = components(links.unionByName(across(near, sets, percent)))
     placed = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
     out = slim.drop("bands").join(placed, ["c1", "c2"], "left")
     least = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
