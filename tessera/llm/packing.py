@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +23,31 @@ GROUP = 256
 MEMORY = 1_000_000
 
 
+first = itemgetter(0)
+
+
 class Tokens:
     """Ids of texts as little-endian 32-bit bytes. No token spans white space or two of the tokenizer's own pieces (letters, one digit, other
-    characters), so texts of ASCII and Latin-1 letters are looked up word by word, new words piece by piece, and the
-    tokenizer gets the new pieces; any other text goes to the tokenizer whole."""
+    characters), so texts of ASCII and Latin-1 letters are lower-cased and looked up word by word, new words piece by piece. The merges
+    of new pieces come from the same file's model, without the steps before it, which change nothing about such a piece;
+    any other text goes to the tokenizer whole."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        model = json.loads(self.tokenizer.to_str())["model"]
+        # without the library's own cache, which costs more than it saves on pieces that are all new
+        self.merges = Tokenizer(models.BPE(vocab=model["vocab"], merges=[tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0))
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        # byte-level models spell each byte as a character: printable ones as themselves, the nth other one as 256 + n; of the
+        # lower-case letters of Latin-1 only these bytes are such
+        shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        rest = [b for b in range(256) if b not in shown]
+        self.spell = [(chr(b), chr(256 + rest.index(b))) for b in (0x9F, 0xA0, 0xAD)]
         self.other = re.compile("[^\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|").search
         self.split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+").findall
+        self.odd = re.compile("[^a-z0-9\xdf-\xf6\xf8-\xff\\s][.,]|[.,]\\S").search
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -44,7 +61,11 @@ class Tokens:
         """Ids of new pieces: encoded many at a time and told apart by the tokens that end a piece."""
         for k in range(0, len(parts), 512):
             some = parts[k : k + 512]
-            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            text = " ".join(some)
+            text = text.encode().decode("latin-1")
+            for byte, c in self.spell:
+                text = text.replace(byte, c)
+            ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some) and cut[-1] == len(ids):
                 raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
@@ -52,15 +73,19 @@ class Tokens:
             else:
                 self.parts.update(zip(some, self._whole(some), strict=True))
 
+    def _words(self, text: str) -> list[str]:
+        """Words; with every stop and comma between a letter and a space, these are words of their own, as they are pieces of their own."""
+        return text.split() if self.odd(text) else text.replace(".", " .").replace(",", " ,").split()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         words, parts = self.words, self.parts
         if len(words) > MEMORY:
             words.clear()
         if len(parts) > MEMORY:
             parts.clear()
-        plain = [None if self.other(t) else t.split() for t in texts]
+        plain = [None if self.other(t) else self._words(t.lower()) for t in texts]
         new = list(set().union(*filter(None, plain)).difference(words))
-        split = list(map(self.split, map(str.lower, new)))
+        split = list(map(self.split, new))
         self._learn(list(set().union(*split).difference(parts)))
         get = parts.__getitem__
         words.update(zip(new, [b"".join(map(get, own)) for own in split], strict=True))
@@ -94,8 +119,6 @@ def _pieces(path: str, end_id: int, size: int):
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
     """Karmarkar-Karp for k parts: item numbers by part. Each item starts as a partial partition of its own; again and again the two with the
     widest spread are merged, the largest part of one onto the smallest of the other."""
-    import heapq
-
     heap = [(-s, i, (s,), (i,)) for i, s in enumerate(sizes)]  # sums in descending order, zeros left out; parts as nested pairs
     heapq.heapify(heap)
     fresh = len(sizes)
@@ -112,7 +135,7 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
             for j in range(len(b)):
                 i = free + j
                 rows.append((a[i] + up[j], (pa_[i], pup[j])) if i < len(a) else (up[j], pup[j]))
-        rows.sort(key=lambda r: -r[0])
+        rows.sort(key=first, reverse=True)
         sums, parts = tuple(r[0] for r in rows), tuple(r[1] for r in rows)
         spread = sums[0] - (sums[-1] if len(sums) == k else 0)
         heapq.heappush(heap, (-spread, fresh, sums, parts))
@@ -188,5 +211,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2)
     tails = cut.filter(F.col("length") < capacity).count()
     n = max(1, -(-tails // GROUP))
     dealt = cut.withColumn("batch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n)))
-    parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4))
+    parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return dealt.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_place(capacity), ", ".join(f"{f.name} long" for f in OUT))
