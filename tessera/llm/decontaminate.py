@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Words, chunks, flat, mix, runs
 
 #: Steps of a walk, of which FIRST on all windows; sampled steps of a key, and keys. An item of w words is met through w
-#: windows and KEYS keys each, of which one must survive the edits: with a tenth of the characters edited a window
-#: survives with probability over 0.1, an item of 25 words is missed with probability under 0.01.
-STEPS, FIRST, SAMPLED, KEYS = 56, 24, 14, 2
+#: windows and KEYS keys each, of which one must survive the edits: a walk of 44 steps reads about 22 characters, so with a
+#: tenth of the characters edited a window survives with probability over 0.1 and an item of 25 words is missed with
+#: probability under 0.05 by one key and far less by three.
+STEPS, FIRST, SAMPLED, KEYS = 44, 14, 14, 3
 #: Characters of text that a window needs, and of an item below which it must match exactly.
-NEED = 40
+NEED = 24
 #: Bytes of items in one index: more items make more passes.
 BLOCK = 16 << 20
 
@@ -25,6 +26,7 @@ _rng = mix(np.arange(STEPS * 256, dtype=np.uint64), 41).reshape(STEPS, 256)
 #: Whether the walk moves on after step s at byte c.
 MOVE = (_rng & np.uint64(1)).astype(np.int64)
 SAMPLES = [np.sort(np.argsort(mix(np.arange(STEPS, dtype=np.uint64), 50 + k))[:SAMPLED]).tolist() for k in range(KEYS)]
+ODD = np.uint64(0xD6E8FEB86659FD93)
 BYTES = mix(np.arange(256, dtype=np.uint64), 42)
 PLAIN = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
 
@@ -42,9 +44,11 @@ def walk(buf: np.ndarray, at: np.ndarray, keys: list[np.ndarray], steps: range)
     added to the keys in place."""
     for s in steps:
         c = buf[at]
-        for k, own in enumerate(SAMPLES):
-            if s in own:
-                keys[k] = mix(keys[k] ^ BYTES[c], s)
+        if own := [k for k, sample in enumerate(SAMPLES) if s in sample]:
+            code = BYTES[c]
+            for k in own:
+                keys[k] ^= code
+                keys[k] *= ODD
         at = at + MOVE[s][c]
     return at
 
@@ -58,6 +62,7 @@ class Index:
         end = words.at[words.begin[1:]] if len(words.doc) else np.zeros(len(ids), np.int64)
         begin = words.at[words.begin[:-1]]
         self.items = [words.bytes[x : y - 1].tobytes() for x, y in zip(begin, np.maximum(end, begin + 1), strict=True)]
+        self.grams = [grams(x) for x in self.items]
         size = end - begin
         start = np.flatnonzero((words.at[:-1] + NEED <= end[words.doc]) if len(words.doc) else [])
         buf = np.append(words.bytes, np.full(STEPS, 32, np.uint8))
@@ -130,6 +135,18 @@ def distance(item: bytes, text: bytes, most: int) -> int:
     return best if best <= most else most + 1
 
 
+def grams(text: bytes) -> np.ndarray:
+    """All runs of four bytes, as numbers."""
+    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 4).copy().view("<u4").ravel() if len(text) > 3 else np.zeros(0, np.uint32)
+
+
+def near(item: bytes, item_grams: np.ndarray, text: bytes, most: int) -> int:
+    """distance(), but most + 1 at once where too few of the item's runs of four stand in the text: an edit breaks at most four."""
+    if len(item_grams) and np.isin(item_grams, grams(text)).sum() < len(item_grams) - 4 * most:
+        return most + 1
+    return distance(item, text, most)
+
+
 def _scan(index: Index, ratio: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,7 +161,7 @@ def _scan(index: Index, ratio: float):
                     done = low - 1
                     for p in sorted(places) if best else ():
                         if p - most > done or done < low:  # places near one another are read together
-                            best = min(best, 0 if words.bytes[max(p, low) : p + len(item)].tobytes() == item else distance(item, words.bytes[max(low, p - 2 * most) : min(high, p + len(item) + 3 * most)].tobytes(), most))
+                            best = min(best, 0 if words.bytes[max(p, low) : p + len(item)].tobytes() == item else near(item, index.grams[i], words.bytes[max(low, p - 2 * most) : min(high, p + len(item) + 3 * most)].tobytes(), most))
                             done = p + most
                         if not best:
                             break
@@ -178,7 +195,7 @@ def contamination(docs: DataFrame, items: DataFrame, ratio: float = 0.15) -> Dat
 
     Windows of a text begin at each of its words. Random walks (CGK) turn windows into strings whose Hamming distance is
     bounded by their edit distance; keys of sampled steps meet those of the items' windows; each pair of text and item that
-    meets is verified exactly. Items of at most 40 characters must match word for word. Texts never travel; a null or empty
+    meets is verified exactly. Items of at most NEED characters must match word for word. Texts never travel; a null or empty
     text holds no item; null or empty items are held by no text; equal items are all reported; null and repeated ids stay rows of their own;
     no rows give no rows; extra columns are ignored."""
     docs = docs.select("doc_id", "text")

@@ -96,11 +96,9 @@ def redact(text: Column) -> Column:
 def redact_found(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """docs with the texts redacted whose blobs have findings of base rules; n_chars, where there is one, becomes the new length. All rows and
     columns stay."""
-    found = findings.filter(F.exists("spans", lambda s: s["kind"].isin(BASE))).select(F.col("blob").alias("_blob")).distinct()
-    key = F.sha2(F.coalesce("text", F.lit("")), 256)
-    marked = docs.withColumn("_key", key).join(found, F.col("_key") == F.col("_blob"), "left")
-    out = marked.withColumn("text", F.when(F.col("_blob").isNotNull(), redact(F.col("text"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_blob").isNotNull(), F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+    found = findings.filter(F.exists("spans", lambda s: s["kind"].isin(BASE))).select(F.col("blob").alias("found")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
+    hit, text = F.col("found").isNotNull(), redact(F.col("row")["text"])
+    marked = rows.join(found, F.col("key") == F.col("found"), "left").withColumn("new", F.when(hit, text))
+    put = {"text": F.col("new")} | ({"n_chars": F.char_length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return marked.select(*[(F.when(hit, put[c]).otherwise(F.col("row")[c]) if c in put else F.col("row")[c]).alias(c) for c in docs.columns])

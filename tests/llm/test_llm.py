@@ -1,0 +1,435 @@
+"""The training-data operators: against brute force, exact round trips and held-out accuracy, and on awkward rows."""
+
+import base64
+import hashlib
+import io
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import common, decontaminate, licenses, minhash, packing, quality, queries, secrets, substrings, tokencount, topk, warc
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile("[^ \t-\r]+")
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+CLASH = ["spans", "items", "bucket", "blob", "a", "b", "rank", "component_id", "kept", "_key", "found", "row", "batch", "digest", "text_hash", "p_quality"]
+
+
+def words_of(n, seed, vocabulary=400):
+    r = random.Random(seed)
+    return [f"w{r.randrange(vocabulary)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Nulls in every column, empty and long texts, repeated rows and ids, ties, clashing names."""
+    long = " ".join(words_of(30000, 1, 50000))
+    rows = [
+        (1, None, None, None, None), (2, "", "en", "s", 0), (3, "  \n\t ", "en", "s", 5), (4, "one", "en", "s", 3), (None, "no id here", "en", None, 10), (None, None, None, "s", None),
+        (5, long, "en", "s", len(long)), (6, long, "de", "s", len(long)), (7, "x" * 50000, "en", "s", 1), (8, "a b c d e f g", "en", "s", 13), (8, "a b c d e f g", "en", "s", 13), (9, "A B c d e f g", "en", "s", -4),
+        (10, "é ñ 漢字 🙂   \u0085   end", "xx", "s", 7), (11, "<|endoftext|> and 'll don't", "en", "s", 7),
+    ]
+    df = spark.createDataFrame(rows, DOC)
+    return df.select("*", *[F.lit("clash").alias(c) for c in CLASH])
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def items(spark):
+    return spark.createDataFrame([(1, "some benchmark passage that is long enough to be met by windows of its words"), (2, None), (3, ""), (4, "one"), (1, "some benchmark passage that is long enough to be met by windows of its words")], "item_id long, text string")
+
+
+MODEL = {"▁": -3.0, "▁w": -2.0, "1": -2.5, "2": -2.5, "12": -3.0, "a": -4.0, "▁a": -3.0}
+
+
+def operators(spark):
+    path = queries.tokenizer("word_bpe_49k.json")
+    return {
+        1: lambda d: decontaminate.contamination(d, items(spark)), 2: lambda d: packing.pack(d, path), 3: licenses.license_scan, 5: substrings.remove_repeats, 6: lambda d: quality.score(d, None),
+        8: minhash.near_duplicates, 9: lambda d: tokencount.token_counts(d, MODEL), 10: lambda d: secrets.digest(secrets.scan(d)[0]),
+    }
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 8, 9, 10])
+def test_awkward_rows_have_results_and_empty_tables_none(spark, awkward, empty, n):
+    f = operators(spark)[n]
+    got = f(awkward).collect()
+    assert Counter(r[0] for r in got).keys() == {None, *range(1, 12)}
+    if n != 2:
+        assert len(got) == awkward.count()
+    assert f(empty).collect() == []
+
+
+def test_equal_rows_get_equal_results(spark, awkward):
+    for n, f in operators(spark).items():
+        got = [r for r in f(awkward).collect() if r[0] == 8]
+        assert len(got) == 2
+        if n != 2:
+            assert got[0] == got[1], n
+
+
+# 1
+
+
+def edited(text, n, rng):
+    t = list(text)
+    for _ in range(n):
+        i = rng.randrange(len(t))
+        t[i : i + 1] = rng.choice([[], ["q"], [t[i], "z"]])
+    return "".join(t)
+
+
+def test_decontamination_recall_and_precision(spark):
+    rng = random.Random(5)
+    texts = [" ".join(words_of(rng.randrange(12, 50), 100 + i, 5000)) for i in range(40)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    rows, truth = [], {}
+    for i in range(400):
+        body = words_of(200, 9000 + i, 5000)
+        if i % 2 == 0:
+            item = rng.randrange(40)
+            passage = edited(texts[item], int(0.06 * len(texts[item])), rng)
+            body[70:70] = [passage.upper() if i % 4 else passage]
+            truth[i] = item
+        rows.append((i, " ".join(body)))
+    got = {r.doc_id: r for r in decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    hit = sum(str(item) in got[i].item_ids.split(",") for i, item in truth.items())
+    assert hit >= 0.99 * len(truth)
+    assert not any(got[i].contaminated for i in range(1, 400, 2))
+
+
+def test_edit_distance_is_exact():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("ab c", k=rng.randrange(1, 12))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        assert decontaminate.distance(a.encode(), b.encode(), 99) == min(row)
+
+
+# 2
+
+
+def test_packing_is_exact_and_tight(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = queries.op2_pack(spark, SF).collect()
+    t = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    pieces = {}
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+    for doc_id, text in docs.select("doc_id", "text").collect():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for r in sorted(pieces.pop(doc_id), key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    assert not pieces
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    total = sum(r.length for r in got)
+    assert total / (4096 * len(sequences)) > 0.95
+
+
+def test_differencing_beats_greedy_and_raises_the_count():
+    assert sorted(sum([4, 5, 6, 7, 8][i] for i in p) for p in packing.differencing([4, 5, 6, 7, 8], 2)) == [14, 16]
+    rng = random.Random(3)
+    for _ in range(50):
+        sizes = [rng.randrange(1, 100) for _ in range(rng.randrange(1, 40))]
+        w = packing.windows(sizes, 100)
+        assert sorted(i for p in w for i in p) == list(range(len(sizes))) and all(sum(sizes[i] for i in p) <= 100 for p in w)
+    assert len(packing.windows([60, 60, 60], 100)) == 3
+
+
+def test_tokens_equal_the_tokenizers():
+    t = packing.Tokens(queries.tokenizer("word_bpe_49k.json"))
+    rng = random.Random(4)
+    pool = [*"aB 'srel<>|\n\t\x0b1é.,#ñß²ÿ÷×Σς\x1c\xa0🙂íà", "<|endoftext|>", "'ll", "'RE", "don't", ". ", ", "]
+    texts = ["".join(rng.choices(pool, k=rng.randrange(40))) for _ in range(5000)]
+    assert t(texts) == t._whole(texts)
+
+
+# 3, 10
+
+
+def test_license_digests(spark):
+    mit = licenses.KNOWN[-1][1]
+    rows = [(1, mit.upper()), (2, "Copyright (c) 2020 Someone\n\n" + mit.replace(",", " ;")), (3, mit + " no"), (4, "text\nReleased under the MIT Licence!\nmore\nLicensed under CC BY-NC 4.0."), (5, None)]
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, "CC-BY-NC-4.0,MIT"), 5: (None, "")}
+
+
+SECRET = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(text):
+    out = [(m.start(), 0, "assign", m.end()) for m in SECRET.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def test_secret_spans_match_brute_force(spark):
+    rng = random.Random(6)
+    bits = ["token", "TOKEN", "api_key", "ApiKey", "password", ":", "=", " ", '"', "'", "abc", "abcdef", "deadbeef" * 3, "AKIA", "AKIA" + "Z9" * 9, "é🙂", "\n", "secret", "-", "x"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(25))) for _ in range(1500)]
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))[0]).collect()}
+    for i, t in enumerate(texts):
+        spans = base_spans(t)
+        listed = ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
+        assert got[i].base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), t
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s[2] == k for s in spans) for k in secrets.BASE]
+
+
+def test_ledger_scans_only_unseen_blobs(spark):
+    a = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "plain")], "doc_id long, text string")
+    first, ledger = secrets.scan(a)
+    assert ledger.count() == 2
+    known = ledger.withColumn("spans", F.slice("spans", 1, 0))  # what is known is not scanned again
+    b = a.union(spark.createDataFrame([(4, "secret: abcdefgh")], a.schema))
+    second, ledger2 = secrets.scan(b, known)
+    assert {r.doc_id: len(r.spans) for r in second.collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
+    assert ledger2.count() == 3
+    again, _ = secrets.scan(b, known, version=2)
+    assert {r.doc_id: len(r.spans) for r in again.collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
+
+
+def test_redaction_keeps_rows_and_columns(spark, awkward):
+    rows = awkward.unionByName(awkward.limit(1).withColumns({"doc_id": F.lit(99).cast("long"), "text": F.lit("my token=abcdefgh and token=abc")}))
+    out = secrets.redact_found(rows, secrets.scan(rows)[0])
+    assert out.columns == rows.columns and out.count() == rows.count()
+    assert out.filter("doc_id = 99").first()["text"] == "my <secret:assign> and token=abc"
+    assert out.filter("doc_id = 99").first()["n_chars"] == len("my <secret:assign> and token=abc")
+
+
+# 4
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://a", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u u", None), (4, "u", ""), (None, "u", "<p>x</p>"), (5, "u", "é" * 70000), (6, "u", "\r\n\r\nWARC/1.1\r\n"), (6, "u", "\r\n\r\nWARC/1.1\r\n")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).withColumn("largest", F.lit(1)).withColumn("refers_to", F.lit(7))
+    got = sorted(warc.read_archives(warc.write_archives(pages)).collect(), key=lambda r: (r.page_id is None, r.page_id))
+    assert [(r.page_id, r.record_type, r.refers_to) for r in got] == [(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (6, "response", None), (6, "response", None), (None, "revisit", 2)]
+    html = {1: "<p>x</p>", 2: "<p>x</p>", 3: "", 4: "", 5: "é" * 70000, 6: "\r\n\r\nWARC/1.1\r\n"}
+    for r in got[:-1]:
+        raw = html[r.page_id].encode()
+        assert r.payload_bytes == len(raw) and r.payload_digest == base64.b32encode(hashlib.sha1(raw).digest()).decode()
+    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+
+
+def test_warc_reader_rejects_damage():
+    one = warc.record("response", "u", "1", b"payload", warc.digest32(b"payload"))
+    assert [warc.parse(m)[1] for m in warc.members(io.BytesIO(one * 3), 7)] == [b"payload"] * 3
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.members(io.BytesIO(one[:-5])))
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse(next(warc.members(io.BytesIO(warc.record("response", "u", "1", b"payloaX", warc.digest32(b"payload"))))))
+
+
+# 5
+
+
+def test_repeats_match_brute_force(spark):
+    rng = random.Random(8)
+    passage = words_of(60, 77)
+    texts = []
+    for i in range(60):
+        body = words_of(rng.randrange(0, 150), i, 3)
+        if i % 3 == 0:
+            body[10:10] = passage[rng.randrange(20) :]
+        texts.append(rng.choice([" ", "\n", " \t "]).join(body))
+    texts += [texts[3], "z " * 100, None, " ".join(["q"] * 36)]
+    for width in (35, 5):
+        got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width, True).collect()}
+        split = [WORD.findall(t or "") for t in texts]
+        seen = Counter(tuple(w[i : i + width]) for w in split for i in range(len(w) - width + 1))
+        for d, w in enumerate(split):
+            gone = {j for i in range(len(w) - width + 1) if seen[tuple(w[i : i + width])] > 1 for j in range(i, i + width)}
+            text = " ".join(x for j, x in enumerate(w) if j not in gone)
+            assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256, got[d].kept_text) == (len(w), len(gone), hashlib.sha256(text.encode()).hexdigest(), text)
+
+
+# 6
+
+
+def test_quality_held_out_accuracy(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    odd = F.pmod(F.xxhash64("doc_id", F.lit("split")), F.lit(2)) == 1
+    model = quality.train(docs, labels.filter(odd))
+    got = quality.score(docs, model).join(labels.filter(~odd), "doc_id")
+    r = got.agg(F.avg((F.col("keep") == (F.col("quality") == 1)).cast("double")).alias("acc"), F.avg(F.when(F.col("quality") == 1, F.col("keep").cast("double"))).alias("kept")).first()
+    assert r.acc > 0.97 and r.kept > 0.98
+    assert model.held_out["exchanged"][1] > 0
+
+
+def test_quality_needs_two_classes(spark, awkward, empty):
+    labels = spark.createDataFrame([(4, 1, 0), (4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert quality.train(awkward, labels) is None
+    assert quality.train(empty, labels) is None
+    assert quality.keep_good(awkward, None).columns == awkward.columns
+
+
+# 7
+
+
+def test_top_k_matches_brute_force(spark):
+    rng = np.random.default_rng(1)
+    v = np.round(rng.normal(size=(350, 6)), 2).astype(np.float32)
+    v[100:220] = v[100]  # a hot vector: ties
+    rows = [(int(i), [float(x) for x in r]) for i, r in enumerate(v)]
+    bad = [(900, None), (1000, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (1100, [float("nan")] * 6), (1200, [float("inf")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").repartition(5).withColumn("query_id", F.lit(1))
+    whole = np.floor(1024 * v.astype(float)).astype(np.int64)
+    for k in (10, 400):
+        got = {}
+        for r in topk.top_k(df, df.filter("vec_id % 100 = 0"), k).collect():
+            got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+        assert set(got) == {0, 100, 200, 300}
+        for q, ranked in got.items():
+            s = whole @ whole[q]
+            order = sorted((i for i in range(350) if i != q), key=lambda i: (-s[i], i))[:k]
+            assert [ranked[i + 1] for i in range(len(order))] == [(i, int(s[i])) for i in order]
+    assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
+    big = np.array([[2**40, 3]]), np.array([[2**20, 5]])
+    assert topk.scores(*big)[0, 0] == 2**60 + 15
+
+
+# 8
+
+
+def shingle_set(text):
+    w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_components_match_brute_force(spark):
+    rng = random.Random(9)
+    texts = []
+    for g in range(12):
+        base = words_of(rng.randrange(8, 300), g, 5000)
+        for _ in range(rng.randrange(1, 30)):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + len(own) // 40)):
+                own[rng.randrange(len(own))] = f"e{rng.random()}"
+            texts.append(" ".join(own))
+    texts += ["", None, "a b", "A  b", "c"]
+    rng.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    least = list(range(len(texts)))
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 100 * both >= 85 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                least[y] = x
+    got = {r.doc_id: r for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, a in enumerate(sets):
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(a), find(i), find(i) == i)
+
+
+def test_sketches_fill_and_estimate():
+    rng = np.random.default_rng(3)
+    d = np.repeat([0, 1, 2], [3, 400, 400])
+    common_ = rng.integers(0, 2**63, 340, dtype=np.uint64)
+    x = np.concatenate([rng.integers(0, 2**63, 3, dtype=np.uint64), common_, rng.integers(0, 2**63, 60, dtype=np.uint64), common_, rng.integers(0, 2**63, 60, dtype=np.uint64)])
+    s = minhash.sketch(d, x, 4)
+    assert (s[:3] != minhash.EMPTY).all() and (s[3] == minhash.EMPTY).all()
+    assert abs((s[1] == s[2]).mean() - 340 / 460) < 0.15
+
+
+# 9
+
+
+def best_tokens(word, model, unknown):
+    text = tokencount.MARK + word
+    best = [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        options = [(best[end - 1][0] + unknown, -(-best[end - 1][1] + len(text[end - 1].encode())))]
+        options += [(best[start][0] + model[text[start:end]], best[start][1] - 1) for start in range(end) if text[start:end] in model]
+        best.append(max(options))
+    return -best[-1][1]
+
+
+def test_token_counts_match_brute_force(spark):
+    model = tokencount.zipf_model(queries.tokenizer("piece_bpe_32k.model"))
+    counter = tokencount.Counter(model)
+    text = " ".join(r.text for r in spark.read.parquet(f"{SF}/documents.parquet").limit(40).collect())
+    words = set(WORD.findall(text)) | {"", "漢字🙂", "aaaaaaa", "the"}
+    got = dict(counter.counts(words))
+    assert all(got[w] == best_tokens(w, model, counter.unknown) for w in words)
+    rows = [(1, "the the  cat x\x1cy"), (2, None), (3, " \n")]
+    out = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in tokencount.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    one = [best_tokens(w, model, counter.unknown) for w in ("the", "the", "cat x\x1cy")]
+    assert out == {1: (3, sum(one)), 2: (0, 0), 3: (0, 0)}
+
+
+def test_unigram_library_agrees_on_known_pieces():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    model = tokencount.zipf_model(queries.tokenizer("piece_bpe_32k.model"))
+    t = Tokenizer(models.Unigram([("<unk>", -1e3), *model.items()], 0))
+    t.pre_tokenizer = pre_tokenizers.Metaspace()
+    words = ["reading", "the", "international", "cats", "unbelievable"]
+    assert [len(t.encode(w).ids) for w in words] == [dict(tokencount.Counter(model).counts(words))[w] for w in words]
+
+
+# the pipeline
+
+
+def test_pipeline_against_its_parts(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = {}
+    for name, stage in cp.STAGES[:-1]:
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = common.settle(stage(spark, docs, SF), "test")
+        after = {r.doc_id: r for r in docs.collect()}
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and after.keys() <= before.keys()
+        kept[name] = (before, after)
+    before, after = kept["near-duplicates"]
+    sets = {i: shingle_set(r.text) for i, r in before.items()}
+    for i in before.keys() - after.keys():
+        assert any(100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in before if j != i)
+    left = list(after)
+    for n, i in enumerate(left):
+        assert not any(sets[i] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) for j in left[:n])
+    before, after = kept["decontamination"]
+    plain = lambda t: " ".join(re.findall(r"[^\W_]+", t.lower()))
+    bench = [plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    for i, r in before.items():
+        if any(f" {b} " in f" {plain(r.text)} " for b in bench):
+            assert i not in after
+    before, after = kept["secrets"]
+    assert before.keys() == after.keys()
+    for i, r in after.items():
+        assert (r.text == before[i].text) == (not base_spans(before[i].text))
+    assert {r.doc_id for r in cp.run(spark, SF).collect()} == set(after)
