@@ -40,6 +40,8 @@ def causal_features(panel: DataFrame, windows: Sequence[int] = (21, 63, 252), mo
     for w in windows:
         frame = fr.trailing(w, by, at)
         out = out.withColumn(f"_w{w}", fr.full(F.collect_list(x).over(frame), F.col(x), w, frame))
+        if smooth:
+            out = out.withColumn(f"_span{w}", F.datediff(F.col(at), F.lag(at, w - 1).over(fr.ordered(by, at))))
     out = out.filter(F.col(f"_w{windows[-1]}").isNotNull())
     now = F.col(x)
     greatest = lambda c, e: F.greatest(c, F.lit(e))
@@ -61,10 +63,9 @@ def causal_features(panel: DataFrame, windows: Sequence[int] = (21, 63, 252), mo
         six = _six(now, d[n] + now, d[n + 1], d[n + 2], sd, energies, greatest, F.abs, F.lit(0.0))
         new = {f"W{w}_{kind}": c for kind, c in six.items()}
         if smooth:
-            span = F.datediff(F.col(at), F.lag(at, w - 1).over(fr.ordered(by, at)))
-            new |= {f"W{w}_smooth": d[n] + now, f"W{w}_slope": d[n + 1] / F.nullif(span, F.lit(0))}
+            new |= {f"W{w}_smooth": d[n] + now, f"W{w}_slope": d[n + 1] / F.nullif(F.col(f"_span{w}"), F.lit(0))}
         out = out.withColumns(new).drop("_s", "_d", "_r", "_m")
-    return out.drop(*[f"_w{w}" for w in windows])
+    return out.drop(*[f"_{k}{w}" for w in windows for k in ("w", "span")])
 
 
 def _dot(a: Column, b: Column) -> Column:

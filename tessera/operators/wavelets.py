@@ -89,17 +89,20 @@ def product_coo(c: DataFrame, level_j: int, modes: int) -> DataFrame:
 
 
 def project(panel: DataFrame, level_j: int, modes: int, order: int | None = None, by: str = "asset", at: str = "dt", x: str = "close") -> DataFrame:
-    """(asset, cell, c array): batch projection of each series, linearly interpolated at the rule's nodes in each cell. An asset's nodes and
+    """(asset, cell, c array): batch projection of each series, linearly interpolated at the nodes in each cell, of which
+    there are twice as many as observations a cell, at least modes + 8 and at most 512. An asset's nodes and
     observations are merged by one sort: every node gets the observations around it."""
     t = F.unix_date(at).cast("double")
     w = W.partitionBy(by)
     s = panel.filter(F.col(x).isNotNull()).select(by, t.alias("t"), F.col(x).alias("s"))
     s = s.withColumn("tau", fr.ratio(F.col("t") - F.min("t").over(w), F.max("t").over(w) - F.min("t").over(w))).select(by, F.coalesce("tau", F.lit(0.0)).alias("tau"), "s")
-    q = order or modes + 8
     cells = 1 << level_j
-    rule_x, rule_w = b.quadrature(q)
-    per = F.array(*[F.struct(F.lit(n).alias("cell"), F.lit(float((v + 2 * n + 1) / (2 * cells))).alias("tau"), F.lit(float(v)).alias("u"), F.lit(float(g)).alias("g")) for n in range(cells) for v, g in zip(rule_x, rule_w, strict=True)])
-    grid = s.select(by).distinct().select(by, F.explode(per).alias("n")).select(by, "n.*")
+    own = s.groupBy(by).agg(F.count("*").alias("n"))
+    q = F.lit(order) if order else F.greatest(F.lit(modes + 8), F.least(F.lit(512), F.ceil(2 * F.col("n") / cells))).cast("int")
+    grid = own.withColumn("q", q).select(by, "q", F.explode(F.sequence(F.lit(1), F.col("q"))).alias("i"))
+    angle = F.col("i") * math.pi / (F.col("q") + 1)
+    grid = grid.select(by, F.cos(angle).alias("u"), (math.pi / (F.col("q") + 1) * F.sin(angle) * F.sin(angle)).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    grid = grid.withColumn("tau", (F.col("u") + 2 * F.col("cell") + 1) / (2 * cells))
     both = s.withColumns({"cell": F.lit(None).cast("int"), "u": F.lit(None).cast("double"), "g": F.lit(None).cast("double")}).unionByName(grid, allowMissingColumns=True)
     o = W.partitionBy(by).orderBy("tau", F.col("cell").isNotNull())
     back, ahead = o.rowsBetween(W.unboundedPreceding, 0), o.rowsBetween(0, W.unboundedFollowing)
@@ -116,16 +119,18 @@ def denoise_batch(panel: DataFrame, level_j: int, modes: int, keep_degree: int |
 
     Coefficients above keep_degree go; with kappa > 0 those of mode 1 up are shrunk ("soft") or cut ("hard") below kappa * noise * s_m *
     sqrt(2 ln N), where the noise comes from the first differences and s_m, the deviation of a coefficient under unit white noise,
-    from the closed form sqrt(sum w**2 U_m**2) of the rule instead of simulation."""
+    is the root mean square norm of the projection's rows over equidistant observations instead of a simulated one."""
     keep = modes - 1 if keep_degree is None else min(keep_degree, modes - 1)
     c = project(panel, level_j, modes, None, by, at, x).withColumn("c", F.transform("c", lambda v, m: F.when(m <= keep, v).otherwise(0.0)))
     if kappa > 0:
         from tessera.operators.stats import mad_sigma
 
-        rx, rw = b.quadrature(modes + 8)
-        spread = [float(np.sqrt(((rw * b.chebyshev_u(m, rx)) ** 2).sum()) * b.scale(level_j) / 2 ** (level_j + 1)) for m in range(modes)]
+        base = 32 << level_j
+        rows = (b.projector(base, modes, level_j, "chebyshev") ** 2).sum(1).reshape(-1, modes)
+        spread = np.sqrt(rows.mean(0) * base).tolist()  # times 1 / sqrt(observations)
         size = kappa * math.sqrt(2 * math.log(max(2, (1 << level_j) * modes)))
-        c = c.join(mad_sigma(panel, x, by, at), by)
+        count = panel.groupBy(by).agg(F.count(x).alias("_n"))
+        c = c.join(mad_sigma(panel, x, by, at).join(count, by).select(by, (F.col("sigma") / F.sqrt("_n")).alias("sigma")), by)
         lit = F.array(*[F.lit(size * s) for s in spread])
         shrunk = lambda v, m: F.when(m == 0, v).otherwise(F.signum(v) * F.greatest(F.lit(0.0), F.abs(v) - lit[m] * F.col("sigma")) if rule == "soft" else F.when(F.abs(v) >= lit[m] * F.col("sigma"), v).otherwise(0.0))
         c = c.withColumn("c", F.transform("c", shrunk)).select(by, "cell", "c")

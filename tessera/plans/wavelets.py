@@ -146,11 +146,10 @@ J, M = 3, 4
 
 
 def _project_sql() -> str:
-    x, w = b.quadrature(M + 8)
-    grid = ", ".join(f"({n}, {(v + 2 * n + 1) / 2 ** (J + 1)!r}::DOUBLE, {v!r}::DOUBLE, {g!r}::DOUBLE)" for n in range(1 << J) for v, g in zip(x.tolist(), w.tolist(), strict=True))
     f = b.scale(J) / 2 ** (J + 1)
     return f"""sp AS (SELECT asset, min(dt) AS lo, max(dt) AS hi FROM p GROUP BY asset), s AS (SELECT asset, dt, close, (dt - lo) / (hi - lo)::DOUBLE AS tau, (hi - lo)::DOUBLE AS span FROM p JOIN sp USING (asset)),
-nd AS (SELECT asset, cell, tau, u, g FROM sp, (VALUES {grid}) v(cell, tau, u, g)),
+nq AS (SELECT asset, greatest({M + 8}, least(512, ceil(2.0 * count(*) / {1 << J})))::INTEGER AS q FROM p GROUP BY asset), ni AS (SELECT asset, q, unnest(range(1, q + 1)) AS i FROM nq),
+nu AS (SELECT asset, cos(i * pi() / (q + 1)) AS u, pi() / (q + 1) * sin(i * pi() / (q + 1)) * sin(i * pi() / (q + 1)) AS g FROM ni), nd AS (SELECT asset, cell, u, g, (u + 2 * cell + 1) / {2 << J} AS tau FROM nu, (SELECT unnest(range({1 << J}))::INTEGER AS cell)),
 nb AS (SELECT nd.*, s.tau AS t0, s.close AS s0 FROM nd ASOF JOIN s ON nd.asset = s.asset AND nd.tau >= s.tau), na AS (SELECT nb.*, s.tau AS t1, s.close AS s1 FROM nb ASOF JOIN s ON nb.asset = s.asset AND nb.tau <= s.tau),
 y AS (SELECT asset, cell, u, g * coalesce(s0 + (s1 - s0) * ((tau - t0) / nullif(t1 - t0, 0)), s0) AS y FROM na),
 co AS (SELECT asset, cell, sum(y) * {f!r} AS c0, sum(y * 2 * u) * {f!r} AS c1, sum(y * (4 * u * u - 1)) * {f!r} AS c2, sum(y * (8 * u * u * u - 4 * u)) * {f!r} AS c3 FROM y GROUP BY 1, 2)"""

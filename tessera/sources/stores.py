@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMATS = ("json", "csv", "parquet")
+#: Values come back as they were, white space, quotes and line ends included.
+CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def append(df: DataFrame, path: str, kind: str = "json") -> None:
@@ -16,7 +18,7 @@ def append(df: DataFrame, path: str, kind: str = "json") -> None:
     if kind not in FORMATS:
         raise ValueError(f"format is one of {FORMATS}")
     w = df.write.mode("append")
-    (w.option("header", True) if kind == "csv" else w).format(kind).save(path)
+    (w.options(**CSV) if kind == "csv" else w).format(kind).save(path)
 
 
 def replay(spark: SparkSession, path: str, schema, kind: str = "json", order: list[str] | None = None) -> DataFrame:
@@ -24,7 +26,7 @@ def replay(spark: SparkSession, path: str, schema, kind: str = "json", order: li
     r = spark.read.schema(schema)
     if kind != "parquet":
         r = r.option("mode", "FAILFAST")
-    df = (r.option("header", True) if kind == "csv" else r).format(kind).load(path)
+    df = (r.options(**CSV) if kind == "csv" else r).format(kind).load(path)
     return df.orderBy(*order) if order else df
 
 
