@@ -34,8 +34,9 @@ def content(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     lines = np.bincount(doc[buf == 10], minlength=n_docs) + 1
     words = Words(buf, off, lower=True)
     n = np.diff(words.begin)
-    order = np.lexsort((words.hashes, words.doc))
-    h, d = words.hashes[order], words.doc[order]
+    hashes = words.hashes
+    order = np.lexsort((hashes, words.doc))
+    h, d = hashes[order], words.doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
     distinct = np.bincount(d[new], minlength=n_docs)
@@ -44,7 +45,8 @@ def content(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     marks = np.maximum(share.sum(1), 1)[:, None]
     ratios = share[:, 1:] / marks
     per = np.maximum(n, 1)
-    x = np.column_stack([ratios, np.sqrt(ratios), distinct / per, share.sum(1) / per, np.log1p(n), lines / per, long_ / per, n < 3])
+    stutter = np.bincount(words.doc[1:][(hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])], minlength=n_docs) / per
+    x = np.column_stack([ratios, np.sqrt(ratios), distinct / per, share.sum(1) / per, np.log1p(n), lines / per, long_ / per, n < 3, stutter, np.sqrt(stutter)])
     x[:, 15] = np.minimum(x[:, 15], 40)
     return x
 
