@@ -185,17 +185,20 @@ def _(spark, sf):
     return c.select("dt", *[fr.tidy(F.col(x)).alias(x) for x in ("gross", "turnover", "shorts", "vol_mult", "impact")], fr.tidy(F.col("borrow"), 9).alias("borrow"))
 
 
-@query("cost_sweep", f"""WITH $PW, $R, $F, {COST}, gr AS (SELECT *, spread / 1e4 * vol_mult * turnover + impact + borrow AS cost FROM cc, (SELECT unnest([0, 1, 2, 5, 10, 20, 50])::DOUBLE AS spread)), rr AS (SELECT *, gross - cost AS ret FROM gr),
-eq AS (SELECT *, product(1 + ret) OVER (PARTITION BY spread ORDER BY dt ROWS UNBOUNDED PRECEDING) AS eq FROM rr), pk AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY spread ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS peak FROM eq)
-SELECT spread, count(*) AS observations, round(avg(ret) / stddev_samp(ret) * sqrt(52), 4) + 0.0 AS sharpe, round(min(eq / peak - 1), 4) + 0.0 AS max_drawdown, round(avg(cost) * 52, 5) + 0.0 AS annual_cost, round(avg(turnover), 6) + 0.0 AS mean_turnover FROM pk GROUP BY spread""")
+SWEEP = f"""{COST}, gr AS (SELECT *, spread / 1e4 * vol_mult * turnover + impact + borrow AS cost FROM cc, (SELECT unnest([0, 1, 2, 5, 10, 20, 50])::DOUBLE AS spread)), rr AS (SELECT *, gross - cost AS ret FROM gr),
+eq AS (SELECT *, product(1 + ret) OVER (PARTITION BY spread ORDER BY dt ROWS UNBOUNDED PRECEDING) AS eq FROM rr), pk AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY spread ORDER BY dt ROWS UNBOUNDED PRECEDING)) AS peak FROM eq)"""
+
+
+@query("cost_sweep", f"WITH $PW, $R, $F, {SWEEP} SELECT spread, count(*) AS observations, round(avg(ret) / stddev_samp(ret) * sqrt(52), 4) + 0.0 AS sharpe, round(min(eq / peak - 1), 4) + 0.0 AS max_drawdown, round(avg(cost) * 52, 5) + 0.0 AS annual_cost, round(avg(turnover), 6) + 0.0 AS mean_turnover FROM pk GROUP BY spread")
 def _(spark, sf):
     s = bt.cost_sweep(_costs(spark, sf), periods=52)
     return s.select("spread", "observations", fr.tidy(F.col("sharpe"), 4).alias("sharpe"), fr.tidy(F.col("max_drawdown"), 4).alias("max_drawdown"), fr.tidy(F.col("annual_cost"), 5).alias("annual_cost"), "mean_turnover")
 
 
-@query("breakeven_spread")
+@query("breakeven_spread", f"""WITH $PW, $R, $F, {SWEEP}, sw AS (SELECT spread, avg(ret) / stddev_samp(ret) * sqrt(52) AS y FROM pk GROUP BY spread), ld AS (SELECT *, lead(spread) OVER o AS x1, lead(y) OVER o AS y1 FROM sw WINDOW o AS (ORDER BY spread))
+SELECT CASE WHEN arg_min(y, spread) <= 0 THEN NULL ELSE round(coalesce(min(CASE WHEN y > 0 AND y1 <= 0 THEN spread + (x1 - spread) * y / (y - y1) END), 'infinity'::DOUBLE), 3) END AS breakeven FROM ld""")
 def _(spark, sf):
-    return bt.breakeven(bt.cost_sweep(_costs(spark, sf), periods=52))
+    return bt.breakeven(bt.cost_sweep(_costs(spark, sf), periods=52)).select(F.round("breakeven", 3).alias("breakeven"))
 
 
 PERIODS = [("early", "1992-01-01", "1995-06-30"), ("late", "1995-07-01", "1998-12-31")]

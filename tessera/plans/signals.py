@@ -214,9 +214,10 @@ for _name, _w, _kind in (("wavelet_features_w21", 21, "uniform"), ("wavelet_feat
     query(_name, "WITH $PW, " + _feature_sql(_w, weighting=_kind))(lambda spark, sf, w=_w, kind=_kind: _tidy_features(feat.causal_features(src.weekly(spark, sf), [w], weighting=kind), w))
 
 
-@query("wavelet_features_multi")
+@query("wavelet_features_multi", f"WITH $PW SELECT * FROM (WITH {_feature_sql(21)}) a JOIN (WITH {_feature_sql(52)}) b USING (dt, asset)")
 def _(spark, sf):
-    return feat.causal_features(src.weekly(spark, sf), [21, 52], engine="arrow")
+    f = feat.causal_features(src.weekly(spark, sf), [21, 52], engine="arrow")
+    return _tidy_features(f, 21).join(_tidy_features(f, 52), ["dt", "asset"])
 
 
 @query("causal_smooth_slope")
@@ -248,23 +249,35 @@ def _(spark, sf):
     return feat.equal_weight_index(src.weekly(spark, sf)).select("dt", fr.tidy(F.col("ret")).alias("ret"), fr.tidy(F.ln("level")).alias("log_level"))
 
 
-@query("ewma_vol", f"""WITH RECURSIVE $PW, $R, {INDEX}, n AS (SELECT dt, r, row_number() OVER (ORDER BY dt) AS k FROM iy), s0 AS (SELECT var_pop(r) AS v FROM n WHERE k BETWEEN 2 AND 21),
-e(k, v) AS (SELECT 21::BIGINT, v FROM s0 UNION ALL SELECT e.k + 1, 0.94 * e.v + 0.06 * n.r * n.r FROM e JOIN n ON n.k = e.k) SELECT n.dt, round(sqrt(e.v * 52), 6) AS vol FROM e JOIN n ON n.k = e.k""")
+EWMA = f"""{INDEX}, n AS (SELECT dt, r, row_number() OVER (ORDER BY dt) AS k FROM iy), s0 AS (SELECT var_pop(r) AS v FROM n WHERE k BETWEEN 2 AND 21),
+e(k, v) AS (SELECT 21::BIGINT, v FROM s0 UNION ALL SELECT e.k + 1, 0.94 * e.v + 0.06 * n.r * n.r FROM e JOIN n ON n.k = e.k)"""
+FILTER = f"""{EWMA}, vv AS (SELECT n.dt, CASE WHEN e.v IS NOT NULL THEN sqrt(e.v * 52) END AS vol FROM n LEFT JOIN e ON n.k = e.k),
+tg AS (SELECT *, CASE WHEN vol IS NOT NULL AND count(vol) OVER b >= 52 THEN quantile_cont(vol, 0.5) OVER b END AS target FROM vv WINDOW b AS (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ex AS (SELECT *, CASE WHEN target IS NOT NULL THEN least(greatest(target / greatest(vol, 2.220446049250313e-16), 0), 1) END AS x FROM tg),
+sm AS (SELECT dt, vol, target, CASE WHEN x IS NOT NULL THEN least(greatest(avg(x) OVER (ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0), 1) END AS exposure FROM ex)"""
+
+
+@query("ewma_vol", f"WITH RECURSIVE $PW, $R, {EWMA} SELECT n.dt, round(sqrt(e.v * 52), 6) AS vol FROM e JOIN n ON n.k = e.k")
 def _(spark, sf):
     v = feat.ewma_volatility(feat.equal_weight_index(src.weekly(spark, sf)), 21, periods=52)
     return v.filter("vol is not null").select("dt", F.round("vol", 6).alias("vol"))
 
 
-@query("risk_filter_ewma")
+def _filtered(spark, sf, estimator="ewma"):
+    return feat.risk_filter(src.weekly(spark, sf), [13, 21], min_history=52, estimator=estimator, periods=52)
+
+
+@query("risk_filter_ewma", f"WITH RECURSIVE $PW, $R, {FILTER} SELECT dt, round(vol, 6) AS vol, round(target, 6) AS target, round(exposure, 6) AS exposure FROM sm")
 def _(spark, sf):
-    return feat.risk_filter(src.weekly(spark, sf), [13, 21], min_history=52, estimator="ewma", periods=52)
+    return _filtered(spark, sf).select("dt", *[F.round(c, 6).alias(c) for c in ("vol", "target", "exposure")])
 
 
 @query("risk_filter_wavelet")
 def _(spark, sf):
-    return feat.risk_filter(src.weekly(spark, sf), [13, 21], min_history=52, periods=52)
+    return _filtered(spark, sf, "wavelet")
 
 
-@query("risk_diagnostics")
+@query("risk_diagnostics", f"WITH RECURSIVE $PW, $R, {FILTER}, ch AS (SELECT *, abs(exposure - lag(exposure) OVER (ORDER BY dt)) AS c FROM sm) SELECT count(exposure) AS n_valid, round(avg(exposure), 6) AS mean_exposure, round(stddev_samp(exposure), 6) AS std_exposure, round(avg(CASE WHEN exposure < 1 THEN 1.0 WHEN exposure >= 1 THEN 0 END), 6) AS share_derisked, round(avg(c), 6) AS turnover FROM ch")
 def _(spark, sf):
-    return feat.risk_diagnostics(feat.risk_filter(src.weekly(spark, sf), [13, 21], min_history=52, periods=52))
+    d = feat.risk_diagnostics(_filtered(spark, sf))
+    return d.select("n_valid", *[F.round(c, 6).alias(c) for c in d.columns[1:]])

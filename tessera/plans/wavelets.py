@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import basis as b
@@ -180,7 +183,18 @@ def _(spark, sf):
     return wav.denoise_batch(src.weekly(spark, sf), J, M, keep_degree=1).select("asset", "dt", fr.tidy(F.col("smooth"), 3).alias("smooth"))
 
 
-@query("denoise_threshold")
+def _threshold_sql() -> str:
+    base = 32 << J
+    rows = (b.projector(base, M, J, "chebyshev") ** 2).sum(1).reshape(-1, M)
+    size = [math.sqrt(2 * math.log(M << J)) * x for x in np.sqrt(rows.mean(0) * base).tolist()]
+    shrunk = ", ".join(f"sign(c{m}) * greatest(0, abs(c{m}) - {size[m]!r} * sigma / sqrt(n)) AS c{m}" for m in range(1, M))
+    sql = _denoise_sql().replace("JOIN co USING", "JOIN ct USING")
+    noise = f"""df AS (SELECT asset, close - lag(close) OVER (PARTITION BY asset ORDER BY dt) AS d FROM p), md AS (SELECT asset, median(d) AS med, count(*) AS n FROM df GROUP BY asset), sg AS (SELECT asset, any_value(n) AS n, 1.4826 * median(abs(d - med)) / sqrt(2) AS sigma FROM df JOIN md USING (asset) GROUP BY asset),
+ct AS (SELECT asset, cell, c0, {shrunk} FROM co JOIN sg USING (asset)), at_ AS ("""
+    return sql.replace("at_ AS (", noise, 1)
+
+
+@query("denoise_threshold", f"WITH $PW, {_threshold_sql()} SELECT asset, dt, round(smooth, 3) + 0.0 AS smooth FROM dn")
 def _(spark, sf):
     return wav.denoise_batch(src.weekly(spark, sf), J, M, kappa=1.0).select("asset", "dt", fr.tidy(F.col("smooth"), 3).alias("smooth"))
 

@@ -17,7 +17,7 @@ def bars(events: DataFrame, seconds: int = 5, late: str = "10 seconds") -> DataF
     e = e.withWatermark("ts", late) if events.isStreaming else e
     g = e.groupBy(F.col("event_type").alias("asset"), F.window("ts", f"{seconds} seconds").alias("w"))
     out = g.agg(F.min_by("value", "event_id").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("close"), F.count("*").alias("n"))
-    return out.select("asset", F.col("w.start").cast("timestamp_ntz").alias("dt"), "open", "high", "low", "close", "n")
+    return out.select("asset", F.col("w.start").alias("dt"), "open", "high", "low", "close", "n")
 
 
 def run_bars(spark: SparkSession, path: str, seconds: int = 5) -> DataFrame:
