@@ -20,7 +20,7 @@ from tessera.llm.common import chunks, settle
 #: Tails that are packed together, on average.
 GROUP = 256
 #: Words whose ids a task remembers.
-MEMORY = 1_000_000
+MEMORY = 700_000
 
 
 first = itemgetter(0)
