@@ -26,6 +26,35 @@ MEMORY = 700_000
 first = itemgetter(0)
 
 
+#: Bytes of UTF-8 that stand in no text of white space, printable ASCII and Latin-1 letters; C3 leads the latter, 97 and B7 after it are signs.
+OTHER = np.ones(256, bool)
+OTHER[[*range(0x09, 0x0E), *range(0x20, 0x7F), *range(0x80, 0xC0), 0xC3]] = False
+OTHER[[0x97, 0xB7]] = True
+#: Bytes of letters, digits and white space.
+BLANK = np.zeros(256, bool)
+BLANK[[*range(0x09, 0x0E), 0x20]] = True
+FINE = BLANK | np.array([c > 127 or chr(c).isalnum() for c in range(256)])
+
+
+def marks(buf: np.ndarray, off: np.ndarray) -> tuple[list[bool], list[bool]]:
+    """Of each text: whether it has other bytes or the start of a special token, and whether a stop or comma follows something else than a
+    letter, digit or space, or has no space after it."""
+    def texts(at: np.ndarray) -> list[bool]:
+        out = np.zeros(len(off) - 1, bool)
+        out[np.searchsorted(off, at, "right") - 1] = True
+        return out.tolist()
+
+    if not len(buf):
+        return [False] * (len(off) - 1), [False] * (len(off) - 1)
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[off] = True
+    open_ = np.flatnonzero(buf[:-1] == ord("<"))
+    special = open_[(buf[open_ + 1] == ord("|")) & ~edge[open_ + 1]]
+    stop = np.flatnonzero((buf == ord(".")) | (buf == ord(",")))
+    odd = ~(FINE[buf[stop - 1]] | edge[stop]) | ~(edge[stop + 1] | BLANK[buf[np.minimum(stop + 1, len(buf) - 1)]])
+    return texts(np.append(np.flatnonzero(OTHER[buf]), special)), texts(stop[odd])
+
+
 class Tokens:
     """Ids of texts as little-endian 32-bit bytes. No token spans white space or two of the tokenizer's own pieces (letters, one digit, other
     characters), so texts of ASCII and Latin-1 letters are lower-cased and looked up word by word, new words piece by piece. The merges
@@ -45,9 +74,7 @@ class Tokens:
         shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
         rest = [b for b in range(256) if b not in shown]
         self.spell = [(chr(b), chr(256 + rest.index(b))) for b in (0x9F, 0xA0, 0xAD)]
-        self.other = re.compile("[^\t-\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]|<\\|").search
         self.split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+").findall
-        self.odd = re.compile("[^a-z0-9\xdf-\xf6\xf8-\xff\\s][.,]|[.,]\\S").search
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -73,17 +100,21 @@ class Tokens:
             else:
                 self.parts.update(zip(some, self._whole(some), strict=True))
 
-    def _words(self, text: str) -> list[str]:
-        """Words; with every stop and comma between a letter and a space, these are words of their own, as they are pieces of their own."""
-        return text.split() if self.odd(text) else text.replace(".", " .").replace(",", " ,").split()
-
     def __call__(self, texts: list[str]) -> list[bytes]:
+        raw = [t.encode() for t in texts]
+        return self.flat(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    def flat(self, buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Ids of the texts buf[off[i]:off[i+1]]. With every stop and comma of a text between a letter and a space, these are words of their
+        own, as they are pieces of their own."""
         words, parts = self.words, self.parts
+        raw, other, odd = buf.tobytes(), *marks(buf, off)
+        texts = [raw[x:y].decode() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         if len(words) > MEMORY:
             words.clear()
         if len(parts) > MEMORY:
             parts.clear()
-        plain = [None if self.other(t) else self._words(t.lower()) for t in texts]
+        plain = [None if o else t.lower().split() if d else t.lower().replace(".", " .").replace(",", " ,").split() for t, o, d in zip(texts, other, odd, strict=True)]
         new = list(set().union(*filter(None, plain)).difference(words))
         split = list(map(self.split, new))
         self._learn(list(set().union(*split).difference(parts)))
@@ -106,9 +137,8 @@ def _pieces(path: str, end_id: int, size: int):
         tokens, last = _tokens[path], np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part, buf, off in chunks(batch):
-                raw = buf.tobytes()
                 rows: list[tuple] = []
-                for id_, ids in zip(part.column(0).to_pylist(), tokens([raw[x:y].decode() for x, y in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]), strict=True):
+                for id_, ids in zip(part.column(0).to_pylist(), tokens.flat(buf, off), strict=True):
                     ids += last
                     rows += [(id_, at // 4, len(cut := ids[at : at + 4 * size]) // 4, zlib.crc32(cut), len(ids) // 4) for at in range(0, len(ids), 4 * size)]
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
