@@ -11,7 +11,7 @@ from tessera.operators import features as feat
 from tessera.operators import signals as sig
 from tessera.plans.panels import returns
 from tessera.plans.registry import Registry
-from tessera.plans.signals import LS, TECH, _weights
+from tessera.plans.signals import LS, TECH, _weights, score_sql
 from tessera.sources import panels as src
 from tessera.sources import stores
 from tessera.streaming import bars as stream
@@ -321,9 +321,13 @@ def _(spark, sf):
     return decisions.summary(decisions.sandbox(src.weekly(spark, sf), 5, 20, 10))
 
 
-@query("orchestrator_decisions")
+@query("orchestrator_decisions", f"""WITH $PW, r AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY asset ORDER BY dt) AS ret FROM p), {score_sql()},
+z AS (SELECT *, sign(score)::INTEGER AS signal, row_number() OVER (PARTITION BY asset ORDER BY dt DESC) AS k FROM w2 WHERE score IS NOT NULL)
+SELECT asset, dt, round(score, 5) + 0.0 AS score, signal, round(abs(score) * 2.9, 5) AS expected_edge_bps, round(2.9 * abs(signal) / 1.989, 5) AS required_edge_bps, abs(signal)::DOUBLE AS projected_turnover,
+  signal <> 0 AND abs(score) * 2.9 >= 2.9 * abs(signal) / 1.989 AS approved FROM z WHERE k = 1""")
 def _(spark, sf):
-    return decisions.orchestrate(src.weekly(spark, sf), 12, 4, 1, 0.0)
+    d = decisions.orchestrate(src.weekly(spark, sf), 12, 4, 1, 0.0)
+    return d.withColumns({"score": fr.tidy(F.col("score"), 5), "expected_edge_bps": F.round("expected_edge_bps", 5), "required_edge_bps": F.round("required_edge_bps", 5)})
 
 
 RECORD = "SELECT o_orderkey AS instrument, o_totalprice AS score, o_orderstatus = 'F' AS approved, o_orderpriority AS priority FROM orders"

@@ -220,22 +220,31 @@ def _(spark, sf):
     return _tidy_features(f, 21).join(_tidy_features(f, 52), ["dt", "asset"])
 
 
-@query("causal_smooth_slope")
+def _smooth_sql(windows: list[int]) -> str:
+    edges = {w: feat.weights(w, 4, 1, "uniform")[1] for w in windows}
+    wins = ", ".join(f"list(close) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS a{w}, date_diff('day', lag(dt, {w - 1}) OVER (PARTITION BY asset ORDER BY dt), dt) AS days{w}" for w in windows)
+    shifted = ", ".join(f"list_transform(a{w}, lambda x: x - close) AS s{w}, days{w}" for w in windows)
+    out = ", ".join(f"round(list_dot_product(s{w}, {_dots(e[0])}) + close, 3) + 0.0 AS W{w}_smooth, round(list_dot_product(s{w}, {_dots(e[1])}) / days{w}, 3) + 0.0 AS W{w}_slope" for w, e in edges.items())
+    return f"w0 AS (SELECT dt, asset, close, {wins} FROM p), w1 AS (SELECT dt, asset, close, {shifted} FROM w0 WHERE len(a{max(windows)}) = {max(windows)}) SELECT dt, asset, {out} FROM w1"
+
+
+@query("causal_smooth_slope", "WITH $PW, " + _smooth_sql([13, 21]))
 def _(spark, sf):
-    return feat.causal_features(src.weekly(spark, sf), [13, 21], smooth=True, engine="arrow").select("dt", "asset", "W13_smooth", "W13_slope", "W21_smooth", "W21_slope")
+    f = feat.causal_features(src.weekly(spark, sf), [13, 21], smooth=True, engine="arrow")
+    return f.select("dt", "asset", *[fr.tidy(F.col(c), 3).alias(c) for c in ("W13_smooth", "W13_slope", "W21_smooth", "W21_slope")])
 
 
-def _signal_sql(w: int = 12, modes: int = 4) -> str:
+def score_sql(w: int = 12, modes: int = 4) -> str:
+    """Tables up to w2 (dt, asset, score), from the returns in r."""
     from tessera.functions.basis import signal_projector
 
     a = signal_projector(w, modes)
     return f"""w0 AS (SELECT dt, asset, list(ret) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS win, count(ret) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS n FROM r),
 w1 AS (SELECT dt, asset, CASE WHEN n = {w} THEN (list_dot_product(list_transform(win, lambda x: coalesce(x, 0)), {_dots(a[1])}) - list_avg(win) * {float(a[1].sum())!r}) / nullif(list_aggregate(win, 'stddev_pop'), 0) END AS c FROM w0),
-w2 AS (SELECT dt, asset, (c - avg(c) OVER (PARTITION BY dt)) / nullif(stddev_pop(c) OVER (PARTITION BY dt), 0) AS score FROM w1)
-SELECT dt, asset, round(score, 5) + 0.0 AS score, CASE WHEN abs(score) >= 0.5 THEN sign(score)::INTEGER ELSE 0 END AS signal FROM w2"""
+w2 AS (SELECT dt, asset, (c - avg(c) OVER (PARTITION BY dt)) / nullif(stddev_pop(c) OVER (PARTITION BY dt), 0) AS score FROM w1)"""
 
 
-@query("wavelet_signal", "WITH $PW, $R, " + _signal_sql())
+@query("wavelet_signal", f"WITH $PW, $R, {score_sql()} SELECT dt, asset, round(score, 5) + 0.0 AS score, CASE WHEN abs(score) >= 0.5 THEN sign(score)::INTEGER ELSE 0 END AS signal FROM w2")
 def _(spark, sf):
     s = feat.wavelet_signal(returns(spark, sf), 12, 4, 1, 0.5)
     return s.select("dt", "asset", fr.tidy(F.col("score"), 5).alias("score"), "signal")
