@@ -229,15 +229,34 @@ def _grid(spark, sf):
     return bt.run_grid([{"window": w, "every": e} for w in (4, 13) for e in (1, 4)], run, ["window", "every"], 52)
 
 
-@query("grid_metrics")
+def _summed(w: int) -> str:
+    return f"SELECT {w} AS win, dt, asset, CASE WHEN count(ret) OVER w = {w} THEN sum(ret) OVER w END AS s FROM r WINDOW w AS (PARTITION BY asset ORDER BY dt ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
+
+
+GRID = f"""m AS ({_summed(4)} UNION ALL {_summed(13)}),
+t AS (SELECT *, tanh(coalesce((s - avg(s) OVER w) / nullif(stddev_pop(s) OVER w, 0), 0) / 2.0) AS score FROM m WINDOW w AS (PARTITION BY win, dt)),
+k AS (SELECT win, dt, asset, row_number() OVER (PARTITION BY win, dt ORDER BY score DESC, asset) AS k, count(*) OVER (PARTITION BY win, dt) AS n FROM t WHERE s IS NOT NULL),
+wt AS (SELECT win, dt, asset, CASE WHEN k <= q THEN 1.0 / q WHEN k > n - q THEN -1.0 / q ELSE 0 END::DOUBLE AS weight FROM (SELECT *, greatest(1, floor(0.2 * n + 1e-12)) AS q FROM k)),
+dl AS (SELECT win, dt, row_number() OVER (PARTITION BY win ORDER BY dt) AS pos FROM (SELECT DISTINCT win, dt FROM wt)),
+hl AS (SELECT a.win, every, a.pos, asset, weight FROM dl a, (SELECT unnest([1, 4]) AS every) JOIN dl b ON b.win = a.win AND b.pos = a.pos - (a.pos - 1) % every JOIN wt ON wt.win = a.win AND wt.dt = b.dt),
+pv AS (SELECT win, every, pos + 1 AS pos, asset, weight AS old FROM hl),
+bo AS (SELECT win, every, pos, asset, coalesce(weight, 0) AS x, coalesce(old, 0) AS y FROM hl FULL JOIN pv USING (win, every, pos, asset)),
+ls AS (SELECT bo.win, every, dl.dt, sum(x * coalesce(fwd, 0)) - 2.0 / 1e4 * sum(abs(x - y)) AS ret FROM bo JOIN dl ON dl.win = bo.win AND dl.pos = bo.pos LEFT JOIN f ON f.dt = dl.dt AND f.asset = bo.asset GROUP BY 1, 2, 3),
+eq AS (SELECT *, product(1 + ret) OVER (PARTITION BY win, every ORDER BY dt ROWS UNBOUNDED PRECEDING) AS equity FROM ls),
+pk AS (SELECT *, greatest(max(equity) OVER (PARTITION BY win, every ORDER BY dt ROWS UNBOUNDED PRECEDING), 1) AS peak FROM eq),
+gr AS (SELECT win AS window, every, count(*) AS observations, round(product(1 + ret) - 1, 6) + 0.0 AS total_return, round(pow(product(1 + ret), 52.0 / count(*)) - 1, 6) + 0.0 AS annual_return,
+  round(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(52), 6) + 0.0 AS sharpe, round(min(equity / peak - 1), 6) + 0.0 AS max_drawdown FROM pk GROUP BY 1, 2)"""
+
+
+@query("grid_metrics", f"WITH $PW, $R, $F, {GRID} SELECT * FROM gr")
 def _(spark, sf):
     return _grid(spark, sf)
 
 
-@query("grid_summary")
+@query("grid_summary", f"WITH $PW, $R, $F, {GRID} SELECT count(sharpe) AS n, round(avg(sharpe), 5) + 0.0 AS mean, round(stddev_samp(sharpe), 5) AS std, min(sharpe) AS lo, max(sharpe) AS hi, avg((sharpe > 0)::DOUBLE) AS positive FROM gr")
 def _(spark, sf):
     s = F.col("sharpe")
-    return _grid(spark, sf).agg(F.count(s).alias("n"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("std"), F.min(s).alias("lo"), F.max(s).alias("hi"), F.avg((s > 0).cast("double")).alias("positive"))
+    return _grid(spark, sf).agg(F.count(s).alias("n"), fr.tidy(F.avg(s), 5).alias("mean"), F.round(F.stddev_samp(s), 5).alias("std"), F.min(s).alias("lo"), F.max(s).alias("hi"), F.avg((s > 0).cast("double")).alias("positive"))
 
 
 SUBSETS = "us AS (SELECT sz AS size, dr AS draw, asset, row_number() OVER (PARTITION BY sz, dr ORDER BY md5('20260908|' || sz || '|' || dr || '|' || asset), asset) AS k FROM (SELECT DISTINCT asset FROM p), (SELECT unnest([8, 16])::INTEGER AS sz), (SELECT unnest(range(1, 7))::INTEGER AS dr)), su AS (SELECT size, draw, asset FROM us WHERE k <= size)"
