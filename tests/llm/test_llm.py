@@ -106,6 +106,19 @@ def test_decontamination_recall_and_precision(spark):
     assert not any(got[i].contaminated for i in range(1, 400, 2))
 
 
+@pytest.mark.parametrize("ratio", [0.1, 0.15])
+def test_decontamination_misses_no_item_of_any_length(ratio):
+    rng = random.Random(12)
+    letters = "etaoinshrdlu"
+    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(40))[:size].strip() for size in (8, 12, 18, 25, 27, 34, 40, 60, 84, 100, 230) for _ in range(15)]
+    index = decontaminate.Index(list(range(len(texts))), texts)
+    docs = ["zq xv " + edited(t, int(ratio * len(t)), rng) + " qq zz" for t in texts]
+    batch = decontaminate.pa.record_batch([list(range(len(docs))), docs], names=["doc_id", "text"])
+    got = [x for part in decontaminate._scan(index, 0.15)(iter([batch])) for x in part.column("item_ids").to_pylist()]
+    assert all(i in x for i, x in enumerate(got))
+    assert sum(map(len, got)) < 3 * len(got)
+
+
 def test_edit_distance_is_exact():
     rng = random.Random(2)
     for _ in range(300):
