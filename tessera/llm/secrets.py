@@ -77,28 +77,46 @@ def digest(findings: DataFrame) -> DataFrame:
     return findings.select("doc_id", *map(count, BASE), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-def redact(text: Column) -> Column:
-    """The text with each match of a base rule that counts replaced by <secret:kind>."""
+#: What follows a private key's first line: all up to its last line, or without one the letters, digits and breaks that a key has.
+KEY_BODY = r"^[\s\S]*?-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----"
+KEY_REST = r"^[A-Za-z0-9+/=\\\s]*"
 
-    def replaced(text: Column, kind: str, pattern: str) -> Column:
-        def put(gap: Column, hit: Column) -> Column:
-            mark = F.lit(f"<secret:{kind}>")
-            return F.concat(gap, F.when(hit.isNull(), F.lit("")).otherwise(F.when(_fails(hit), hit).otherwise(mark) if kind == "assign" else mark))
 
-        parts = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), put)
-        return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+def _covered(text: Column, spans: Column) -> Column:
+    """The spans by start with the ends of what is taken out: a private key's span reaches over the key."""
 
-    for kind, pattern in RULES[: len(BASE)]:
-        text = replaced(text, kind, pattern)
-    return text
+    def end(s: Column) -> Column:
+        rest = F.substr(text, s["end"] + 1)
+        body = F.when(F.regexp_extract(rest, KEY_BODY, 1) == "END", F.regexp_extract(rest, KEY_BODY, 0)).otherwise(F.regexp_extract(rest, KEY_REST, 0))
+        return F.when(s["kind"] == "pem", s["end"] + F.char_length(body)).otherwise(s["end"])
+
+    return F.transform(F.array_sort(spans), lambda s: F.struct(s["start"].alias("start"), end(s).alias("end"), s["kind"].alias("kind")))
+
+
+def redact(text: Column, spans: Column) -> Column:
+    """The text with <secret:kind> in place of each span, or of spans that overlap, named by the first of them."""
+    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+
+    def join(done: Column, s: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
+        return F.when((F.size(done) > 0) & (s["start"] < last["end"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    cuts = F.aggregate(_covered(text, spans), empty, join)
+
+    def put(s: Column, i: Column) -> Column:
+        begin = F.when(i > 0, F.get(cuts, i - 1)["end"]).otherwise(0)
+        return F.concat(F.substr(text, begin + 1, s["start"] - begin), F.lit("<secret:"), s["kind"], F.lit(">"))
+
+    return F.concat(F.array_join(F.transform(cuts, put), ""), F.substr(text, F.get(cuts, F.size(cuts) - 1)["end"] + 1))
 
 
 def redact_found(docs: DataFrame, findings: DataFrame) -> DataFrame:
-    """docs with the texts redacted whose blobs have findings of base rules; n_chars, where there is one, becomes the new length. All rows and
-    columns stay."""
-    found = findings.filter(F.exists("spans", lambda s: s["kind"].isin(BASE))).select(F.col("blob").alias("found")).distinct()
+    """docs with all spans of the findings taken out of their texts, of whatever kind; n_chars, where there is one, becomes the new length. All
+    rows and columns stay."""
+    found = findings.filter(F.size("spans") > 0).select(F.col("blob").alias("found"), "spans").dropDuplicates(["found"])
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    hit, text = F.col("found").isNotNull(), redact(F.col("row")["text"])
-    marked = rows.join(found, F.col("key") == F.col("found"), "left").withColumn("new", F.when(hit, text))
+    hit = F.col("found").isNotNull()
+    marked = rows.join(found, F.col("key") == F.col("found"), "left").withColumn("new", F.when(hit, redact(F.col("row")["text"], F.col("spans"))))
     put = {"text": F.col("new")} | ({"n_chars": F.char_length("new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return marked.select(*[(F.when(hit, put[c]).otherwise(F.col("row")[c]) if c in put else F.col("row")[c]).alias(c) for c in docs.columns])
