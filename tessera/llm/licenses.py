@@ -44,12 +44,11 @@ def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) ->
 
     Digests meet the catalogue in hash joins; the catalogue is broadcast, as it is a fixed list and no corpus table. A null text is
     the empty text, whose digest no license has; rows with null or repeated ids stay rows of their own; no rows give no
-    rows; extra columns are ignored. Lines that do not name a license are not hashed."""
+    rows; extra columns are ignored."""
     spark = docs.sparkSession
     known_ = F.broadcast(catalogue(spark, known))
     docs = docs.select("doc_id", "text")
-    # a line can only equal a known notice of one line if it holds one of the notices' words
-    line = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike("[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|CC0"))
+    line = F.split(F.coalesce("text", F.lit("")), "\n")
     whole = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.transform(line, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
     out = whole.join(known_, "digest", "left")
     # the fixed list as a map literal: lines need no rows of their own

@@ -193,6 +193,13 @@ def test_license_digests(spark):
     assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, "CC-BY-NC-4.0,MIT"), 5: (None, "")}
 
 
+def test_every_line_may_be_a_notice(spark):
+    docs = spark.createDataFrame([(1, "text\nreleased under cc0 1.0"), (2, "Released under Cc0 1.0!\nmore")], "doc_id long, text string")
+    assert {r.doc_id: r.notices for r in licenses.license_scan(docs).collect()} == {1: "CC0-1.0", 2: "CC0-1.0"}
+    own = licenses.license_scan(spark.createDataFrame([(1, "a\nFree for all."), (2, "Free, for some")], "doc_id long, text string"), [("OWN", "free for all")])
+    assert {r.doc_id: r.notices for r in own.collect()} == {1: "OWN", 2: ""}
+
+
 SECRET = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
