@@ -17,19 +17,16 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is not among ids; rows without one stay."""
-    return docs.join(ids.select(F.col("doc_id")).filter("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return _without(docs, minhash.near_duplicates(docs).filter("not kept"))
+    """One row of each group of near-duplicates. Rows get numbers of their own, so that null or repeated ids are no matter; texts without words stay."""
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    gone = minhash.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).filter("not kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return _without(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated"))
+    """Rows that hold no benchmark item."""
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def safe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

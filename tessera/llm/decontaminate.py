@@ -325,3 +325,23 @@ def contamination(docs: DataFrame, items: DataFrame, ratio: float = 0.15) -> Dat
             found = found.unionByName(p)
         found = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.min("distance").alias("distance"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.array_join("item_ids", ",").alias("item_ids"), "distance")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, ratio: float = 0.15) -> DataFrame:
+    """The rows of docs that contamination() does not mark, each judged by its own text, with the columns of docs."""
+
+    def keep(index: Index):
+        scan = _scan(index, ratio)
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, _, _ in chunks(batch):
+                    for found in scan(iter([part.select(["doc_id", "text"])])):
+                        yield part.filter(pc.is_null(found.column("distance")))
+
+        return kept
+
+    schema = docs.schema
+    for x in indexes(items, ratio):
+        docs = docs.mapInArrow(keep(x), schema)
+    return docs

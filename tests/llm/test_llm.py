@@ -462,3 +462,18 @@ def test_pipeline_against_its_parts(spark):
     for i, r in after.items():
         assert (r.text == before[i].text) == (not base_spans(before[i].text))
     assert {r.doc_id for r in cp.run(spark, SF).collect()} == set(after)
+
+
+def test_stages_decide_by_row(spark):
+    import corpus_pipeline as cp
+
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").limit(1).collect())
+    copy, own = " ".join(words_of(40, 1)), " ".join(words_of(40, 2))
+    rows = [(None, copy), (None, copy), (7, own), (7, own), (8, item), (8, own + " end"), (None, item)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en"))
+    got = cp.distinct(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert Counter(r.text.removesuffix(" end") for r in got.collect()) == {copy: 1, own: 1, item: 1}
+    got = cp.clean(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i or 0, x) for i, x in rows if x != item)
