@@ -1,4 +1,4 @@
-"""Benchmark decontamination: unbroken pieces or, of long items, CGK random walks and bit-sampling LSH; exact edit verification."""
+"""Benchmark decontamination: CGK random walks and repeated bit-sampling LSH over item-sized windows, exact edit verification."""
 
 from __future__ import annotations
 
@@ -10,27 +10,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, chunks, flat, mix, runs
+from tessera.llm.common import Words, chunks, flat, mix, runs, settle
 
-#: Steps of a walk, of which FIRST on all windows; sampled steps of a key, and keys. Only items of more than EXACT bytes are met through
-#: windows and keys: in a simulation at the full 0.15 edits items of 200 to 233 bytes were met in 0.98 to 0.99 of the trials, and
-#: the share that is missed falls with each further window.
-STEPS, FIRST, SAMPLED, KEYS = 44, 14, 14, 3
-#: Bytes of text that a window needs.
-NEED = 24
-#: Bytes of an item up to which its pieces are looked up instead, which misses none.
-EXACT = 1024
+#: Walks by round: a window that meets no item walks again. Sampled steps of a key, and keys of a walk. Items with the full 0.15 edits
+#: met their windows in over 0.97 of the trials at every length from 8 to 2,000 bytes (tests hold 0.9 at 0.06, 0.10 and 0.14).
+ROUNDS, SAMPLED, KEYS = (2, 6, 24, 64), 5, 16
+#: Most bytes of a window: longer items have several, one of which holds no more than its share of the edits.
+PART = 256
+#: Windows by walks that are walked at once.
+HELD = 1 << 15
 #: Unbroken pieces that a run should hold at least, and of which so many more than edits are looked up at most.
 LEAST, MOST = 8, 10
 #: Bytes of items in one index: more items make more passes.
 BLOCK = 16 << 20
 
-_rng = mix(np.arange(STEPS * 256, dtype=np.uint64), 41).reshape(STEPS, 256)
-#: Whether the walk moves on after step s at byte c.
-MOVE = (_rng & np.uint64(1)).astype(np.int64)
-SAMPLES = [np.sort(np.argsort(mix(np.arange(STEPS, dtype=np.uint64), 50 + k))[:SAMPLED]).tolist() for k in range(KEYS)]
 ODD = np.uint64(0xD6E8FEB86659FD93)
-BYTES = mix(np.arange(256, dtype=np.uint64), 42)
 PLAIN = np.array([chr(c).isalnum() if c < 128 else True for c in range(256)])
 
 
@@ -42,18 +36,44 @@ def plain(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.where(PLAIN[buf], buf, np.uint8(32)), off
 
 
-def walk(buf: np.ndarray, at: np.ndarray, keys: list[np.ndarray], steps: range) -> np.ndarray:
-    """CGK: each step emits the byte it stands on and moves on or stays, as a bit fixed for the step and byte says. Sampled bytes are
-    added to the keys in place."""
-    for s in steps:
+def moves(walks: range, steps: int) -> np.ndarray:
+    """Whether walk w moves on after step s at byte c, as [s, w, c]: a bit fixed by all three."""
+    at = np.arange(steps, dtype=np.uint64)[:, None, None] * np.uint64(256) + np.arange(256, dtype=np.uint64)
+    seeds = mix(np.arange(walks.start, walks.stop, dtype=np.uint64), 41)[:, None]
+    return (mix(at ^ seeds, 42) & np.uint64(1)).astype(np.uint8)
+
+
+#: Of this worker, over its tasks.
+_moves: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def walk(buf: np.ndarray, start: np.ndarray, walks: range, steps: int) -> np.ndarray:
+    """CGK: each step emits the byte it stands on and moves on or stays, as a bit fixed for the walk, step and byte says. The bytes
+    emitted, as [step, walk, start]: strings within few edits become strings of small Hamming distance."""
+    key = walks.start, walks.stop, steps
+    if key not in _moves:
+        _moves[key] = moves(walks, steps)
+    table = _moves[key]
+    at = np.repeat(start[None, :], len(walks), 0)
+    row = (np.arange(len(walks)) * 256)[:, None]
+    out = np.empty((steps, *at.shape), np.uint8)
+    for s in range(steps):
         c = buf[at]
-        if own := [k for k, sample in enumerate(SAMPLES) if s in sample]:
-            code = BYTES[c]
-            for k in own:
-                keys[k] ^= code
-                keys[k] *= ODD
-        at = at + MOVE[s][c]
-    return at
+        out[s] = c
+        at += table[s].ravel()[row + c]
+    return out
+
+
+def keys(emitted: np.ndarray, walks: range) -> np.ndarray:
+    """Bit sampling: KEYS numbers a walk and start, each of the bytes at SAMPLED steps drawn for that walk and key."""
+    steps = emitted.shape[0]
+    drawn = mix(np.arange(walks.start * KEYS * SAMPLED, walks.stop * KEYS * SAMPLED, dtype=np.uint64), 43) % np.uint64(emitted.shape[0])
+    drawn = drawn.astype(np.int64).reshape(len(walks), KEYS, SAMPLED)
+    out = np.zeros((len(walks), KEYS, emitted.shape[2]), np.uint64)
+    for w in range(len(walks)):
+        for k in range(SAMPLED):
+            out[w] = out[w] << np.uint64(8) | emitted[drawn[w, :, k], w]
+    return out
 
 
 def packed(buf: np.ndarray, n: int) -> np.ndarray:
@@ -140,77 +160,113 @@ class Pieces:
 
 
 class Index:
-    """The items: the words of those without room for an edit, the pieces of those up to EXACT bytes, the windows of longer ones at each
-    word with NEED bytes of its item from there on."""
+    """The items: the words of those without room for an edit; of all others the pieces, and the parts to whose size windows are cut."""
 
     def __init__(self, ids: list[int], texts: list[str], ratio: float = 0.15):
         words = Words(*plain(pa.array(texts, pa.string())))
         self.ids = ids
-        end = words.at[words.begin[1:]] if len(words.doc) else np.zeros(len(ids), np.int64)
-        begin = words.at[words.begin[:-1]]
-        self.items = [words.bytes[x : y - 1].tobytes() for x, y in zip(begin, np.maximum(end, begin + 1), strict=True)]
+        begin = words.at[words.begin]
+        self.items = [words.bytes[x : max(x, y - 1)].tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
+        self.most = [int(ratio * len(x)) for x in self.items]
         self.grams = [grams(x) for x in self.items]
-        size = end - begin
-        whole = np.array([int(ratio * len(x)) == 0 for x in self.items], bool)
-        walked = ~whole & (size > EXACT)
-        start = np.flatnonzero(((words.at[:-1] + NEED <= end[words.doc]) & walked[words.doc]) if len(words.doc) else [])
-        buf = np.append(words.bytes, np.full(STEPS, 32, np.uint8))
-        keys = [np.zeros(len(start), np.uint64) for _ in range(KEYS)]
-        at = walk(buf, words.at[start], keys, range(FIRST))
-        self.filter = np.zeros((KEYS, 1 << 20), bool)
-        for f, k in zip(self.filter, keys, strict=True):
-            f[k >> np.uint64(44)] = True
-        walk(buf, at, keys, range(FIRST, STEPS))
-        self.tables = []
-        for k in keys:
-            order = np.argsort(k)
-            self.tables.append((k[order], words.doc[start[order]], words.at[start[order]] - begin[words.doc[start[order]]]))
         by: dict[int, list[tuple[int, bytes, int]]] = {}
-        for i in np.flatnonzero(~whole & ~walked):
-            x, e = self.items[i], int(ratio * len(self.items[i]))
-            n = next((k for least in (LEAST, 2, 1) for k in (6, 5, 4, 3, 2) if len(x) // k - e >= least), 1)
-            by.setdefault(n, []).append((int(i), x, e))
+        offset, start, self.parts = [], [], []
+        for i, (x, e) in enumerate(zip(self.items, self.most, strict=True)):
+            cuts = np.arange(-(-len(x) // PART)) * len(x) // max(1, -(-len(x) // PART)) if e else np.zeros(0, np.int64)
+            self.parts.append(range(len(offset), len(offset) + len(cuts)))
+            offset += cuts.tolist()
+            start += (begin[i] + cuts).tolist()
+            if e:
+                n = next((k for least in (LEAST, 2, 1) for k in (6, 5, 4, 3, 2) if len(x) // k - e >= least), 1)
+                by.setdefault(n, []).append((i, x, e))
+        #: Where a part begins in its item and in all items' bytes, and the steps of a walk that reads it to its end on average.
+        self.offset, self.start = np.array(offset, np.int64), np.array(start, np.int64)
+        size = np.array([-(-len(x) // max(1, len(p))) for x, p in zip(self.items, self.parts, strict=True) for _ in p], np.int64)
+        self.steps = np.maximum(8, 2 * size // 16 * 16)
+        self.bytes = np.append(words.bytes, np.full(2 * PART, 32, np.uint8))
         self.pieces = [Pieces(n, x) for n, x in sorted(by.items())]
         #: Of items without room for an edit: words, and hash to items.
         self.short: dict[int, dict[int, list[int]]] = {}
         n = np.diff(words.begin)
-        for i in np.flatnonzero(whole & (n > 0)):
+        for i in np.flatnonzero((np.array(self.most, np.int64) == 0) & (n > 0)):
             h = runs(words.hashes, words.begin[i : i + 1], words.begin[i + 1 : i + 2], 1)[0]
             self.short.setdefault(int(n[i]), {}).setdefault(int(h), []).append(int(i))
 
-    def hits(self, words: Words) -> dict[tuple[int, int], set[int | None]]:
-        """(text, item) to the places where the item may begin, as bytes of `words`; None is one where it stands word for word."""
-        out: dict[tuple[int, int], set[int | None]] = {}
+    def whole(self, words: Words) -> Iterator[tuple[int, int]]:
+        """(text, item) of items without room for an edit, where the text holds their words."""
+        h = words.hashes if self.short else ()
+        for n, by in self.short.items():
+            start = np.flatnonzero(np.arange(len(h)) + n <= words.begin[1:][words.doc]) if len(h) else np.zeros(0, np.int64)
+            own = runs(h, start, start + n, 1) if len(start) else np.zeros(0, np.uint64)
+            for s in np.flatnonzero(np.isin(own, np.array(list(by), np.uint64))):
+                for i in by[int(own[s])]:
+                    yield int(words.doc[start[s]]), i
+
+    def regions(self, words: Words) -> list[tuple[int, int, int, int]]:
+        """(text, item, from, to): all bytes of a text that can hold the item; places near one another are one region."""
+        places: dict[tuple[int, int], list[int]] = {}
         for pieces in self.pieces:
             for t, i, p in pieces.places(words):
-                out.setdefault((t, i), set()).add(p)
-        if len(self.tables[0][0]):
-            self._walked(words, out)
-        if self.short and len(words.doc):
-            h = words.hashes
-            for n, by in self.short.items():
-                start = np.flatnonzero(np.arange(len(h)) + n <= words.begin[1:][words.doc])
-                own = runs(h, start, start + n, 1)
-                for s in np.flatnonzero(np.isin(own, np.array(list(by), np.uint64))):
-                    for i in by[int(own[s])]:
-                        out.setdefault((int(words.doc[start[s]]), i), set()).add(None)
+                places.setdefault((t, i), []).append(p)
+        out, edge = [], words.at[words.begin].tolist()
+        for (t, i), at in sorted(places.items()):
+            e, size, new = self.most[i], len(self.items[i]), True
+            for p in sorted(at):
+                x, y = max(edge[t], p - 2 * e), min(edge[t + 1], p + size + 3 * e)
+                if new or x > out[-1][3]:
+                    out.append((t, i, x, y))
+                else:
+                    out[-1] = t, i, out[-1][2], max(out[-1][3], y)
+                new = False
+        return out
+
+    def _windows(self, words: Words, regions: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(steps, regions, parts, first bytes): the windows at the words from which a region can hold a part, by steps of their walk."""
+        by: dict[int, list[tuple[int, int, np.ndarray]]] = {}
+        for r, (_, i, x, y) in enumerate(regions):
+            for p in self.parts[i]:
+                low, high = x + int(self.offset[p]), y - (len(self.items[i]) - int(self.offset[p])) + self.most[i]
+                a, b = np.searchsorted(words.at[:-1], [low, high + 1])
+                by.setdefault(int(self.steps[p]), []).append((r, p, words.at[a:b]))
+        for steps, rows in by.items():
+            n = [len(x) for _, _, x in rows]
+            yield steps, np.repeat([r for r, _, _ in rows], n), np.repeat([p for _, p, _ in rows], n), np.concatenate([x for _, _, x in rows])
+
+    def met(self, words: Words, regions: list[tuple[int, int, int, int]], walks: range) -> set[int]:
+        """The regions with a window and a part of their item that share a key of a walk."""
+        buf, out = np.append(words.bytes, np.full(2 * PART, 32, np.uint8)), set()
+        for steps, region, part, first in self._windows(words, regions):
+            parts, own = np.unique(part, return_inverse=True)
+            theirs = keys(walk(self.bytes, self.start[parts], walks, steps), walks)
+            each = max(1, HELD // len(walks))
+            for k in range(0, len(first), each):
+                starts, at = np.unique(first[k : k + each], return_inverse=True)
+                hit = (keys(walk(buf, starts, walks, steps), walks)[:, :, at] == theirs[:, :, own[k : k + each]]).any((0, 1))
+                out.update(region[k : k + each][hit].tolist())
+        return out
+
+    def search(self, words: Words) -> dict[tuple[int, int], int]:
+        """(text, item) to the least distance found."""
+        out = dict.fromkeys(self.whole(words), 0)
+        open_, at = self.regions(words), 0
+        for n in ROUNDS:
+            if not open_:
+                break
+            met = self.met(words, open_, range(at, at + n))
+            for r in met:
+                t, i, x, y = open_[r]
+                d = self.verify(i, words.bytes[x:y].tobytes())
+                if d <= self.most[i]:
+                    out[t, i] = min(d, out.get((t, i), d))
+            open_, at = [x for r, x in enumerate(open_) if r not in met], at + n
         return out
 
-    def _walked(self, words: Words, out: dict[tuple[int, int], set[int | None]]) -> None:
-        buf = np.append(words.bytes, np.full(STEPS, 32, np.uint8))
-        keys = [np.zeros(len(words.doc), np.uint64) for _ in range(KEYS)]
-        at = walk(buf, words.at[:-1], keys, range(FIRST))
-        live = np.zeros(len(at), bool)
-        for f, k in zip(self.filter, keys, strict=True):
-            live |= f[k >> np.uint64(44)]
-        live = np.flatnonzero(live)
-        keys = [k[live] for k in keys]
-        walk(buf, at[live], keys, range(FIRST, STEPS))
-        for k, (table, item, offset) in zip(keys, self.tables, strict=True):
-            low, high = np.searchsorted(table, k), np.searchsorted(table, k, "right")
-            for w in np.flatnonzero(high > low):
-                for j in range(low[w], high[w]):
-                    out.setdefault((int(words.doc[live[w]]), int(item[j])), set()).add(int(words.at[live[w]] - offset[j]))
+    def verify(self, i: int, run: bytes) -> int:
+        """The least edit distance of an item to any part of a run of bytes, if it is in reach."""
+        item, most = self.items[i], self.most[i]
+        if item in run:
+            return 0
+        return min((distance(item, run[a:b], most) for a, b in able(self.grams[i], run, len(item), most)), default=most + 1)
 
 
 def distance(item: bytes, text: bytes, most: int) -> int:
@@ -257,91 +313,97 @@ def able(item_grams: np.ndarray, text: bytes, size: int, most: int) -> list[tupl
     return list(zip(live[np.append(0, cut + 1)].tolist(), (live[np.append(cut, len(live) - 1)] + long_).tolist(), strict=True))
 
 
-def _scan(index: Index, ratio: float):
+FOUND = "item_ids array<long>, distance int"
+
+
+def _scan(index: Index, id_: str = "doc_id"):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in chunks(batch):
-                words = Words(*plain(part.column(1)))
-                rows = []
-                text_of = words.at[words.begin]
-                for (t, i), places in sorted(index.hits(words).items()):
-                    item, low, high = index.items[i], text_of[t], text_of[t + 1]
-                    most = int(ratio * len(item))
-                    best = 0 if None in places else most + 1
-                    reach: list[list[int]] = []
-                    for p in sorted(places) if best else ():  # places near one another are read together
-                        x, y = max(low, p - 2 * most), min(high, p + len(item) + 3 * most)
-                        if reach and x <= reach[-1][1]:
-                            reach[-1][1] = y
-                        else:
-                            reach.append([x, y])
-                    for x, y in reach:
-                        run = words.bytes[x:y].tobytes()
-                        best = min([best, *(distance(item, run[a:b], most) for a, b in able(index.grams[i], run, len(item), most))]) if item not in run else 0
-                        if not best:
-                            break
-                    if best <= most:
-                        rows.append((t, index.ids[i], best))
-                by: dict[int, list[tuple[int, int]]] = {}
-                for t, i, d in rows:
-                    by.setdefault(t, []).append((i, d))
-                found = [sorted(by.get(t, [])) for t in range(part.num_rows)]
+                found: list[list[tuple[int, int]]] = [[] for _ in range(part.num_rows)]
+                for (t, i), d in index.search(Words(*plain(part.column(1)))).items():
+                    found[t].append((index.ids[i], d))
                 yield pa.record_batch(
-                    [part.column(0), pa.array([[i for i, _ in f] for f in found], pa.list_(pa.int64())), pa.array([min((d for _, d in f), default=None) for f in found], pa.int32())],
-                    names=["doc_id", "item_ids", "distance"],
+                    [part.column(0), pa.array([sorted((i for i, _ in f), key=lambda i: (i is None, i)) for f in found], pa.list_(pa.int64())), pa.array([min((d for _, d in f), default=None) for f in found], pa.int32())],
+                    names=[id_, "item_ids", "distance"],
                 )
 
     return scan
 
 
-def indexes(items: DataFrame, ratio: float) -> Iterator[Index]:
-    """Indexes of at most BLOCK bytes of items each: what a pass ships to its tasks."""
-    items = items.select("item_id", "text").filter("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = -(-size // BLOCK)
-    for i in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct().orderBy("item_id", "text").collect()
-        yield Index([r[0] for r in rows], [r[1] for r in rows], ratio)
+def _hits(index: Index):
+    scan = _scan(index, "row")
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in scan(batches):
+            yield found.filter(pc.is_valid(found.column("distance")))
+
+    return hits
+
 
+def blocks(items: DataFrame, block: int) -> int:
+    """How many indexes of about `block` bytes the items make."""
+    return -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block)
 
-def contamination(docs: DataFrame, items: DataFrame, ratio: float = 0.15) -> DataFrame:
+
+def index(items: DataFrame, n: int, k: int, ratio: float) -> Index:
+    """The kth of n indexes: what one pass ships to its tasks."""
+    rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct().orderBy("item_id", "text").collect()
+    return Index([r[0] for r in rows], [r[1] for r in rows], ratio)
+
+
+def contamination(docs: DataFrame, items: DataFrame, ratio: float = 0.15, block: int = BLOCK) -> DataFrame:
     """(doc_id, contaminated, n_items, item_ids, distance): the items of which a text holds a run within ratio * length edits, both as
-    lower-cased letters and digits with single spaces; the least of their distances, null without any.
-
-    Items of up to EXACT bytes are cut into pieces, of which a run within the edits holds some unbroken: each text with enough of them in
-    one place is verified exactly, so that none is missed. Of longer items random walks (CGK) turn the windows at each word into strings
-    whose Hamming distance is bounded by their edit distance; keys of sampled steps meet those of the texts' windows, and each pair that
-    meets is verified exactly. Items too short for one edit must match word for word. Texts never travel; a null or empty
-    text holds no item; null or empty items are held by no text; equal items are all reported; null and repeated ids stay rows of their own;
-    no rows give no rows; extra columns are ignored."""
-    docs = docs.select("doc_id", "text")
-    schema = "doc_id long, item_ids array<long>, distance int"
-    passes = [docs.mapInArrow(_scan(x, ratio), schema) for x in indexes(items, ratio)]
-    if not passes:
-        return docs.select("doc_id", F.lit(False).alias("contaminated"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("item_ids"), F.lit(None).cast("int").alias("distance"))
-    found = passes[0]
-    if len(passes) > 1:
-        for p in passes[1:]:
-            found = found.unionByName(p)
-        found = found.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.min("distance").alias("distance"))
-    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.array_join("item_ids", ",").alias("item_ids"), "distance")
-
-
-def keep_clean(docs: DataFrame, items: DataFrame, ratio: float = 0.15) -> DataFrame:
-    """The rows of docs that contamination() does not mark, each judged by its own text, with the columns of docs."""
-
-    def keep(index: Index):
-        scan = _scan(index, ratio)
+    lower-cased letters and digits with single spaces; the least of their distances over all places found, null without any.
+
+    Windows of an item's size (of an item of more than PART bytes: of its equal parts, one of which has no more than its share of the edits)
+    begin at the words of a text. CGK random walks turn windows and items into strings whose Hamming distance follows their edit
+    distance; keys of sampled steps are compared and walks repeated until a window with the full edits has met its item with the
+    recall that ROUNDS states. What has met is verified exactly, so that nothing is reported in error. Beforehand windows are left out that
+    cannot hold an item: an edit breaks at most one of the pieces into which an item is cut, so that a run within the edits holds some unbroken.
+    That loses no pair and keeps walks off most of the text.
+
+    Items too short for one edit must match word for word. Items over `block` bytes make several passes; one index is held at a time, and
+    what passes find is put together by row. Texts never travel; a null or empty text holds no item; very long texts are read whole; null
+    or empty items are held by no text; equal items are all reported; an item with a null id counts, but has no id to list; null and
+    repeated doc_ids stay rows of their own; no rows give no rows; extra columns are ignored."""
+    docs, items = docs.select("doc_id", "text"), items.select("item_id", "text").filter("text is not null")
+    n = blocks(items, block)
+    if n == 1:
+        found = docs.mapInArrow(_scan(index(items, 1, 0, ratio)), f"doc_id long, {FOUND}")
+    elif n:
+        rows = settle(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+        hits = None
+        for k in range(n):
+            own = settle(rows.select("row", "text").mapInArrow(_hits(index(items, n, k, ratio)), f"row long, {FOUND}"), "hits")
+            hits = own if hits is None else hits.unionByName(own)
+        hits = hits.groupBy("row").agg(F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"), F.min("distance").alias("distance"))
+        found = rows.select("row", "doc_id").join(hits, "row", "left").withColumn("item_ids", F.coalesce("item_ids", F.array().cast("array<long>")))
+    else:
+        found = docs.select("doc_id", F.array().cast("array<long>").alias("item_ids"), F.lit(None).cast("int").alias("distance"))
+    return found.select("doc_id", F.col("distance").isNotNull().alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), F.array_join("item_ids", ",").alias("item_ids"), "distance")
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, ratio: float = 0.15, block: int = BLOCK) -> DataFrame:
+    """The rows of docs that contamination() does not mark, each judged by its own text, with the columns of docs. A pass reads what the
+    one before it kept."""
+
+    def keep(own: Index):
+        scan, at = _scan(own), docs.columns.index("text")
 
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for part, _, _ in chunks(batch):
-                    for found in scan(iter([part.select(["doc_id", "text"])])):
+                    text = part.column(at)
+                    for found in scan(iter([pa.record_batch([pa.nulls(part.num_rows, pa.int64()), text], names=["doc_id", "text"])])):
                         yield part.filter(pc.is_null(found.column("distance")))
 
         return kept
 
-    schema = docs.schema
-    for x in indexes(items, ratio):
-        docs = docs.mapInArrow(keep(x), schema)
+    items = items.select("item_id", "text").filter("text is not null")
+    n, schema = blocks(items, block), docs.schema
+    for k in range(n):
+        docs = docs.mapInArrow(keep(index(items, n, k, ratio)), schema)
+        if k + 1 < n:
+            docs = settle(docs, "clean")
     return docs

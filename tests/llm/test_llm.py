@@ -106,17 +106,69 @@ def test_decontamination_recall_and_precision(spark):
     assert not any(got[i].contaminated for i in range(1, 400, 2))
 
 
-@pytest.mark.parametrize("ratio", [0.1, 0.15])
-def test_decontamination_misses_no_item_of_any_length(ratio):
-    rng = random.Random(12)
-    letters = "etaoinshrdlu"
-    texts = [" ".join("".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(40))[:size].strip() for size in (8, 12, 18, 25, 27, 34, 40, 60, 84, 100, 230) for _ in range(15)]
-    index = decontaminate.Index(list(range(len(texts))), texts)
-    docs = ["zq xv " + edited(t, int(ratio * len(t)), rng) + " qq zz" for t in texts]
+def prose(n, rng):
+    return " ".join("".join(rng.choices("etaoinshrdlubcfgm", k=rng.randrange(3, 9))) for _ in range(n))
+
+
+def scanned(index, docs):
     batch = decontaminate.pa.record_batch([list(range(len(docs))), docs], names=["doc_id", "text"])
-    got = [x for part in decontaminate._scan(index, 0.15)(iter([batch])) for x in part.column("item_ids").to_pylist()]
-    assert all(i in x for i, x in enumerate(got))
-    assert sum(map(len, got)) < 3 * len(got)
+    return [x for part in decontaminate._scan(index)(iter([batch])) for x in zip(part.column("item_ids").to_pylist(), part.column("distance").to_pylist(), strict=True)]
+
+
+@pytest.mark.parametrize("ratio", [0.06, 0.1, 0.14, 0.15])
+@pytest.mark.parametrize("n", [3, 5, 8, 12, 25, 50, 300])
+def test_decontamination_recall_at_any_length(n, ratio):
+    rng = random.Random(n)
+    texts = [prose(n, rng) for _ in range(40)]
+    got = scanned(decontaminate.Index(list(range(40)), texts), [f"{prose(20, rng)} {edited(t, int(ratio * len(t)), rng)} {prose(20, rng)}" for t in texts])
+    assert sum(i in x for i, (x, _) in enumerate(got)) >= 38
+    assert sum(len(x) for x, _ in got) <= 40 + 2
+
+
+@pytest.mark.parametrize("size", [8, 12, 18, 25, 27, 34, 40, 60, 84, 100, 230])
+def test_short_items_of_any_size_are_met(size):
+    rng = random.Random(12)
+    texts = [prose(60, rng)[:size].strip() for _ in range(30)]
+    got = scanned(decontaminate.Index(list(range(30)), texts), ["zq xv " + edited(t, int(0.15 * len(t)), rng) + " qq zz" for t in texts])
+    assert sum(i in x for i, (x, _) in enumerate(got)) >= 27
+
+
+def test_decontamination_search_matches_brute_force():
+    """Every (text, item) within the edits, and no other, against a dynamic program over whole texts."""
+    rng = random.Random(31)
+    texts = [prose(rng.randrange(2, 12), rng) for _ in range(25)]
+    docs = []
+    for i in range(60):
+        t = texts[i % 25]
+        docs.append(f"{prose(15, rng)} {edited(t, rng.randrange(0, 2 + len(t) // 4), rng)} {prose(15, rng)}")
+    found, true = set(), set()
+    for d, (x, _) in enumerate(scanned(decontaminate.Index(list(range(25)), texts), docs)):
+        found |= {(d, i) for i in x}
+        for i, item in enumerate(texts):
+            row = [0] * (len(docs[d]) + 1)
+            for a, c in enumerate(item, 1):
+                new = [a]
+                for b, e in enumerate(docs[d], 1):
+                    new.append(min(row[b] + 1, new[-1] + 1, row[b - 1] + (c != e)))
+                row = new
+            if min(row) <= int(0.15 * len(item)):
+                true.add((d, i))
+    assert found <= true and len(found) >= 0.95 * len(true) > 20
+
+
+def test_passes_are_put_together_by_row(spark):
+    rng = random.Random(33)
+    texts = [prose(12, rng) for _ in range(30)]
+    bench = spark.createDataFrame([*enumerate(texts), (None, prose(12, rng)), (3, None)], "item_id long, text string")
+    rows = [(None, texts[0]), (None, "clean words here"), (5, f"{texts[1]} and {texts[2]}"), (5, "more clean words"), (5, None), (6, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash"))
+    want = sorted((i, t is not None and "clean" not in t, "1,2" if t and " and " in t else str(texts.index(t)) if t in texts else "") for i, t in ((i or 0, t) for i, t in rows))
+    for block in (1 << 24, 400, 100):
+        got = decontaminate.contamination(docs, bench, block=block).collect()
+        assert sorted((r.doc_id or 0, r.contaminated, r.item_ids) for r in got) == want
+        left = decontaminate.keep_clean(docs, bench, block=block)
+        assert left.columns == docs.columns
+        assert sorted(str(r.text) for r in left.collect()) == ["None", "clean words here", "more clean words"]
 
 
 def test_edit_distance_is_exact():
