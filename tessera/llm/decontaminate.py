@@ -14,13 +14,15 @@ from tessera.llm.common import Words, chunks, flat, mix, runs, settle
 
 #: Walks by round: a window that meets no item walks again. Sampled steps of a key, and keys of a walk. Items with the full 0.15 edits
 #: met their windows in over 0.97 of the trials at every length from 8 to 2,000 bytes (tests hold 0.9 at 0.06, 0.10 and 0.14).
-ROUNDS, SAMPLED, KEYS = (2, 6, 24, 64), 5, 16
+ROUNDS, SAMPLED, KEYS = (1, 2, 3, 4), 4, 64
 #: Most bytes of a window: longer items have several, one of which holds no more than its share of the edits.
 PART = 256
 #: Windows by walks that are walked at once.
 HELD = 1 << 15
 #: Unbroken pieces that a run should hold at least, and of which so many more than edits are looked up at most.
 LEAST, MOST = 8, 10
+#: Cells of items by bins that are counted without sorting.
+DENSE = 1 << 23
 #: Bytes of items in one index: more items make more passes.
 BLOCK = 16 << 20
 
@@ -44,43 +46,53 @@ def moves(walks: range, steps: int) -> np.ndarray:
 
 
 #: Of this worker, over its tasks.
-_moves: dict[tuple[int, int, int], np.ndarray] = {}
+_moves: dict[range, np.ndarray] = {}
 
 
-def walk(buf: np.ndarray, start: np.ndarray, walks: range, steps: int) -> np.ndarray:
+def walk(buf: np.ndarray, start: np.ndarray, steps: np.ndarray, walks: range) -> np.ndarray:
     """CGK: each step emits the byte it stands on and moves on or stays, as a bit fixed for the walk, step and byte says. The bytes
-    emitted, as [step, walk, start]: strings within few edits become strings of small Hamming distance."""
-    key = walks.start, walks.stop, steps
-    if key not in _moves:
-        _moves[key] = moves(walks, steps)
-    table = _moves[key]
-    at = np.repeat(start[None, :], len(walks), 0)
-    row = (np.arange(len(walks)) * 256)[:, None]
-    out = np.empty((steps, *at.shape), np.uint8)
-    for s in range(steps):
-        c = buf[at]
-        out[s] = c
-        at += table[s].ravel()[row + c]
+    emitted, as [step, walk, start]: strings within few edits become strings of small Hamming distance. Steps must not rise."""
+    most = int(steps[0])
+    if walks not in _moves or len(_moves[walks]) < most:
+        _moves[walks] = moves(walks, most).reshape(most, -1)
+    table = _moves[walks]
+    at = np.repeat(start[None, :].astype(np.int32), len(walks), 0)
+    row = (np.arange(len(walks), dtype=np.int32) * 256)[:, None]
+    out = np.zeros((most, *at.shape), np.uint8)
+    left = len(steps) - np.searchsorted(steps[::-1], np.arange(most), "right")
+    for s in range(most):
+        if left[s] < at.shape[1]:
+            at = at[:, : left[s]].copy()
+        out[s, :, : left[s]] = c = np.take(buf, at)
+        at += np.take(table[s], row + c)
     return out
 
 
-def keys(emitted: np.ndarray, walks: range) -> np.ndarray:
-    """Bit sampling: KEYS numbers a walk and start, each of the bytes at SAMPLED steps drawn for that walk and key."""
-    steps = emitted.shape[0]
-    drawn = mix(np.arange(walks.start * KEYS * SAMPLED, walks.stop * KEYS * SAMPLED, dtype=np.uint64), 43) % np.uint64(emitted.shape[0])
+def keys(emitted: np.ndarray, steps: int, walks: range) -> np.ndarray:
+    """Bit sampling: KEYS numbers a walk and start, each of the bytes at SAMPLED of the steps drawn for that walk and key."""
+    drawn = mix(np.arange(walks.start * KEYS * SAMPLED, walks.stop * KEYS * SAMPLED, dtype=np.uint64), 43) % np.uint64(steps)
     drawn = drawn.astype(np.int64).reshape(len(walks), KEYS, SAMPLED)
-    out = np.zeros((len(walks), KEYS, emitted.shape[2]), np.uint64)
+    out = np.zeros((len(walks), KEYS, emitted.shape[2]), np.uint32)
     for w in range(len(walks)):
         for k in range(SAMPLED):
-            out[w] = out[w] << np.uint64(8) | emitted[drawn[w, :, k], w]
+            out[w] = out[w] << np.uint32(8) | emitted[drawn[w, :, k], w]
     return out
 
 
-def packed(buf: np.ndarray, n: int) -> np.ndarray:
-    """Each run of n bytes, as a number."""
+def walked(buf: np.ndarray, start: np.ndarray, steps: np.ndarray, walks: range) -> tuple[np.ndarray, np.ndarray]:
+    """Walks from each different start, and the number of each start's: as many steps as any asks for. Steps must not rise."""
+    starts, at, number = np.unique(start, return_index=True, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return walk(buf, starts[order], steps[at[order]], walks), place[number]
+
+
+def packed(buf: np.ndarray, n: int, shorter: tuple[int, np.ndarray] | None = None) -> np.ndarray:
+    """Each run of n bytes, as a number; those of shorter runs, (length, numbers), save the work on their bytes."""
     size = max(len(buf) - n + 1, 0)
-    out = np.zeros(size, np.uint64)
-    for k in range(n):
+    have, out = (shorter[0], shorter[1][:size].copy()) if shorter else (0, np.zeros(size, np.uint64))
+    for k in range(have, n):
         out |= buf[k : k + size].astype(np.uint64) << np.uint64(8 * k)
     return out
 
@@ -105,7 +117,7 @@ class Pieces:
             at += rare
         code = np.array(code, np.uint64)
         order = np.argsort(code, kind="stable")
-        item, self.at = np.array(item, np.int64)[order], np.array(at, np.int64)[order]
+        self.item, self.at = np.array(item, np.int64)[order], np.array(at, np.int32)[order]
         self.codes, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
         slots = self._slot(self.codes)
         self.table = np.full(1 << 20, -1, np.int32)  # a slot of several codes says so by their number
@@ -114,15 +126,15 @@ class Pieces:
         self.shift = np.array([int(e).bit_length() for e in self.most], np.int64)
         self.ahead = int(self.at.max())
         self.low = int(self.ahead // n).bit_length()
-        self.shifts, self.item, self.piece = self.shift[item], item, self.at // n
+        self.shifts = self.shift[self.item].astype(np.int32) if (self.shift != self.shift[0]).any() else int(self.shift[0])
+        self.floor = int(self.least.min())
 
     @staticmethod
     def _slot(code: np.ndarray) -> np.ndarray:
         return ((code * ODD) >> np.uint64(44)).view(np.int64)
 
-    def places(self, words: Words) -> Iterator[tuple[int, int, int]]:
-        """(text, item, place): the item can only lie in the text around these places."""
-        code = packed(words.bytes, self.n)
+    def places(self, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(item, from) of each item that may begin by the pieces found in `size` bytes: at from .. from + 2 bins. code: the runs of n bytes."""
         u = self.table[self._slot(code)]
         pos = np.flatnonzero(u >= 0)
         code, u = code[pos], u[pos]
@@ -130,33 +142,38 @@ class Pieces:
         u[several] = np.minimum(np.searchsorted(self.codes, code[several]), len(self.codes) - 1)
         same = self.codes[u] == code
         pos, u = pos[same], u[same]
-        if not len(pos):
-            return
         n = self.count[u]
-        row = np.arange(n.sum()) + np.repeat(self.first[u] - (np.cumsum(n) - n), n)
-        # item, bin and piece in one number; an item may seem to begin before the first byte
-        wide = (len(words.bytes) + self.ahead + 1).bit_length()
-        own = (self.item << (wide + self.low)) + self.piece
-        key = np.repeat(pos + self.ahead, n)
-        key -= self.at[row]
-        key >>= self.shifts[row]
-        key <<= self.low
-        key += own[row]
+        row = np.repeat((self.first[u] - (np.cumsum(n) - n)).astype(np.int32), n)
+        row += np.arange(len(row), dtype=np.int32)
+        # an item may seem to begin before the first byte
+        base = np.append(0, np.cumsum(((size + self.ahead) >> self.shift) + 2))
+        kind = np.int32 if base[-1] < 2**31 else np.int64
+        cell = np.repeat(pos.astype(kind), n)
+        cell += (self.ahead - self.at)[row]
+        cell >>= self.shifts[row] if np.ndim(self.shifts) else self.shifts
+        cell += base[self.item].astype(kind)[row]
+        if base[-1] <= max(DENSE, len(row)):
+            # cells that would be left out with a piece counted as often as it stands there need no sorting; of two neighbours one has half
+            n = np.bincount(cell, minlength=base[-1])
+            half = np.flatnonzero(2 * n >= self.floor)
+            at = np.union1d(half[:-1] if len(half) and half[-1] == len(n) - 1 else half, half[half > 0] - 1)
+            at = at[n[at] + n[at + 1] >= self.least[np.searchsorted(base, at, "right") - 1]]
+            live = np.zeros(base[-1], bool)
+            live[at] = live[at + 1] = True
+            some = np.flatnonzero(live[cell])
+            cell, row = cell[some], row[some]
+        key = (cell.astype(np.int64) << self.low) + self.at[row] // self.n
         key.sort()
-        key = key[np.append(True, key[1:] != key[:-1])] >> self.low  # a piece counts once a bin
-        new = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size, key = np.diff(np.append(new, len(key))), key[new]
-        both = size.copy()
-        both[:-1] += np.where(key[1:] == key[:-1] + 1, size[1:], 0)
-        item, bin_ = key >> wide, key & ((1 << wide) - 1)
-        edge = words.at[words.begin]
-        for j in np.flatnonzero(both >= self.least[item]):
-            e, i = int(self.most[item[j]]), int(item[j])
-            width = 1 << int(self.shift[i])
-            for p in range(int(bin_[j]) * width - self.ahead + e, int(bin_[j]) * width - self.ahead + 2 * width, e + 1):
-                first, last = np.searchsorted(edge, [max(p - 2 * e, 0), max(p + 3 * e, 0)], "right") - 1
-                for t in range(int(first), min(int(last), words.n_docs - 1) + 1):
-                    yield t, int(self.ids[i]), p
+        key = key[np.append(True, key[1:] != key[:-1])[: len(key)]] >> self.low  # a piece counts once a bin
+        new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        both, key = np.diff(np.append(new, len(key))), key[new]
+        # a bin below one that holds some counts too
+        key, at = np.unique(np.append(key, key - 1), return_inverse=True)
+        total = np.bincount(at, weights=np.append(both, both)).astype(np.int64)
+        item = np.clip(np.searchsorted(base, key, "right") - 1, 0, len(self.ids) - 1)
+        fine = total >= self.least[item]
+        item, key = item[fine], key[fine]
+        return item, ((key - base[item]) << self.shift[item]) - self.ahead
 
 
 class Index:
@@ -168,7 +185,7 @@ class Index:
         begin = words.at[words.begin]
         self.items = [words.bytes[x : max(x, y - 1)].tobytes() for x, y in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True)]
         self.most = [int(ratio * len(x)) for x in self.items]
-        self.grams = [grams(x) for x in self.items]
+        self.grams = [np.unique(grams(x)) for x in self.items]
         by: dict[int, list[tuple[int, bytes, int]]] = {}
         offset, start, self.parts = [], [], []
         for i, (x, e) in enumerate(zip(self.items, self.most, strict=True)):
@@ -203,46 +220,57 @@ class Index:
                     yield int(words.doc[start[s]]), i
 
     def regions(self, words: Words) -> list[tuple[int, int, int, int]]:
-        """(text, item, from, to): all bytes of a text that can hold the item; places near one another are one region."""
-        places: dict[tuple[int, int], list[int]] = {}
+        """(text, item, from, to): all bytes of a text that can hold the item; those that overlap are one region. A run begins within the edits of
+        where its unbroken pieces say."""
+        found, code = [], None
         for pieces in self.pieces:
-            for t, i, p in pieces.places(words):
-                places.setdefault((t, i), []).append(p)
-        out, edge = [], words.at[words.begin].tolist()
-        for (t, i), at in sorted(places.items()):
-            e, size, new = self.most[i], len(self.items[i]), True
-            for p in sorted(at):
-                x, y = max(edge[t], p - 2 * e), min(edge[t + 1], p + size + 3 * e)
-                if new or x > out[-1][3]:
-                    out.append((t, i, x, y))
-                else:
-                    out[-1] = t, i, out[-1][2], max(out[-1][3], y)
-                new = False
-        return out
-
-    def _windows(self, words: Words, regions: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(steps, regions, parts, first bytes): the windows at the words from which a region can hold a part, by steps of their walk."""
-        by: dict[int, list[tuple[int, int, np.ndarray]]] = {}
-        for r, (_, i, x, y) in enumerate(regions):
-            for p in self.parts[i]:
-                low, high = x + int(self.offset[p]), y - (len(self.items[i]) - int(self.offset[p])) + self.most[i]
-                a, b = np.searchsorted(words.at[:-1], [low, high + 1])
-                by.setdefault(int(self.steps[p]), []).append((r, p, words.at[a:b]))
-        for steps, rows in by.items():
-            n = [len(x) for _, _, x in rows]
-            yield steps, np.repeat([r for r, _, _ in rows], n), np.repeat([p for _, p, _ in rows], n), np.concatenate([x for _, _, x in rows])
+            code = pieces.n, packed(words.bytes, pieces.n, code)
+            item, low = pieces.places(code[1], len(words.bytes))
+            e, width = pieces.most[item], 1 << pieces.shift[item]
+            found.append((pieces.ids[item], low - e, low + 2 * width + e, e))
+        if not found or not words.n_docs:
+            return []
+        item, low, high, e = (np.concatenate(c) for c in zip(*found, strict=True))
+        edge, size = words.at[words.begin], np.array([len(x) for x in self.items], np.int64)
+        first, last = (np.clip(np.searchsorted(edge, x, "right") - 1, 0, words.n_docs - 1) for x in (low, high))
+        n = last - first + 1
+        text = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, low, high, e = (np.repeat(x, n) for x in (item, low, high, e))
+        x, y = np.maximum(low, edge[text]), np.minimum(high + size[item] + e, edge[text + 1])
+        order = np.lexsort((x, item, text))
+        text, item, x, y = (c[order] for c in (text, item, x, y))
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (x[1:] > y[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(text))[: len(first)] - 1
+        wide = zip(text[first].tolist(), item[first].tolist(), x[first].tolist(), y[last].tolist(), strict=True)
+        return [(t, i, x + a, min(y, x + b)) for t, i, x, y in wide for a, b in able(self.grams[i], words.bytes[x:y], len(self.items[i]), self.most[i])]
+
+    def _windows(self, words: Words, regions: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(region, part, first byte) of each window: they begin at the words from which a region can hold a part of its item."""
+        rows = [(r, p, x + int(self.offset[p]), y - len(self.items[i]) + int(self.offset[p]) + self.most[i] + 1) for r, (_, i, x, y) in enumerate(regions) for p in self.parts[i]]
+        r, p, low, high = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        a, b = np.searchsorted(words.at[:-1], low), np.searchsorted(words.at[:-1], high)
+        n = np.maximum(b - a, 0)
+        return np.repeat(r, n), np.repeat(p, n), words.at[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
     def met(self, words: Words, regions: list[tuple[int, int, int, int]], walks: range) -> set[int]:
         """The regions with a window and a part of their item that share a key of a walk."""
+        region, part, first = self._windows(words, regions)
         buf, out = np.append(words.bytes, np.full(2 * PART, 32, np.uint8)), set()
-        for steps, region, part, first in self._windows(words, regions):
-            parts, own = np.unique(part, return_inverse=True)
-            theirs = keys(walk(self.bytes, self.start[parts], walks, steps), walks)
-            each = max(1, HELD // len(walks))
-            for k in range(0, len(first), each):
-                starts, at = np.unique(first[k : k + each], return_inverse=True)
-                hit = (keys(walk(buf, starts, walks, steps), walks)[:, :, at] == theirs[:, :, own[k : k + each]]).any((0, 1))
-                out.update(region[k : k + each][hit].tolist())
+        each = max(1, HELD // len(walks))
+        order = np.lexsort((first, -self.steps[part]))
+        for k in range(0, len(order), each):
+            some = order[k : k + each]
+            wide, here = walked(buf, first[some], self.steps[part[some]], walks)
+            own, there = walked(self.bytes, self.start[part[some]], self.steps[part[some]], walks)
+            for steps in np.unique(self.steps[part[some]]):
+                at = np.flatnonzero(self.steps[part[some]] == steps)
+                (x, i), (y, j) = (np.unique(z[at], return_inverse=True) for z in (here, there))
+                mine, theirs, hit = keys(wide[:, :, x], int(steps), walks), keys(own[:, :, y], int(steps), walks), np.zeros(len(at), bool)
+                for w in range(len(walks)):
+                    hit |= (mine[w][:, i] == theirs[w][:, j]).any(0)
+                out.update(region[some[at[hit]]].tolist())
         return out
 
     def search(self, words: Words) -> dict[tuple[int, int], int]:
@@ -266,7 +294,7 @@ class Index:
         item, most = self.items[i], self.most[i]
         if item in run:
             return 0
-        return min((distance(item, run[a:b], most) for a, b in able(self.grams[i], run, len(item), most)), default=most + 1)
+        return distance(item, run, most)
 
 
 def distance(item: bytes, text: bytes, most: int) -> int:
@@ -293,20 +321,23 @@ def distance(item: bytes, text: bytes, most: int) -> int:
     return best if best <= most else most + 1
 
 
-def grams(text: bytes) -> np.ndarray:
+def grams(text: bytes | np.ndarray) -> np.ndarray:
     """All runs of four bytes, as numbers."""
-    return np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), 4).copy().view("<u4").ravel() if len(text) > 3 else np.zeros(0, np.uint32)
+    x = np.frombuffer(text, np.uint8).astype(np.uint32)
+    return x[:-3] | x[1:-2] << np.uint32(8) | x[2:-1] << np.uint32(16) | x[3:] << np.uint32(24) if len(x) > 3 else np.zeros(0, np.uint32)
 
 
-def able(item_grams: np.ndarray, text: bytes, size: int, most: int) -> list[tuple[int, int]]:
+def able(item_grams: np.ndarray, text: np.ndarray, size: int, most: int) -> list[tuple[int, int]]:
     """The parts of a text that hold all runs within `most` edits of an item of `size` bytes: an edit breaks at most four runs of four,
-    so enough of the item's stand in so many bytes and edits."""
-    least, long_ = len(item_grams) - 4 * most, size + most
+    so enough of the item's stand in so many bytes and edits. item_grams: the item's different runs of four, sorted."""
+    least, long_ = size - 3 - 4 * most, size + most
     if least <= 0:
         return [(0, len(text))]
-    total = np.append(0, np.cumsum(np.isin(grams(text), item_grams)))
-    start = np.arange(len(total))
-    live = np.flatnonzero(total[np.minimum(start + long_ - 3, len(total) - 1)] - total >= least)
+    g = grams(text)
+    total = np.zeros(len(g) + 1, np.int64)
+    np.cumsum(item_grams[np.minimum(np.searchsorted(item_grams, g), len(item_grams) - 1)] == g, out=total[1:])
+    ahead = max(1, min(long_ - 3, len(g)))
+    live = np.flatnonzero(np.append(total[ahead:], np.full(ahead, total[-1])) - total >= least)
     if not len(live):
         return []
     cut = np.flatnonzero(np.diff(live) > long_)
