@@ -60,7 +60,7 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-SLIM = "doc_id long, c1 long, c2 long, n_shingles long, bands array<long>"
+SLIM = "doc_id long, text_hash long, c1 long, c2 long, n_shingles long, bands array<long>"
 
 
 def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,8 +72,8 @@ def _slim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, begin, end = words.hashes, words.begin[:-1], words.begin[1:]
             offsets = pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * b.shape[1])
             yield pa.record_batch(
-                [part.column(0), _signed(runs(h, begin, end, 1)), _signed(runs(h, begin, end, 2)), pa.array(np.bincount(d, minlength=part.num_rows)), pa.ListArray.from_arrays(offsets, _signed(b.ravel()))],
-                names=["doc_id", "c1", "c2", "n_shingles", "bands"],
+                [part.column(0), part.column(1), _signed(runs(h, begin, end, 1)), _signed(runs(h, begin, end, 2)), pa.array(np.bincount(d, minlength=part.num_rows)), pa.ListArray.from_arrays(offsets, _signed(b.ravel()))],
+                names=["doc_id", "text_hash", "c1", "c2", "n_shingles", "bands"],
             )
 
 
@@ -202,21 +202,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Every row with n_shingles, component_id and kept: documents are linked where 100 * intersection >= percent * union
     of their sets of distinct 5-word shingles, words lower-cased in A-Z; component_id is the smallest doc_id reachable.
 
-    Texts of equal words are one class, and only its smallest doc_id is sketched further. Bands name candidates: the
-    members of a bucket are confirmed on full sets against its least, then its greatest member; where a bucket still joins different
-    components, its texts are checked against one another in blocks, so that no link found by the bands is lost. A null or wordless
-    text is empty and linked with nothing; a null doc_id takes no part (component_id null, kept). Repeated
-    rows share their fate. An empty table gives no rows; extra columns are ignored."""
-    docs = docs.select("doc_id", "text")
+    Texts of equal words are one class, of which one text is sketched further. Bands name candidates: the members of a bucket are confirmed
+    on full sets against its first, then its last member; where a bucket still joins different components, its texts are checked
+    against one another in blocks, so that no link found by the bands is lost. A null or wordless text is empty and linked with
+    nothing; a null doc_id takes no part (component_id null, kept). Rows that share a doc_id are texts of their own: equal ones share
+    their fate, others have each its own links. Very long texts are read whole. An empty table gives no rows; extra columns are ignored."""
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    row = ["doc_id", "text_hash"]
     slim = settle(docs.mapInArrow(_slim, SLIM), "slim")
     active = slim.filter("n_shingles > 0 and doc_id is not null")
-    classes = settle(active.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = active.join(classes.withColumnRenamed("rep", "doc_id"), ["c1", "c2", "doc_id"]).dropDuplicates(["doc_id"])
-    spread = reps.select(F.col("doc_id").alias("rep"), "n_shingles", F.posexplode("bands").alias("band", "hash"))
+    firsts = active.groupBy("c1", "c2").agg(F.min(F.struct(*row)).alias("first")).select("c1", "c2", "first.*")
+    classes = settle(firsts.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = active.join(classes, ["c1", "c2", *row]).dropDuplicates(["c1", "c2", *row])
+    spread = reps.select(F.col("node").alias("rep"), F.posexplode("bands").alias("band", "hash"))
     shared = spread.groupBy("band", "hash").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).filter("low != high").select("band", "hash")
     members = settle(spread.join(shared, ["band", "hash"]).select("band", "hash", "rep"), "members")
-    involved = members.select(F.col("rep").alias("doc_id")).distinct()
-    sets = settle(docs.join(involved, "doc_id").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, items array<long>"), "sets", "none")
+    involved = members.select(F.col("rep").alias("node")).distinct().join(classes, "node").select("node", *row)
+    sets = settle(docs.join(involved, row).dropDuplicates(row).select("node", "text").mapInArrow(_sets, "id long, items array<long>"), "sets", "none")
     alone = sets.select("id", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1").groupBy("id").agg(F.count("*").alias("u"))
     size = settle(sets.select("id", F.size("items").alias("n")).join(alone, "id", "left").select("id", "n", F.coalesce("u", F.lit(0)).alias("u")).filter(f"100 * (n - u) >= {percent} * n"), "sizes")
 
@@ -240,7 +242,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     near = settle(placed.join(mixed, ["band", "hash"]).select("least", "rep", "component").distinct(), "mixed")
     if near.limit(1).count():
         label = components(links.unionByName(across(near, sets, percent)))
-    placed = classes.join(label.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component_id"))
-    out = slim.drop("bands").join(placed, ["c1", "c2"], "left")
+    linked = label.withColumnRenamed("id", "node").join(classes, "node").select("node", "component", "doc_id")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = linked.join(least, "component").select("node", "least")
+    placed = classes.join(named, "node", "left").select("c1", "c2", F.coalesce("least", "doc_id").alias("component_id"))
+    out = slim.drop("bands", "text_hash").join(placed, ["c1", "c2"], "left")
     least = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", least.alias("component_id"), F.coalesce(F.col("doc_id") == least, F.lit(True)).alias("kept"))
