@@ -232,14 +232,16 @@ OUT = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "ids_crc
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of each piece. A text's ids and the end id are cut into runs of
-    `capacity`, which are sequences by themselves, and a tail; tails are dealt into groups by a hash, each of which is packed into as few
-    near-equal sequences as differencing finds.
+    `capacity`, which are sequences by themselves, and a tail; tails are dealt into groups by a hash of their row, each of which is packed into
+    as few near-equal sequences as differencing finds.
 
-    A null or empty text is the end id alone; equal rows are packed like others, each its own piece; a null doc_id stays null.
+    A null or empty text is the end id alone; equal rows are packed like others, each its own piece, in whatever group its row falls; a null
+    doc_id stays null; a very long text is cut like any other.
     No rows give no rows; extra columns are ignored. Texts never travel: pieces do."""
     cut = settle(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, end_id, capacity), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"), "pieces")
     tails = cut.filter(F.col("length") < capacity).count()
     n = max(1, -(-tails // GROUP))
-    dealt = cut.withColumn("batch", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n)))
+    # by a number of the row, so that equal rows do not share a group; the pieces are written, so the number stays
+    dealt = cut.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id", "start"), F.lit(n)))
     parts = max(1, min(n, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return dealt.repartition(parts, "batch").sortWithinPartitions("batch").mapInArrow(_place(capacity), ", ".join(f"{f.name} long" for f in OUT))
