@@ -217,6 +217,12 @@ def test_packing_is_exact_and_tight(spark):
     assert total / (4096 * len(sequences)) > 0.95
 
 
+def test_equal_rows_are_dealt_over_groups(spark):
+    df = spark.createDataFrame([(1, "a b c")] * 3000, "doc_id long, text string")
+    got = packing.pack(df, queries.tokenizer("word_bpe_49k.json")).collect()
+    assert len(got) == 3000 and max(Counter(r.sequence_id >> 32 for r in got).values()) < 2 * packing.GROUP
+
+
 def test_differencing_beats_greedy_and_raises_the_count():
     assert sorted(sum([4, 5, 6, 7, 8][i] for i in p) for p in packing.differencing([4, 5, 6, 7, 8], 2)) == [14, 16]
     rng = random.Random(3)
@@ -351,6 +357,50 @@ def test_repeats_match_brute_force(spark):
             assert (got[d].n_words, got[d].n_removed, got[d].kept_sha256, got[d].kept_text) == (len(w), len(gone), hashlib.sha256(text.encode()).hexdigest(), text)
 
 
+def test_heavy_buckets_are_dealt_anew_with_equal_results(spark, monkeypatch):
+    rng = random.Random(21)
+    phrase = words_of(6, 5)
+    texts = [" ".join(x for _ in range(rng.randrange(1, 12)) for x in (*phrase, *words_of(rng.randrange(3, 30), rng.randrange(40)))) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = sorted(substrings.remove_repeats(df, 35).collect())
+    monkeypatch.setattr(substrings, "HEAVY", 0)
+    assert sorted(substrings.remove_repeats(df, 35).collect()) == plain
+    assert any(0 < r.n_removed < r.n_words for r in plain)
+
+
+def test_one_common_phrase_spreads_over_buckets():
+    rng = random.Random(22)
+    body = " ".join(f"the same words here {' '.join(words_of(34, rng.random(), 10**6))}" for _ in range(300))
+    w = common.Words(*common.flat(common.pa.array([body])))
+    a, _, bucket, _ = substrings.super_kmers(w, 35, 64)
+    hot = np.bincount(bucket, minlength=64).argmax()
+    heavy = np.arange(64) == hot
+    x, y, again, _ = substrings.super_kmers(w, 35, 64, heavy)
+    assert x[0] == a[0] and y[-1] == len(w.doc)
+    assert set(range(len(w.doc) - 34)) == {i for p, q in zip(x, y, strict=True) for i in range(p, q - 34)}
+
+
+def test_windows_of_one_fingerprint_are_told_apart():
+    texts = ["a b c d e a b c d", "a b c d f", "b c d e"]
+    w = common.Words(*common.flat(common.pa.array(texts)))
+    parts = [(w.bytes, np.diff(w.at))]
+    start = np.array([i for i in range(len(w.doc)) if i + 3 <= w.begin[1:][w.doc[i]]])
+    r = substrings.ranks(parts, start, 3)
+    windows = [tuple(" ".join(texts).split()[i : i + 3]) for i in start]
+    assert all((r[i] == r[j]) == (windows[i] == windows[j]) for i in range(len(r)) for j in range(len(r)))
+    order, new = substrings._order(r, r)
+    assert substrings.same(w.hashes, parts, start[order], new, 3)
+    assert not substrings.same(w.hashes, parts, start, np.arange(len(start)) == 0, 3)  # windows that differ
+    assert not substrings.same(np.zeros(len(w.doc), np.uint64), parts, start, np.arange(len(start)) == 0, 3)  # words that share a hash
+
+
+def test_many_equal_rows_of_one_id_take_linear_time(spark):
+    text = " ".join(words_of(1500, 3, 10**6))
+    df = spark.createDataFrame([(1, text)] * 300 + [(None, text)] * 100, "doc_id long, text string")
+    got = substrings.remove_repeats(df).collect()
+    assert len(got) == 400 and {(r.n_words, r.n_removed) for r in got} == {(1500, 1500)}
+
+
 # 6
 
 
@@ -397,6 +447,28 @@ def test_top_k_matches_brute_force(spark):
     assert topk.scores(*big)[0, 0] == 2**60 + 15
 
 
+def test_top_k_of_awkward_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 2.0]), (2, [0.0, 2.0]), (3, [1.0]), (100, [1.0]), (200, []), (4, []), (300, [1.0, 2.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("block", "key", "low", "step", "dim", "rank", "score")})
+    got = topk.top_k(df, df.filter("vec_id % 100 = 0"), 3).collect()
+    mine = lambda q: sorted((r["rank"], r.vec_id, r.score) for r in got if r.query_id == q)
+    m = 2 * 1024 * 1024
+    assert mine(0) == sorted([(1, 1, m), (2, 2, 0), (3, 2, 0), (1, 2, m), (2, 2, m), (3, 1, 0)])  # two rows of one id: each has its own list
+    assert mine(100) == [(1, 3, 1024 * 1024)] and mine(200) == [(1, 4, 0)] and mine(300) == []
+
+
+def test_top_k_is_exact_or_ends(spark):
+    big = [(0, [1e9, 1.0]), (1, [1e3, 1.0]), (2, [-1e3, 5.0]), (3, [1e3, 2.0])]
+    df = spark.createDataFrame(big, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.filter("vec_id = 0")).collect()
+    m = 1024 * 1024
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == [(3, m * (10**12 + 2)), (1, m * (10**12 + 1)), (2, m * (5 - 10**12))]
+    for far in (1e13, 1e300):
+        bad = df.union(spark.createDataFrame([(4, [far, 1.0]), (5, [far, 1.0])], df.schema))
+        with pytest.raises(Exception, match="inner product|64 bits"):
+            topk.top_k(bad, bad.filter("vec_id = 4")).collect()
+
+
 # 8
 
 
@@ -436,6 +508,14 @@ def test_components_match_brute_force(spark):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (len(a), find(i), find(i) == i)
 
 
+def test_texts_that_share_an_id_keep_their_links(spark):
+    a, b = (words_of(60, x, 100000) for x in (1, 2))
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (9, near(b)), (None, " ".join(a)), (11, " ".join(b)), (5, " ".join(b)), (12, "x y"), (4, "")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in got) == Counter([(5, 5, True)] * 3 + [(7, 5, False), (9, 5, False), (11, 5, False), (None, None, True), (12, 12, True), (4, 4, True)])
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(3)
     d = np.repeat([0, 1, 2], [3, 400, 400])
