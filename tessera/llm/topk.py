@@ -42,15 +42,15 @@ def _blocks(id_: str, size: int):
 BLOCK = "dim int, ids array<long>, m binary"
 
 
-def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """All integer inner products, exactly: in doubles where these hold them, else in 64-bit integers, else number by number; one beyond 64 bits
-    is an error."""
+def scores(q: np.ndarray, v: np.ndarray, ok: np.ndarray | bool = True) -> np.ndarray:
+    """All integer inner products that count, exactly: in doubles where these hold them, else in 64-bit integers, else number by number; one
+    of LIMIT or more is an error."""
     reach = q.shape[1] * float(np.abs(q.astype(float)).max()) * float(np.abs(v.astype(float)).max()) if q.size and v.size else 0.0
     if reach < 2**53:
         return (q.astype(float) @ v.astype(float).T).astype(np.int64)
     if reach < LIMIT:
         return q @ v.T
-    exact = q.astype(object) @ v.astype(object).T
+    exact = np.where(ok, q.astype(object) @ v.astype(object).T, 0)
     if max(abs(x) for x in exact.flat) >= LIMIT:
         raise OverflowError("an inner product of 2**62 or more")
     return exact.astype(np.int64)
@@ -69,7 +69,8 @@ class Asked:
         d = block["dim"]
         if d not in self.key:
             return None
-        return scores(self.m[d], block["m"]), self.ids[d][:, None] != block["ids"][None, :]
+        ok = self.ids[d][:, None] != block["ids"][None, :]
+        return scores(self.m[d], block["m"], ok), ok
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict]]:
