@@ -2,9 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
+
+def _after(known: list[tuple[str, str]], start: str, keep: bool = False) -> str:
+    """The first known text with this start, with or without it."""
+    return next(t if keep else t.removeprefix(start) for _, t in known if t.startswith(start))
+
+
+#: The conditions that the texts of the BSD licenses share, their third one, and the disclaimer.
+BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n",
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n",
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+)
 #: License texts and notices known to the scan, as (license, text).
 KNOWN = [
     ("MIT", "Released under the MIT License."),
@@ -16,14 +29,58 @@ KNOWN = [
     ("CC0-1.0", "Released under CC0 1.0."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
     ("MIT", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.\n\nYou should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."),
+    ("BSD-2-Clause", BSD[0] + BSD[2]),
+    ("BSD-2-Clause", "BSD 2-Clause License\n\n" + BSD[0] + BSD[2]),
+    ("BSD-3-Clause", BSD[0] + BSD[1] + BSD[2]),
+    ("BSD-3-Clause", "BSD 3-Clause License\n\n" + BSD[0] + BSD[1] + BSD[2]),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org/>"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n\nPermission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:\n\nThe copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+]
+# a whole text with another heading, or none, is the same license
+KNOWN += [("MIT", heading + _after(KNOWN, "MIT License\n\n")) for heading in ("", "The MIT License\n\n", "The MIT License (MIT)\n\n")]
+KNOWN += [("ISC", heading + _after(KNOWN, "Permission to use", keep=True)) for heading in ("ISC License\n\n", "The ISC License\n\n")]
+KNOWN += [("0BSD", "BSD Zero Clause License\n\n" + t) for k, t in KNOWN if k == "0BSD"]
+KNOWN += [("Zlib", "zlib License\n\n" + t) for k, t in KNOWN if k == "Zlib"]
+#: Digests of the canonical forms of long license texts, as (license, digest): whole texts as published, and without what follows
+#: their terms.
+DIGESTS = [
+    ("Apache-2.0", "f92c423b6d6da66caa78abd6f49f73f5bc8715dca82e1a73f62d1e6eec41986c"),
+    ("Apache-2.0", "09ad3868555dada25cbf24199409a8c1e39fe8ef08d164adc6e98c1d02767793"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
+    ("GFDL-1.2", "15f6a8d360ffdecc988c29279c00f23e20de17f14f2a06572ab0d41de6e98b7b"),
+    ("GFDL-1.3", "2d36daeff2ad303badb6dee8149748be25e22974dd468e1e8a55cf40f16fc01d"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "312d60d6637eaa5485742576ef2bf899e0513899a4e98cc9a1a6c688423c3ca6"),
+    ("MPL-2.0", "383594bdce0c728972216e9a2472728e1ce0ac4e0e983e80b237c67270d2ef1f"),
 ]
 #: Spellings that count as one, after punctuation is gone; (pattern, replacement).
-SPELLINGS = [("licence", "license"), ("organisation", "organization"), ("non commercial", "noncommercial"), ("sub license", "sublicense"), ("https?", "http")]
-LINE = r"(^|\n)[^\n0-9A-Za-z]*([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|\([Cc]\)|©)[^\n]*"
+SPELLINGS = [
+    ("(licen|offen)ce", "$1se"), ("(organi|authori|recogni|reali|utili|initiali|emphasi)s([aei])", "$1z$2"), ("(judg|acknowledg)ement", "$1ment"), ("(fav|lab)our", "$1or"),
+    ("non (commercial|infring)", "non$1"), ("sub license", "sublicense"), ("wilful", "willful"), ("https", "http"),
+]
+#: Lines of a copyright holder: a copyright mark with a sign, year or blank after it, or a reservation of rights.
+LINE = r"(^|\n)[^\n0-9A-Za-z]*([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt][^\n0-9A-Za-z]*(\([Cc]\)|©|[0-9]|[<\[{])|\([Cc]\)|©|[Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd])[^\n]*"
 
 
 def canonical(text: Column) -> Column:
-    """Lines that begin with a copyright mark go; A-Z are lower-cased; all but letters and digits of ASCII become single spaces; then SPELLINGS."""
+    """Lines of copyright holders go; A-Z are lower-cased; all but letters and digits of ASCII become single spaces; then SPELLINGS."""
     c = F.regexp_replace(F.coalesce(text, F.lit("")), LINE, "\n")
     c = F.trim(F.regexp_replace(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^0-9a-z]+", " "))
     for pattern, to in SPELLINGS:
@@ -31,10 +88,12 @@ def canonical(text: Column) -> Column:
     return c
 
 
-def catalogue(spark, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license) of the known texts: as many rows as the list holds."""
-    rows = spark.createDataFrame(known or KNOWN, "license string, text string")
-    return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("digest")).agg(F.min("license").alias("license"))
+def catalogue(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(digest, license) of the known texts, one row a digest; the shipped ones where none are given."""
+    digests = spark.createDataFrame(known or KNOWN, "license string, text string").select("license", F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    if not known:
+        digests = digests.unionByName(spark.createDataFrame(DIGESTS, "license string, digest string"))
+    return digests.groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -42,16 +101,13 @@ def license_scan(docs: DataFrame, known: list[tuple[str, str]] | None = None) ->
     null, and the licenses of its lines that are, each line taken as an entire text, known notices: sorted,
     distinct, joined by commas.
 
-    Digests meet the catalogue in hash joins; the catalogue is broadcast, as it is a fixed list and no corpus table. A null text is
-    the empty text, whose digest no license has; rows with null or repeated ids stay rows of their own; no rows give no
-    rows; extra columns are ignored."""
-    spark = docs.sparkSession
-    known_ = F.broadcast(catalogue(spark, known))
-    docs = docs.select("doc_id", "text")
-    line = F.split(F.coalesce("text", F.lit("")), "\n")
-    whole = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), F.transform(line, lambda x: F.sha2(canonical(x), 256)).alias("lines"))
-    out = whole.join(known_, "digest", "left")
-    # the fixed list as a map literal: lines need no rows of their own
-    by_digest = F.create_map(*[F.lit(x) for row in catalogue(spark, known).collect() for x in row])
-    names = F.array_sort(F.array_distinct(F.filter(F.transform("lines", lambda x: by_digest[x]), lambda x: x.isNotNull())))
-    return out.select("doc_id", "digest", "license", F.array_join(names, ",").alias("notices"))
+    Digests of texts and of lines meet the catalogue in hash joins, whose side Spark chooses by size; lines that are no notice go no further. A
+    null text is the empty text, whose digest no license has; very long texts are read whole, each of their lines on its own; equal texts have
+    equal notices, rows with null or repeated ids stay rows of their own; no rows give no rows; extra columns are ignored."""
+    known_ = catalogue(docs.sparkSession, known)
+    text = F.coalesce("text", F.lit(""))
+    lines = docs.select(F.sha2(text, 256).alias("own"), F.explode(F.split(text, "\n")).alias("line"))
+    hits = lines.select("own", F.sha2(canonical(F.col("line")), 256).alias("digest")).join(known_, "digest")
+    notices = hits.groupBy("own").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
+    whole = docs.select("doc_id", F.sha2(text, 256).alias("own"), F.sha2(canonical(F.col("text")), 256).alias("digest"))
+    return whole.join(known_, "digest", "left").join(notices, "own", "left").select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
