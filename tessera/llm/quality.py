@@ -10,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Words, chunks, mix
+from tessera.llm.common import LOWER, Words, chunks, mix
 
-#: Labelled rows that training reads at most: the first by a hash of their id. A quarter each keep their labels, calibrate, and (half)
-#: lend their texts without labels.
-SAMPLE = 8000
+#: Labelled rows that training reads at most, and unlabelled ones: the first by a hash of their id. Half of the labelled rows of either class
+#: are seeds, half calibrate; the unlabelled ones are the pool from which the views label texts for one another.
+SAMPLE, POOL = 8000, 8000
 ROUNDS = 3
 #: How sure a view must be, on calibrated scale, to label a text for the other.
 SURE = 0.97
 SLOTS = 32
+#: Hashed counts of the content view: of words, and of runs of three bytes.
+WORDS, GRAMS = 256, 128
 
 _class = np.zeros(256, np.int64)
 for _k, _chars in enumerate(["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", ".,;:'\"()-?", "!", "#$%&*@^~+=<>", "|/\\_{}[]"], 1):
@@ -48,7 +50,16 @@ def content(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     stutter = np.bincount(words.doc[1:][(hashes[1:] == hashes[:-1]) & (words.doc[1:] == words.doc[:-1])], minlength=n_docs) / per
     x = np.column_stack([ratios, np.sqrt(ratios), distinct / per, share.sum(1) / per, np.log1p(n), lines / per, long_ / per, n < 3, stutter, np.sqrt(stutter)])
     x[:, 15] = np.minimum(x[:, 15], 40)
-    return x
+
+    def hashed(doc: np.ndarray, h: np.ndarray, slots: int) -> np.ndarray:
+        slot = (h % np.uint64(slots)).astype(np.int64)
+        count = np.bincount(doc * slots + slot, minlength=n_docs * slots).reshape(n_docs, slots)
+        return np.sqrt(count / np.maximum(count.sum(1), 1)[:, None])
+
+    low = LOWER[buf].astype(np.uint64)
+    runs_ = low[:-2] | low[1:-1] << np.uint64(8) | low[2:] << np.uint64(16)
+    inside = np.flatnonzero(doc[:-2] == doc[2:]) if len(doc) > 2 else np.zeros(0, np.int64)
+    return np.hstack([x, hashed(words.doc, mix(hashes, 9), WORDS), hashed(doc[inside], (runs_[inside] * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40), GRAMS)])
 
 
 def metadata(lang: list, source: list, n_chars: list) -> np.ndarray:
@@ -106,7 +117,7 @@ class Model:
 
 
 def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, role: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """role: 0 keeps its label, 1 lends its features only, 2 calibrates. In a round either view is fitted on the labels it has, calibrated,
+    """role: 0 is labelled, 1 is not and lends its features only, 2 calibrates. In a round either view is fitted on the labels it has, calibrated,
     and hands the labels of the texts it is sure of to the other view."""
     seeds, pool, hold = (np.flatnonzero(role == r) for r in range(3))
     given: list[dict[int, int]] = [{}, {}]
@@ -125,45 +136,74 @@ def co_train(x: np.ndarray, m: np.ndarray, y: np.ndarray, role: np.ndarray, roun
                         given[1 - v].setdefault(int(i), int(q > 0.5))
     z = [s(v(f)[:, None]) for s, v, f in zip(scales, views, (x, m), strict=True)]
     combined = fit(np.column_stack(z)[hold], y[hold], 1e-2, False)
-    p = sigmoid(combined(np.column_stack(z)))
-    return Model(tuple(views), tuple(scales), combined, {"pool_accuracy": float(((p[pool] > 0.5) == y[pool]).mean()) if len(pool) else None, "exchanged": [len(g) for g in given]})
+    p = sigmoid(combined(np.column_stack(z)[hold]))
+    return Model(tuple(views), tuple(scales), combined, {"calibration_accuracy": float(((p > 0.5) == y[hold]).mean()), "exchanged": [len(g) for g in given]})
+
+
+def _column(part: pa.RecordBatch, name: str) -> list:
+    """A column's values, whatever its type; one that is missing is null."""
+    at = part.schema.get_field_index(name)
+    if at < 0:
+        return [None] * part.num_rows
+    return part.column(at).cast(pa.int64() if name == "n_chars" else pa.string()).to_pylist()
+
+
+def _views(part: pa.RecordBatch, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return content(buf, off), metadata(*(_column(part, c) for c in ("lang", "source", "n_chars")))
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, buf, off in chunks(batch):
-            x, m = content(buf, off), metadata(*(part.column(c).to_pylist() for c in ("lang", "source", "n_chars")))
-            yield pa.record_batch([part.column("doc_id"), part.column("quality"), pa.array(list(x), pa.list_(pa.float64())), pa.array(list(m), pa.list_(pa.float64()))], names=["doc_id", "quality", "x", "m"])
+            x, m = _views(part, buf, off)
+            yield pa.record_batch([part.column("doc_id"), part.column("quality"), *(pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())) for v in (x, m))], names=["doc_id", "quality", "x", "m"])
+
+
+def _typed(docs: DataFrame, *extra: str) -> DataFrame:
+    """What the views read, of one type; columns that are missing are null."""
+    kinds = {"text": "string", "lang": "string", "source": "string", "n_chars": "long"}
+    return docs.select("doc_id", *[(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], *extra)
+
 
+def _collected(docs: DataFrame, few: DataFrame, most: int) -> list:
+    """Features of the rows with the ids of `few`, at most `most` of them: the first by a hash of their id, ties by all that is read."""
+    rows = _typed(docs).join(F.broadcast(few), "doc_id").mapInArrow(_features, "doc_id long, quality long, x array<float>, m array<float>")
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x", "m").limit(most).collect()
 
-INPUT = ["doc_id", "text", "lang", "source", "n_chars"]
 
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model | None:
+    """The model from at most `sample` labelled rows and `pool` unlabelled ones; None where no text or only one class is labelled. Labels with a null
+    id or another quality than 0 and 1 are left out; a document with labels of both is labelled twice; repeated ids are rows of their
+    own. Null texts are empty, null or missing languages, sources and lengths have values of their own.
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """The model from at most `sample` labelled rows; None where no text or only one class is labelled."""
-    rows = labels.select("doc_id", F.col("quality").cast("long")).filter("doc_id is not null and quality in (0, 1)").distinct()
-    few = F.broadcast(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))  # at most `sample` pairs of numbers
-    typed = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    got = typed.join(few, "doc_id").mapInArrow(_features, "doc_id long, quality long, x array<double>, m array<double>").limit(4 * sample).collect()
-    got.sort(key=lambda r: (r[0], r[1], r[2]))
+    With a single row of a class there is none to calibrate by: then all rows are seeds and calibrate too."""
+    labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality")).filter("doc_id is not null")
+    rows = labels.filter("quality in (0, 1)").distinct()
+    docs = _typed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    got = _collected(docs, rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample), sample)
     y = np.array([r[1] for r in got], float)
     if len(set(y)) < 2:
         return None
-    key = mix(np.array([r[0] for r in got], np.int64).view(np.uint64), 3) % np.uint64(4)
-    role = np.array([0, 1, 1, 2])[key.astype(int)]
-    if any(len(set(y[role == r])) < 2 for r in (0, 2)):
-        role = np.zeros(len(y), int)
-        x, m = np.array([r[2] for r in got]), np.array([r[3] for r in got])
-        return co_train(np.vstack([x, x]), np.vstack([m, m]), np.append(y, y), np.append(role, role + 2), 0)
-    return co_train(np.array([r[2] for r in got]), np.array([r[3] for r in got]), y, role)
+    other = docs.filter("doc_id is not null").select("doc_id").join(labels, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
+    got += _collected(docs, other.withColumn("quality", F.lit(-1).cast("long")), pool)
+    x, m = (np.array([r[i] for r in got], float) for i in (2, 3))
+    # every other row of a class calibrates, by the hash of the id, so that either class is on both sides
+    role = np.where(np.arange(len(got)) < len(y), 0, 1)
+    for q in (0.0, 1.0):
+        role[np.flatnonzero(y == q)[1::2]] = 2
+    y = np.append(y, np.full(len(got) - len(y), -1.0))
+    if len(set(y[role == 2])) < 2:
+        own = np.flatnonzero(role != 1)
+        role[own] = 0
+        x, m, y, role = np.vstack([x, x[own]]), np.vstack([m, m[own]]), np.append(y, y[own]), np.append(role, np.full(len(own), 2))
+    return co_train(x, m, y, role)
 
 
 def _apply(model: Model | None, threshold: float, filter_: bool):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, buf, off in chunks(batch):
-                x, m = content(buf, off), metadata(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("lang", "source", "n_chars")))
-                p = model(x, m) if model else (np.ones(part.num_rows),) * 3
+                p = model(*_views(part, buf, off)) if model else (np.ones(part.num_rows),) * 3
                 keep = p[2] >= threshold
                 if filter_:
                     yield part.filter(pa.array(keep))
@@ -177,10 +217,10 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataF
     """(doc_id, p_content, p_metadata, p_quality, keep) of every row: either view's calibrated probability of quality, their combination,
     and whether that reaches the threshold.
 
-    Null texts are empty, null languages, sources and lengths have values of their own; without a model all are kept. Null and
-    repeated ids stay rows of their own; no rows give no rows; extra columns are ignored."""
-    typed = docs.select("doc_id", "text", F.col("lang").cast("string"), F.col("source").cast("string"), F.col("n_chars").cast("long"))
-    return typed.mapInArrow(_apply(model, threshold, False), "doc_id long, p_content double, p_metadata double, p_quality double, keep boolean")
+    Null texts are empty, null or missing languages, sources and lengths have values of their own; very long texts are read whole; without a
+    model all are kept. Null and repeated ids stay rows of their own, equal rows get equal results; no rows give no rows; extra
+    columns are ignored."""
+    return _typed(docs).mapInArrow(_apply(model, threshold, False), "doc_id long, p_content double, p_metadata double, p_quality double, keep boolean")
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
