@@ -12,22 +12,22 @@ def _sql(text: str) -> str:
 
 
 def _canonical(text: str) -> str:
-    line = r"(^|\n)[^\n0-9A-Za-z]*([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]|\([Cc]\)|©)[^\n]*"
-    c = f"regexp_replace(coalesce({text}, ''), {_sql(line)}, chr(10), 'g')"
+    c = f"regexp_replace(coalesce({text}, ''), {_sql(licenses.LINE)}, chr(10), 'g')"
     c = f"trim(regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+', ' ', 'g'))"
     for pattern, to in licenses.SPELLINGS:
-        c = f"regexp_replace({c}, {_sql(pattern)}, {_sql(to)}, 'g')"
+        c = f"regexp_replace({c}, {_sql(pattern)}, {_sql(to.replace('$', chr(92)))}, 'g')"
     return c
 
 
 def op3() -> str:
     known = ", ".join(f"({_sql(k)}, {_sql(t)})" for k, t in licenses.KNOWN)
+    digests = ", ".join(f"({_sql(k)}, {_sql(d)})" for k, d in licenses.DIGESTS)
     return f"""
-WITH known AS (SELECT sha256({_canonical("t")}) AS digest, min(k) AS license FROM (VALUES {known}) v(k, t) GROUP BY 1),
+WITH known AS (SELECT digest, min(k) AS license FROM (SELECT sha256({_canonical("t")}) AS digest, k FROM (VALUES {known}) v(k, t) UNION ALL SELECT d, k FROM (VALUES {digests}) w(k, d)) GROUP BY 1),
 docs AS (SELECT doc_id, text, sha256({_canonical("text")}) AS digest FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
 hits AS (SELECT l.doc_id, string_agg(DISTINCT k.license, ',' ORDER BY k.license) AS notices
-  FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM lines WHERE regexp_matches(line, '[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|CC0')) l JOIN known k USING (digest) GROUP BY 1)
+  FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM lines) l JOIN known k USING (digest) GROUP BY 1)
 SELECT d.doc_id, d.digest, k.license, coalesce(h.notices, '') AS notices
 FROM docs d LEFT JOIN known k USING (digest) LEFT JOIN hits h ON h.doc_id = d.doc_id"""
 

@@ -245,7 +245,7 @@ def test_tokens_equal_the_tokenizers():
 
 
 def test_license_digests(spark):
-    mit = licenses.KNOWN[-1][1]
+    mit = next(t for _, t in licenses.KNOWN if t.startswith("MIT License"))
     rows = [(1, mit.upper()), (2, "Copyright (c) 2020 Someone\n\n" + mit.replace(",", " ;")), (3, mit + " no"), (4, "text\nReleased under the MIT Licence!\nmore\nLicensed under CC BY-NC 4.0."), (5, None)]
     got = {r.doc_id: (r.license, r.notices) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: ("MIT", ""), 2: ("MIT", ""), 3: (None, ""), 4: (None, "CC-BY-NC-4.0,MIT"), 5: (None, "")}
@@ -258,6 +258,29 @@ def test_every_line_may_be_a_notice(spark):
     assert {r.doc_id: r.notices for r in own.collect()} == {1: "OWN", 2: ""}
 
 
+def test_whole_licenses_under_any_heading_and_wrapping(spark):
+    import os
+    import textwrap
+
+    rows, want = [], {}
+    for i, (k, t) in enumerate(licenses.KNOWN):
+        rows.append((i, "\n".join("\n".join(textwrap.wrap(x, 60)) for x in f"Copyright (c) 2021, A. Holder\nAll rights reserved.\n\n{t}".split("\n\n")) if i % 2 else t.replace("license", "licence")))
+        want[i] = k
+    folder = "/usr/share/common-licenses"
+    for name, k in {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1"}.items():
+        if os.path.exists(f"{folder}/{name}"):
+            want[len(rows)] = k
+            rows.append((len(rows), open(f"{folder}/{name}").read()))
+    got = {r.doc_id: r.license for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_a_notice_of_ones_own_is_found(spark):
+    docs = spark.createDataFrame([(1, "a\nPublic domain dedication.\nb"), (1, "a\nPublic domain dedication.\nb"), (None, "PUBLIC DOMAIN dedication"), (2, None)], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("own", "line", "digest", "notices", "license")})
+    got = sorted(((r.doc_id or 0, r.license, r.notices) for r in licenses.license_scan(docs, [("PD", "Public domain dedication.")]).collect()), key=str)
+    assert got == [(0, "PD", "PD"), (1, None, "PD"), (1, None, "PD"), (2, None, "")]
+
+
 SECRET = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
@@ -280,25 +303,61 @@ def test_secret_spans_match_brute_force(spark):
         assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == [sum(s[2] == k for s in spans) for k in secrets.BASE]
 
 
-def test_ledger_scans_only_unseen_blobs(spark):
+def test_ledger_scans_only_unseen_pairs(spark):
     a = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, "plain")], "doc_id long, text string")
     first, ledger = secrets.scan(a)
     assert ledger.count() == 2
     known = ledger.withColumn("spans", F.slice("spans", 1, 0))  # what is known is not scanned again
-    b = a.union(spark.createDataFrame([(4, "secret: abcdefgh")], a.schema))
+    b = a.union(spark.createDataFrame([(4, "secret: abcdefgh"), (None, None)], a.schema))
     second, ledger2 = secrets.scan(b, known)
-    assert {r.doc_id: len(r.spans) for r in second.collect()} == {1: 0, 2: 0, 3: 0, 4: 1}
-    assert ledger2.count() == 3
-    again, _ = secrets.scan(b, known, version=2)
-    assert {r.doc_id: len(r.spans) for r in again.collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
+    assert {r.doc_id: len(r.spans) for r in second.collect()} == {1: 0, 2: 0, 3: 0, 4: 1, None: 0}
+    assert ledger2.count() == 4
+    again, ledger3 = secrets.scan(b, ledger2, {**secrets.VERSIONS, "assign": 2})  # one rule anew
+    assert {r.doc_id: len(r.spans) for r in again.collect()} == {1: 1, 2: 1, 3: 0, 4: 1, None: 0}
+    assert {tuple(sorted(r.rules)) for r in ledger3.collect()} == {("access:1", "assign:2", "hex:1", "jwt:1", "pem:1")}
+    other, _ = secrets.scan(b, ledger2, {**secrets.VERSIONS, "hex": 2})  # the other rules' spans stay as known
+    assert {r.doc_id: len(r.spans) for r in other.collect()} == {1: 0, 2: 0, 3: 0, 4: 1, None: 0}
+
+
+def test_rules_added_to_a_ledger_give_the_same_rows(spark):
+    assert sorted(queries.secrets_by_versions(spark, SF).collect()) == sorted(queries.op10_secrets(spark, SF).collect())
+
+
+def test_many_hits_in_one_text_take_linear_time(spark):
+    def text(n):
+        return "é🙂 ".join(f"token=abcdef{i} {'ab' * 12} x" for i in range(n))
+
+    def seconds(n):
+        import time
+
+        docs = spark.createDataFrame([(1, text(n))], "doc_id long, text string")
+        at = time.time()
+        found, _ = secrets.scan(docs)
+        assert secrets.digest(found).first()["n_assign"] == n
+        assert len(secrets.redact_found(docs, found).first()["text"]) == len(text(n)) - sum(len(f"token=abcdef{i}") for i in range(n)) - 24 * n + (len("<redacted:assign>") + len("<redacted:hex>")) * n
+        return time.time() - at
+
+    seconds(10)
+    assert seconds(40000) < 40
+
+
+def test_running_totals(spark):
+    rng = random.Random(11)
+    rows = [([rng.randrange(50) for _ in range(n)],) for n in (0, 1, 31, 32, 33, 64, 1000, 1025, 5000)]
+    got = spark.createDataFrame(rows, "v array<int>").select("v", secrets.running(F.col("v"), lambda a, b: a + b).alias("s"), secrets.running(F.col("v"), lambda a, b: F.greatest(a, b)).alias("m")).collect()
+    for r in got:
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
+        assert r.m == [max(r.v[:i], default=0) for i in range(len(r.v))]
 
 
 def test_redaction_keeps_rows_and_columns(spark, awkward):
     rows = awkward.unionByName(awkward.limit(1).withColumns({"doc_id": F.lit(99).cast("long"), "text": F.lit("my token=abcdefgh and token=abc")}))
     out = secrets.redact_found(rows, secrets.scan(rows)[0])
     assert out.columns == rows.columns and out.count() == rows.count()
-    assert out.filter("doc_id = 99").first()["text"] == "my <secret:assign> and token=abc"
-    assert out.filter("doc_id = 99").first()["n_chars"] == len("my <secret:assign> and token=abc")
+    assert out.filter("doc_id = 99").first()["text"] == "my <redacted:assign> and token=abc"
+    assert out.filter("doc_id = 99").first()["n_chars"] == len("my <redacted:assign> and token=abc")
+    left = secrets.scan(out)[0]
+    assert left.filter(F.size("spans") > 0).count() == 0  # nothing is found in the marks
 
 
 def test_all_kinds_of_the_ledger_are_redacted(spark):
@@ -307,7 +366,7 @@ def test_all_kinds_of_the_ledger_are_redacted(spark):
     texts = [f"é {key} z", f"a {jwt} b", f"token={jwt}!", "x -----BEGIN PRIVATE KEY-----\nMIIEpAIB\nAAKC", f"{key} AKIA{'Z' * 16}; {key}", f"{'ab' * 12} api_key: abcdefgh"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = dict(secrets.redact_found(docs, secrets.scan(docs)[0]).collect())
-    assert got == {0: "é <secret:pem> z", 1: "a <secret:jwt> b", 2: "<secret:assign>!", 3: "x <secret:pem>", 4: "<secret:pem> <secret:access>; <secret:pem>", 5: "<secret:hex> <secret:assign>"}
+    assert got == {0: "é <redacted:pem> z", 1: "a <redacted:jwt> b", 2: "<redacted:assign>!", 3: "x <redacted:pem>", 4: "<redacted:pem> <redacted:access>; <redacted:pem>", 5: "<redacted:hex> <redacted:assign>"}
 
 
 # 4
@@ -415,6 +474,27 @@ def test_quality_held_out_accuracy(spark):
     assert model.held_out["exchanged"][1] > 0
 
 
+def test_quality_of_awkward_rows_with_a_model(spark, awkward, empty):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    assert model.held_out["exchanged"] != [0, 0]
+    got = quality.score(awkward, model).collect()
+    assert len(got) == awkward.count() and all(0 <= r.p_quality <= 1 and r.keep is not None for r in got)
+    assert len({tuple(r) for r in got if r.doc_id == 8}) == 1
+    assert quality.score(empty, model).collect() == [] and quality.keep_good(empty, model).collect() == []
+    kept = quality.keep_good(awkward, model)
+    assert kept.columns == awkward.columns and kept.count() == sum(r.keep for r in got)
+    bare = awkward.select("doc_id", "text", F.lit(5).alias("n_chars"))  # no language, no source, another type
+    assert sorted(r.p_quality for r in quality.score(bare, model).collect()) and quality.keep_good(bare, model).columns == bare.columns
+
+
+def test_training_rows_do_not_vary(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    twice = docs.union(docs.withColumn("text", F.concat("text", F.lit(" again"))))  # repeated ids
+    a, b = (quality.train(d, labels, 60, 60) for d in (twice, twice.repartition(7).sortWithinPartitions(F.desc("text"))))
+    assert np.array_equal(a.combined.weights, b.combined.weights) and np.array_equal(a.views[0].weights, b.views[0].weights)
+
+
 def test_quality_needs_two_classes(spark, awkward, empty):
     labels = spark.createDataFrame([(4, 1, 0), (4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.train(awkward, labels) is None
