@@ -182,3 +182,27 @@ def edge_weights(window: int, modes: int, level_j: int = 0, weighting: str = "un
     d = np.kron(np.eye(1 << level_j), differentiation_block(level_j, modes))
     edge = basis(level_j, modes, np.array([1 - EPS]))[:, 0]
     return a, np.array([edge @ a, edge @ d.T @ a, edge @ d.T @ d.T @ a])
+
+
+def chebyshev_t(degree: int, x: np.ndarray | float) -> np.ndarray:
+    """T_degree(x) by the three-term recurrence."""
+    x = np.asarray(x, float)
+    if not degree:
+        return np.ones_like(x)
+    before, now = np.ones_like(x), x
+    for _ in range(degree - 1):
+        before, now = now, 2 * x * now - before
+    return now
+
+
+def antiderivative(level_j: int, modes: int, t: np.ndarray) -> np.ndarray:
+    """The integrals from 0 to t of all functions, exactly: (2**J * modes) x len(t). Within its cell that of U_m is (T_(m+1)(u) - T_(m+1)(-1)) / (m + 1)."""
+    t = np.atleast_1d(np.asarray(t, float))
+    at, u = locate(level_j, t)
+    out = np.zeros(((1 << level_j) * modes, len(t)))
+    factor = scale(level_j) / 2 ** (level_j + 1)
+    for cell in range(1 << level_j):
+        inside = np.where(at == cell, u, np.where(at > cell, 1.0, -1.0))
+        for m in range(modes):
+            out[cell * modes + m] = factor * (chebyshev_t(m + 1, inside) - (-1) ** (m + 1)) / (m + 1)
+    return out

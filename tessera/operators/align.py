@@ -129,3 +129,14 @@ def differential(rates: DataFrame, unit, by: str = "asset", at: str = "dt", x: s
     """rate minus the unit's rate on the same date."""
     own = rates.filter(F.col(by) == unit).select(at, F.col(x).alias("unit_rate"))
     return rates.filter(F.col(by) != unit).join(own, at).select(at, by, (F.col(x) - F.col("unit_rate")).alias("diff"))
+
+
+def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
+    """Rows numbered from 1 in order. Partitions hold runs of the order; a row's number is its place in its partition and the count of the rows of those
+    before, of which there is one number a partition."""
+    from tessera.sources.stores import settle
+
+    run = settle(df.repartitionByRange(*order).withColumn("_run", F.spark_partition_id()))
+    before = run.groupBy("_run").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(W.orderBy("_run")) - F.col("_n")).drop("_n")
+    place = F.row_number().over(W.partitionBy("_run").orderBy(*order))
+    return run.join(before, "_run").withColumn(name, (F.col("_before") + place).cast("long")).select(*df.columns, name)

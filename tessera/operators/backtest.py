@@ -15,48 +15,61 @@ from tessera.functions.basis import EPS
 from tessera.operators import stats
 
 
-def folds(spark: SparkSession, n: int, initial: int = 500, step: int = 21, embargo: int = 1, scheme: str = "expanding", window: int = 750, least: int = 20) -> DataFrame:
-    """(fold, train_start, train_end, test_start, test_end) over positions 1..n; folds with fewer than `least` training positions go."""
+def folds(spark: SparkSession, n: int | DataFrame, initial: int = 500, step: int = 21, embargo: int = 1, scheme: str = "expanding", window: int = 750, least: int = 20) -> DataFrame:
+    """(fold, train_start, train_end, test_start, test_end) over positions 1..n; folds with fewer than `least` training positions go. n is a number
+    or a table of one row with a column n, so that counting dates is part of the plan."""
     if scheme not in ("expanding", "rolling"):
         raise ValueError("scheme is expanding or rolling")
-    f = spark.range(0, max(0, -(-(n - initial) // step))).withColumnRenamed("id", "fold")
+    if not initial > 0 < step or embargo < 0:
+        raise ValueError("the first training span and the step must be positive, the embargo not negative")
+    ns = n if isinstance(n, DataFrame) else spark.range(1).select(F.lit(n).alias("n"))
+    n_ = F.col("n").cast("long")
+    last = F.ceil((n_ - initial) / step).cast("long") - 1
+    f = ns.filter(n_ > initial).select(F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("fold"), n_.alias("n"))
     start = initial + 1 + F.col("fold") * step
     end = start - 1 - embargo
-    f = f.select("fold", (F.lit(1).cast("long") if scheme == "expanding" else F.greatest(F.lit(1).cast("long"), end - window + 1)).alias("train_start"), end.alias("train_end"), start.alias("test_start"), F.least(start + step - 1, F.lit(n).cast("long")).alias("test_end"))
+    f = f.select("fold", (F.lit(1).cast("long") if scheme == "expanding" else F.greatest(F.lit(1).cast("long"), end - window + 1)).alias("train_start"), end.alias("train_end"), start.alias("test_start"), F.least(start + step - 1, n_).alias("test_end"))
     return f.filter(F.col("train_end") - F.col("train_start") + 1 >= least)
 
 
-def positions(rows: DataFrame, at: str = "dt") -> DataFrame:
-    """(dt, pos): dates numbered from 1 in order. One row a date."""
-    dates = rows.select(at).distinct()
-    return dates.withColumn("pos", F.row_number().over(W.orderBy(at)).cast("long"))
+def n_dates(rows: DataFrame, at: str = "dt") -> DataFrame:
+    """(n): the number of dates, as a table of one row."""
+    return rows.agg(F.count_distinct(at).alias("n"))
 
 
-def moments(rows: DataFrame, features: Sequence[str], target: str, at: str = "dt") -> DataFrame:
-    """One row a date with n, sums and products (columns s_*, one partial aggregate): the Gram matrix of any run of dates is a sum of these."""
+def positions(rows: DataFrame, at: str = "dt", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., dt, pos): dates numbered from 1 in order, in each group. One row a date and group."""
+    dates = rows.select(*by, at).distinct()
+    return dates.withColumn("pos", F.row_number().over(W.partitionBy(*by).orderBy(at)).cast("long"))
+
+
+def moments(rows: DataFrame, features: Sequence[str], target: str, at: str = "dt", by: Sequence[str] = ()) -> DataFrame:
+    """One row a date and group with n, sums and products (columns s_*, one partial aggregate): the Gram matrix of any run of dates is a sum of these."""
     x = [F.col(f) for f in (*features, target)]
     out = [F.count("*").alias("s_n")] + [F.sum(c).alias(f"s_{i}") for i, c in enumerate(x)]
     out += [F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    return rows.groupBy(at).agg(*out)
+    return rows.groupBy(*by, at).agg(*out)
 
 
-def fold_moments(rows: DataFrame, features: Sequence[str], target: str, fold_table: DataFrame, at: str = "dt") -> DataFrame:
-    """The moments of each fold's training span: running sums over dates, taken at both ends, so all folds share one pass over the rows."""
-    m = moments(rows, features, target, at).join(positions(rows, at), at)
+def fold_moments(rows: DataFrame, features: Sequence[str], target: str, fold_table: DataFrame, at: str = "dt", by: Sequence[str] = ()) -> DataFrame:
+    """The moments of each fold's training span, in each group: running sums over dates, taken at both ends, so all folds share one pass over the
+    rows."""
+    m = moments(rows, features, target, at, by).join(positions(rows, at, by), [*by, at])
     names = [c for c in m.columns if c.startswith("s_")]
-    w = W.orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    run = m.select("pos", *[F.sum(c).over(w).alias(c) for c in names])
-    hi = run.select(F.col("pos").alias("train_end"), *[F.col(c).alias(f"h{c}") for c in names])
-    lo = run.select((F.col("pos") + 1).alias("train_start"), *[F.col(c).alias(f"l{c}") for c in names])
-    f = fold_table.join(hi, "train_end").join(lo, "train_start", "left")
-    return f.select(*fold_table.columns, *[(F.col(f"h{c}") - F.coalesce(f"l{c}", F.lit(0))).alias(c) for c in names])
+    w = W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    run = m.select(*by, "pos", *[F.sum(c).over(w).alias(c) for c in names])
+    hi = run.select(*by, F.col("pos").alias("train_end"), *[F.col(c).alias(f"h{c}") for c in names])
+    lo = run.select(*by, (F.col("pos") + 1).alias("train_start"), *[F.col(c).alias(f"l{c}") for c in names])
+    f = hi.join(fold_table, "train_end").join(lo, [*by, "train_start"], "left")
+    return f.select(*by, *fold_table.columns, *[(F.col(f"h{c}") - F.coalesce(f"l{c}", F.lit(0))).alias(c) for c in names])
 
 
-def ridge_fits(rows: DataFrame, features: Sequence[str], target: str, fold_table: DataFrame, penalty: float, standardize: bool = True, intercept: bool = True, at: str = "dt") -> DataFrame:
-    """(fold..., n, mean, scale, beta): ridge from the folds' moments; each fold is one solve of len(features) unknowns. Standardised with the
+def ridge_fits(rows: DataFrame, features: Sequence[str], target: str, fold_table: DataFrame, penalty: float, standardize: bool = True, intercept: bool = True, at: str = "dt", by: Sequence[str] = ()) -> DataFrame:
+    """(by..., fold..., n, mean, scale, beta): ridge from the folds' moments; each fold is one solve of len(features) unknowns. Standardised with the
     training span's mean and sample deviation (1 where that is 0); the intercept carries no penalty."""
-    m = fold_moments(rows, features, target, fold_table, at)
-    p, keys = len(features), fold_table.columns
+    m = fold_moments(rows, features, target, fold_table, at, by)
+    p, keys = len(features), [*by, *fold_table.columns]
+    kinds = {f.name: f.dataType.simpleString() for f in m.schema}
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -84,18 +97,18 @@ def ridge_fits(rows: DataFrame, features: Sequence[str], target: str, fold_table
                 out.append({**{c: r[c] for c in keys}, "n": int(n), "mean": mean.tolist(), "scale": scale.tolist(), "beta": beta.tolist()})
             yield pd.DataFrame(out, columns=[*keys, "n", "mean", "scale", "beta"])
 
-    return m.mapInPandas(solve, ", ".join(f"{c} long" for c in keys) + ", n long, mean array<double>, scale array<double>, beta array<double>")
+    return m.mapInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", n long, mean array<double>, scale array<double>, beta array<double>")
 
 
-def predict(rows: DataFrame, features: Sequence[str], fits: DataFrame, at: str = "dt") -> DataFrame:
+def predict(rows: DataFrame, features: Sequence[str], fits: DataFrame, at: str = "dt", by: Sequence[str] = ()) -> DataFrame:
     """score of the rows in each fold's test span. Test spans are disjoint runs of dates: fits are spread over their dates first, so that the join
     is on equal positions."""
-    spread = fits.select("fold", "mean", "scale", "beta", F.explode(F.sequence("test_start", "test_end")).alias("pos"))
-    by_date = positions(rows, at).join(spread, "pos")
+    spread = fits.select(*by, "fold", "mean", "scale", "beta", F.explode(F.sequence("test_start", "test_end")).alias("pos"))
+    by_date = positions(rows, at, by).join(spread, [*by, "pos"])
     score = F.col("beta")[0]
     for i, f in enumerate(features):
         score = score + F.col("beta")[i + 1] * (F.col(f) - F.col("mean")[i]) / F.col("scale")[i]
-    return rows.join(by_date, at).withColumn("score", score).drop("mean", "scale", "beta", "pos")
+    return rows.join(by_date, [*by, at]).withColumn("score", score).drop("mean", "scale", "beta", "pos")
 
 
 def logistic_irls(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 50, tol: float = 1e-8) -> np.ndarray:
@@ -264,35 +277,113 @@ def key(*parts: Column | str | int) -> Column:
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts]))
 
 
-def null_permute(rows: DataFrame, seed: int, run: int, mode: str = "date", by: str = "asset", at: str = "dt") -> DataFrame:
-    """(dt, asset, source): the asset whose target this one gets. date: a new order each date; asset: one order throughout."""
-    k = key(seed, run, F.col(at).cast("string"), F.col(by)) if mode == "date" else key(seed, run, F.col(by))
-    a = rows.select(at, F.col(by).alias("source"), F.row_number().over(W.partitionBy(at).orderBy(k, by)).alias("_i"))
-    own = rows.select(at, by, F.row_number().over(W.partitionBy(at).orderBy(by)).alias("_i"))
-    return own.join(a, [at, "_i"]).select(at, by, "source")
-
-
-def null_index(spark: SparkSession, n: int, mode: str, seed: int, runs: int, block: int = 21) -> DataFrame:
-    """(run, pos, source) for positions 1..n. shift: circular by a hashed distance of at least max(min(252, n // 3), n // 20); blockperm: blocks in hashed
-    order, the last one short; block: blocks from hashed starts, with replacement."""
-    run = spark.range(1, runs + 1).withColumnRenamed("id", "run")
+def null_permute(rows: DataFrame, seed: int, run: int | Sequence[int], mode: str = "date", by: str = "asset", at: str = "dt") -> DataFrame:
+    """([run,] dt, asset, source): the asset whose target this one gets. date: a new order each date; asset: one order throughout. Several runs
+    are told by a column."""
+    if mode not in ("date", "asset"):
+        raise ValueError("mode is date or asset")
+    runs = [] if isinstance(run, int) else ["run"]
+    own = rows.select(at, by) if isinstance(run, int) else rows.select(at, by, F.explode(F.lit(list(run))).alias("run"))
+    which = F.lit(str(run)) if isinstance(run, int) else F.col("run").cast("string")
+    k = key(seed, which, F.col(at).cast("string"), F.col(by)) if mode == "date" else key(seed, which, F.col(by))
+    a = own.select(*runs, at, F.col(by).alias("source"), F.row_number().over(W.partitionBy(*runs, at).orderBy(k, by)).alias("_i"))
+    b = own.select(*runs, at, by, F.row_number().over(W.partitionBy(*runs, at).orderBy(by)).alias("_i"))
+    return b.join(a, [*runs, at, "_i"]).select(*runs, at, by, "source")
+
+
+def null_index(ns: DataFrame, mode: str, seed: int, runs: int, block: int = 21) -> DataFrame:
+    """(..., run, pos, source) for positions 1..n of each row of ns, a table of n and whatever names the series. shift: circular by a hashed distance
+    of at least max(min(252, n // 3), n // 20); blockperm: blocks in hashed order, the last one short; block: blocks from hashed starts, with
+    replacement. The draws of a run are the same for all series."""
+    if mode not in ("shift", "blockperm", "block"):
+        raise ValueError("mode is shift, block or blockperm")
+    own, n = [c for c in ns.columns if c != "n"], F.col("n")
+    one = F.lit(1).cast("long")
+    run = ns.withColumn("n", n.cast("long")).filter(n > 0).withColumn("run", F.explode(F.sequence(one, F.lit(runs).cast("long"))))
     number = lambda *p: F.conv(F.substring(key(*p), 1, 8), 16, 10).cast("long")
     if mode == "shift":
-        low = max(min(252, n // 3), n // 20)
-        r = run.withColumn("sh", low + F.pmod(number(seed, F.col("run").cast("string")), F.lit(max(1, n - 2 * low))))
-        return r.select("run", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("pos"), "sh").select("run", "pos", (F.pmod(F.col("pos") - 1 - F.col("sh"), F.lit(n)) + 1).alias("source"))
-    count = -(-n // block)
-    b = run.select("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("b"))
+        low = F.greatest(F.least(F.lit(252).cast("long"), F.floor(n / 3)), F.floor(n / 20))
+        r = run.withColumn("sh", low + F.pmod(number(seed, F.col("run").cast("string")), F.greatest(one, n - 2 * low)))
+        r = r.select(*own, "run", "n", "sh", F.explode(F.sequence(one, n)).alias("pos"))
+        return r.select(*own, "run", "pos", (F.pmod(F.col("pos") - 1 - F.col("sh"), n) + 1).alias("source"))
+    b = run.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(n / block).cast("long") - 1)))
     k = [seed, F.col("run").cast("string"), F.col("b").cast("string")]
     if mode == "blockperm":
-        b = b.withColumns({"size": F.least(F.lit(block).cast("long"), F.lit(n) - F.col("b") * block), "k": key(*k)})
-        w = W.partitionBy("run").orderBy("k", "b").rowsBetween(W.unboundedPreceding, -1)
+        b = b.withColumns({"size": F.least(F.lit(block).cast("long"), n - F.col("b") * block), "k": key(*k)})
+        w = W.partitionBy(*own, "run").orderBy("k", "b").rowsBetween(W.unboundedPreceding, -1)
         b = b.withColumn("at", F.coalesce(F.sum("size").over(w), F.lit(0)))
-        return b.select("run", F.posexplode(F.sequence(F.col("b") * block + 1, F.col("b") * block + F.col("size"))).alias("i", "source"), "at").select("run", (F.col("at") + F.col("i") + 1).alias("pos"), "source")
-    if mode != "block":
-        raise ValueError("mode is shift, block or blockperm")
-    b = b.withColumn("start", 1 + F.pmod(number(*k), F.lit(n - block + 1)))
-    return b.select("run", "b", F.posexplode(F.sequence(F.col("start"), F.col("start") + block - 1)).alias("i", "source")).select("run", (F.col("b") * block + F.col("i") + 1).alias("pos"), "source").filter(F.col("pos") <= n)
+        spread = b.select(*own, "run", F.posexplode(F.sequence(F.col("b") * block + 1, F.col("b") * block + F.col("size"))).alias("i", "source"), "at")
+        return spread.select(*own, "run", (F.col("at") + F.col("i") + 1).alias("pos"), "source")
+    size = F.least(F.lit(block).cast("long"), n)
+    b = b.withColumn("start", 1 + F.pmod(number(*k), n - size + 1))
+    spread = b.select(*own, "run", "n", "b", F.posexplode(F.sequence(F.col("start"), F.col("start") + size - 1)).alias("i", "source"))
+    return spread.select(*own, "run", "n", (F.col("b") * block + F.col("i") + 1).alias("pos"), "source").filter(F.col("pos") <= n).drop("n")
+
+
+def cross_sectional_backtest(rows: DataFrame, features: Sequence[str], target: str, fold_table: DataFrame, penalty: float = 10.0, fwd: str = "fwd", runs: int = 0, mode: str = "date", seed: int = 7, quantile: float = 0.2, cost_bps: float = 0.0, periods: float = 252, by: str = "asset", at: str = "dt") -> DataFrame:
+    """(run, n_dates, ic_mean, ic_ir, sharpe): a pooled ridge without intercept, refitted by fold, its scores' rank correlation and long-short book over the test
+    spans. Run 0 is the data; in runs 1.. the targets and forward returns of a date are dealt to its assets anew, the same way for
+    both, and every fold is fitted again. All runs are one plan: the run is one more key of the same aggregates."""
+    from tessera.operators import signals
+
+    real = rows.select(at, by, *features, target, fwd).withColumn("run", F.lit(0))
+    if runs:
+        dealt = null_permute(rows, seed, range(1, runs + 1), mode, by, at)
+        theirs = rows.select(at, F.col(by).alias("source"), target, fwd)
+        real = real.unionByName(rows.select(at, by, *features).join(dealt, [at, by]).join(theirs, [at, "source"]).drop("source"))
+    fits = ridge_fits(real, features, target, fold_table, penalty, standardize=False, intercept=False, at=at, by=["run"])
+    scored = predict(real, features, fits, at, ["run"])
+    ranked = scored.select("run", at, fr.tied_rank(F.col("score"), ["run", at]).alias("a"), fr.tied_rank(F.col(fwd), ["run", at]).alias("b"))
+    ic = ranked.groupBy("run", at).agg(fr.correlation(F.col("a"), F.col("b")).alias("ic"))
+    book = scored.withColumn("_key", F.struct("run", at))
+    held = signals.long_short(book, quantile, "score", by, "_key")
+    ret = held.groupBy("run", at).agg(F.sum(F.col("weight") * F.coalesce(fwd, F.lit(0.0))).alias("ret"))
+    if cost_bps:
+        w = W.partitionBy("run", by).orderBy(at)
+        change = held.withColumn("_c", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0)))).groupBy("run", at).agg(F.sum("_c").alias("_c"))
+        ret = ret.join(change, ["run", at]).withColumn("ret", F.col("ret") - cost_bps / 1e4 * F.col("_c"))
+    both = ic.join(ret, ["run", at])
+    return both.groupBy("run").agg(F.count("*").alias("n_dates"), F.avg("ic").alias("ic_mean"), fr.ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"), fr.sharpe(F.col("ret"), periods).alias("sharpe"))
+
+
+def series_backtest(rows: DataFrame, features: Sequence[str], fold_table: DataFrame, penalty: float = 1.0, fwd: str = "fwd", runs: int = 0, mode: str = "shift", seed: int = 7, block: int = 21, periods: float = 252, by: str = "asset", at: str = "dt") -> DataFrame:
+    """(asset, run, n_test, accuracy, sharpe): a ridge on each series, refitted by fold on the signs of the forward returns, which it predicts over the
+    test spans. Run 0 is the data; in runs 1.. the forward returns move along the series by null_index and all folds are fitted again."""
+    own = rows.select(by, at, *features, fwd).withColumn("pos", F.row_number().over(W.partitionBy(by).orderBy(at)).cast("long"))
+    real = own.withColumn("run", F.lit(0).cast("long"))
+    if runs:
+        moved = null_index(own.groupBy(by).agg(F.count("*").alias("n")), mode, seed, runs, block)
+        theirs = own.select(by, F.col("pos").alias("source"), fwd)
+        real = real.unionByName(own.drop(fwd).join(moved, [by, "pos"]).join(theirs, [by, "source"]).drop("source"))
+    real = real.withColumn("_label", F.when(F.col(fwd) >= 0, 1.0).otherwise(-1.0))
+    fits = ridge_fits(real, features, "_label", fold_table, penalty, at="pos", by=[by, "run"])
+    scored = predict(real.drop(at), features, fits, "pos", [by, "run"])
+    side = F.when(F.col("score") >= 0, 1.0).otherwise(-1.0)
+    return scored.groupBy(by, "run").agg(F.count("*").alias("n_test"), F.avg((side == F.col("_label")).cast("double")).alias("accuracy"), fr.sharpe(side * F.col(fwd), periods).alias("sharpe"))
+
+
+def null_p_values(runs: DataFrame, measures: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(by..., runs, m, p_m...): each measure of run 0 and (1 + runs at least as large) / (1 + runs)."""
+    first = runs.filter("run = 0").select(*by, *measures)
+    null = runs.filter("run > 0").select(*by, *[F.col(m).alias(f"_{m}") for m in measures])
+    both = null.join(first, list(by)) if by else null.join(F.broadcast(first))  # one row
+    p = [((1 + F.count_if(F.col(f"_{m}") >= F.col(m))) / (1.0 + F.count(F.lit(1)))).alias(f"p_{m}") for m in measures]
+    return both.groupBy(*by, *measures).agg(F.count(F.lit(1)).alias("runs"), *p)
+
+
+def volatility_matched(returns: DataFrame, strategy: str, benchmark: str, at: str = "dt", periods: float = 252) -> DataFrame:
+    """(name, sharpe, volatility, max_drawdown, total_return) of a strategy and of its benchmark scaled to the strategy's volatility. One row a date."""
+    both = returns.filter(F.col(strategy).isNotNull() & F.col(benchmark).isNotNull())
+    scale = both.agg(fr.ratio(F.stddev_samp(strategy), F.stddev_samp(benchmark)).alias("_k"))
+    pair = F.explode(F.array(F.struct(F.lit("strategy").alias("name"), F.col(strategy).alias("ret")), F.struct(F.lit("benchmark").alias("name"), (F.col(benchmark) * F.col("_k")).alias("ret"))))
+    long = both.join(F.broadcast(scale)).select(at, pair.alias("x")).select(at, "x.*")  # one row
+    perf = stats.performance(long, ["name"], at=at, periods=periods)
+    return perf.join(long.groupBy("name").agg(fr.tidy(F.stddev_samp("ret") * F.sqrt(F.lit(float(periods)))).alias("volatility")), "name").select("name", "sharpe", "volatility", "max_drawdown", "total_return")
+
+
+def bonferroni(p_values: DataFrame, p: str = "p", by: Sequence[str] = ()) -> DataFrame:
+    """adjusted: each p-value times the number of tests of its group, at most 1."""
+    return p_values.withColumn("adjusted", F.least(F.lit(1.0), F.col(p) * F.count(p).over(W.partitionBy(*by))))
 
 
 def universe_subsets(assets: DataFrame, sizes: Sequence[int], draws: int, seed: int = 20260908, by: str = "asset") -> DataFrame:

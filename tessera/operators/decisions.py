@@ -62,45 +62,56 @@ def hold_state(signals: DataFrame, loss: float = 0.07, by: str = "asset", at: st
     return signals.groupBy(by).applyInPandas(one, kinds + ", held int, entry double, breached boolean")
 
 
-def sandbox(panel: DataFrame, fast: int, slow: int, span: int, edge_bps: float = 2.9, cash: float = 1e8, periods: float = 52, lookback: int = 21, book: str = "book") -> DataFrame:
-    """Decisions by date and asset: signal and hold state are distributed by asset; equity feeds back into the scale of the next weights, so a book
-    is one ordered pass over its dates in a group of its own."""
-    h = hold_state(sig.technical(panel, fast, slow, span))
+def sandbox(panel: DataFrame, fast: int, slow: int, span: int, edge_bps: float = 2.9, cash: float = 1e8, periods: float = 52, lookback: int = 21, book: str = "book", loss: float = 0.07, spread: float = 2.9, reference: float = 1.989, target: float = 0.1, most: float = 2.0, max_drawdown: float = 0.15, min_stop: float = 0.05, recovery: float = 0.2, unit: int = 1000) -> DataFrame:
+    """Decisions by date and asset: signal, hold state, equal weights over what is held, the cost guard on the change of weight, volatility and drawdown
+    scales, shares. All but the equity's way back into the next weights is done by the cluster; that recursion is one ordered pass over
+    a row a date of its book."""
+    h = hold_state(sig.technical(panel, fast, slow, span), loss)
     h = h.withColumns({"ret": F.coalesce(fr.simple_return(F.col("close"), fr.ordered()), F.lit(0.0)), "book": F.lit(book)})
+    rows = F.array_sort(F.collect_list(F.struct("asset", "close", "signal", "held", "breached", "ret")))
+    days = h.groupBy("book", "dt").agg(rows.alias("rows"), F.avg("ret").alias("mean"), F.sum("held").alias("n"))
+    recent = W.partitionBy("book").orderBy("dt").rowsBetween(-(lookback - 1), 0)
+    vol = F.when(F.count("*").over(recent) == lookback, F.stddev_samp("mean").over(recent) * F.sqrt(F.lit(float(periods))))
+    days = days.withColumn("vol", vol)
+    ratio = fr.ratio(F.lit(target), F.col("vol"))
+    days = days.select(
+        "book", "dt", "rows", F.transform("rows", lambda r: r["asset"]).alias("assets"), F.transform("rows", lambda r: r["ret"]).alias("moves"), F.transform("rows", lambda r: r["held"] / F.greatest("n", F.lit(1))).alias("targets"),
+        F.when(F.col("vol") > 0, F.least(F.lit(most), ratio)).otherwise(0.0).alias("scale"), F.when(F.col("vol") > 0, F.least(F.greatest(max_drawdown * ratio, F.lit(min_stop)), F.lit(max_drawdown))).otherwise(F.lit(max_drawdown)).alias("stop"),
+    )
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        equity, peak, weights, history, parts = 1.0, 1.0, {}, [], []
-        for dt, day in frame.sort_values(["dt", "asset"]).groupby("dt", sort=True):
-            move = dict(zip(day["asset"], day["ret"], strict=True))
+        equity, peak, weights, out = 1.0, 1.0, {}, []
+        for r in frame.sort_values("dt").itertuples():
+            move = dict(zip(r.assets, r.moves, strict=True))
             equity *= 1 + sum(w * move.get(a, 0.0) for a, w in weights.items())
             peak = max(peak, equity)
-            history.append(float(day["ret"].mean()))
-            recent = pd.Series(history[-lookback:])
-            vol = float(recent.std(ddof=1) * periods**0.5) if len(recent) == lookback else float("nan")
-            scale = min(2.0, 0.1 / vol) if vol > 0 else 0.0
-            stop = min(max(0.15 * 0.1 / vol, 0.05), 0.15) if vol > 0 else 0.15
             fall = equity / peak - 1
-            brake = 0.0 if fall <= -stop else 0.2 + 0.8 * max(0.0, 1 - abs(fall) / stop)
-            n = max(int(day["held"].sum()), 1)
-            target = day["held"] / n
-            projected = {a: abs(t - weights.get(a, 0.0)) for a, t in zip(day["asset"], target, strict=True)}
-            need = 2.9 * day["asset"].map(projected) / 1.989
-            approved = (day["held"] > 0) & (edge_bps >= need)
-            weight = target.where(approved, 0.0) * scale * brake
-            shares = (cash * weight / day["close"]).floordiv(1).astype("int64")
-            weights = dict(zip(day["asset"], weight, strict=True))
-            parts.append(day.assign(weight=weight, required_edge_bps=need, approved=approved, equity=equity, drawdown=fall, scale=scale, stopped_out=fall <= -stop, board_lots=shares // 1000, odd_lot_shares=shares % 1000))
-        return pd.concat(parts)[COLUMNS]
-
-    return h.select("book", "dt", "asset", "close", "signal", "held", "breached", "ret").groupBy("book").applyInPandas(one, SCHEMA)
-
-
-SCHEMA = "book string, dt date, asset string, close double, signal int, held int, breached boolean, weight double, required_edge_bps double, approved boolean, equity double, drawdown double, scale double, stopped_out boolean, board_lots long, odd_lot_shares long"
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+            brake = 0.0 if fall <= -r.stop else recovery + (1 - recovery) * max(0.0, 1 - abs(fall) / r.stop)
+            need = [spread * abs(t - weights.get(a, 0.0)) / reference for a, t in zip(r.assets, r.targets, strict=True)]
+            weight = [t * r.scale * brake if t > 0 and edge_bps >= x else 0.0 for t, x in zip(r.targets, need, strict=True)]
+            weights = dict(zip(r.assets, weight, strict=True))
+            out.append((r.book, r.dt, equity, fall, need, weight))
+        return pd.DataFrame(out, columns=["book", "dt", "equity", "drawdown", "need", "weights"])
+
+    way = days.drop("rows").groupBy("book").applyInPandas(one, "book string, dt date, equity double, drawdown double, need array<double>, weights array<double>")
+    z = F.explode(F.arrays_zip("rows", "need", "weights", "targets")).alias("z")
+    flat = days.join(way, ["book", "dt"]).select("book", "dt", "equity", "drawdown", "scale", (F.col("drawdown") <= -F.col("stop")).alias("stopped_out"), z)
+    r, w = F.col("z.rows"), F.col("z.weights")
+    shares = sig.share_quantity(cash * w, r["close"], unit)
+    approved = (F.col("z.targets") > 0) & (edge_bps >= F.col("z.need"))
+    return flat.select(
+        "book", "dt", r["asset"].alias("asset"), r["close"].alias("close"), r["signal"].alias("signal"), r["held"].alias("held"), r["breached"].alias("breached"), w.alias("weight"), F.col("z.need").alias("required_edge_bps"),
+        approved.alias("approved"), "equity", "drawdown", "scale", "stopped_out", shares["board_lots"].alias("board_lots"), shares["odd_lot_shares"].alias("odd_lot_shares"),
+    )
 
 
-def summary(log: DataFrame) -> DataFrame:
-    return log.agg(F.count("*").alias("written"), F.count_if("approved").alias("approved"), F.count_if(F.col("board_lots") * 1000 + F.col("odd_lot_shares") > 0).alias("sized"), F.count_if("breached").alias("stops"), F.count_if("stopped_out").alias("stopped_out"))
+def summary(log: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
+    """Counts of a run's decisions; with the log as read back, also how many came back, and whether every decision did."""
+    out = log.agg(F.count("*").alias("written"), F.count_if("approved").alias("approved"), F.count_if(F.col("board_lots") * 1000 + F.col("odd_lot_shares") > 0).alias("sized"), F.count_if("breached").alias("stops"), F.count_if("stopped_out").alias("stopped_out"))
+    if replayed is None:
+        return out
+    back = replayed.agg(F.count("*").alias("replayed"), F.count_if((F.col("weight") != 0) & ~F.col("approved")).alias("unapproved"))
+    return out.join(F.broadcast(back)).withColumn("complete", (F.col("replayed") == F.col("written")) & (F.col("unapproved") == 0))  # one row
 
 
 def orchestrate(panel: DataFrame, window: int, modes: int, mode: int, threshold: float, edge_per_z: float = 2.9, positions: DataFrame | None = None, target: float = 1.0, close_on_flat: bool = False) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import frames as fr
-from tessera.functions.basis import EPS, basis, edge_weights, signal_projector
+from tessera.functions.basis import EPS, basis, edge_weights, projector, signal_projector
+from tessera.operators.stats import expanding_median
 
 KINDS = ["trend", "trendT", "curv", "dev", "vol", "rough"]
 
@@ -160,8 +161,8 @@ def risk_filter(panel: DataFrame, windows: Sequence[int] = (21, 63), modes: int
     else:
         raise ValueError("estimator is wavelet or ewma")
     o = W.partitionBy("asset").orderBy("dt")
-    past = o.rowsBetween(W.unboundedPreceding, -1)
-    v = v.withColumns({"target": F.when(F.col("vol").isNotNull() & (F.count("vol").over(past) >= min_history), F.percentile("vol", 0.5).over(past))})
+    v = expanding_median(v.select("asset", "dt", "ret", "level", "vol"), "vol", "target", least=min_history)
+    v = v.withColumn("target", F.when(F.col("vol").isNotNull(), F.col("target")))
     raw = fr.clip(F.col("target") / F.greatest("vol", F.lit(EPS)), floor, cap)
     v = v.withColumn("exposure", raw if warmup == "null" else F.coalesce(raw, F.lit(float(floor))))
     frame = o.rowsBetween(-(smooth - 1), 0)
@@ -173,3 +174,13 @@ def risk_diagnostics(filtered: DataFrame) -> DataFrame:
     e = F.col("exposure")
     change = F.abs(e - F.lag(e).over(W.partitionBy(F.lit(1)).orderBy("dt")))
     return filtered.withColumn("_c", change).agg(F.count(e).alias("n_valid"), F.avg(e).alias("mean_exposure"), F.stddev_samp(e).alias("std_exposure"), F.avg((e < 1).cast("double")).alias("share_derisked"), F.avg("_c").alias("turnover"))
+
+
+def feature_diagnostics(panel: DataFrame, windows: Sequence[int], modes: int = 4, k: int = 1, weighting: str = "uniform", by: str = "asset") -> DataFrame:
+    """(asset, window, first_valid_row, edge_lookback, operator_cond): the first row with features, which is the longest window's in all columns; how many
+    rows the right edge looks back on; and the condition number of the window's projection."""
+    cells = 1 << (k - 1)
+    rows = [(int(w), w / cells, float(np.linalg.cond(projector(w, modes, k - 1, weighting)))) for w in windows]
+    lengths = F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.lit(e).alias("edge_lookback"), F.lit(c).alias("operator_cond")) for w, e, c in rows])).alias("z")
+    counts = panel.groupBy(by).agg(F.count("*").alias("_n"))
+    return counts.select(by, F.when(F.col("_n") >= max(windows), max(windows)).alias("first_valid_row"), lengths).select(by, "z.window", "first_valid_row", "z.edge_lookback", "z.operator_cond")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,3 +94,28 @@ def leak_test(panel: DataFrame, operator: Callable[[DataFrame], DataFrame], upto
     shocked = panel.withColumn(x, F.when(later, F.col(x) * 3 + 17).otherwise(F.col(x)))
     a, b = (operator(p).filter(~later) for p in (panel, shocked))
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("changed"))
+
+
+def expanding_median(df: DataFrame, x: str, name: str, by: str = "asset", at: str = "dt", least: int = 1) -> DataFrame:
+    """name: the median of the values before a row, null with fewer than `least`; missing ones are left out. One ordered pass a series, with the
+    lower half of the past in one heap and the upper half in another."""
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(at)
+        low, high, out = [], [], []  # low holds negatives, and one more than high if the count is odd
+        for v in frame[x]:
+            n = len(low) + len(high)
+            out.append(None if n < max(least, 1) else -low[0] if n % 2 else (high[0] - low[0]) / 2)
+            if v is not None and v == v:
+                heapq.heappush(high, -heapq.heappushpop(low, -float(v)))
+                if len(high) > len(low):
+                    heapq.heappush(low, -heapq.heappop(high))
+        return frame.assign(**{name: pd.Series(out, index=frame.index, dtype=object)})
+
+    return df.groupBy(by).applyInPandas(one, f"{kinds}, {name} double")
+
+
+def priority_pick(df: DataFrame, by: list[str], value: str, preferred: Column, order: Column) -> DataFrame:
+    """One value a group: that of the first preferred row, or else of the first row."""
+    return df.groupBy(*by).agg(F.min_by(value, F.struct((~F.coalesce(preferred, F.lit(False))).alias("_p"), order.alias("_o"))).alias(value))

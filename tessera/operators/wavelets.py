@@ -82,10 +82,10 @@ def linearization(spark: SparkSession, modes: int) -> DataFrame:
     return grid.filter("abs(l - j) <= i and i <= l + j and (i + l + j) % 2 = 0")
 
 
-def product_coo(c: DataFrame, level_j: int, modes: int) -> DataFrame:
-    """(cell, i, j, v) of multiplication by the function with coefficients (cell, mode, c)."""
+def product_coo(c: DataFrame, level_j: int, modes: int, by: list[str] | None = None) -> DataFrame:
+    """(by..., cell, i, j, v) of multiplication by the functions with coefficients (by..., cell, mode, c)."""
     tensor = F.broadcast(linearization(c.sparkSession, modes))  # at most modes cubed rows
-    return c.join(tensor, c.mode == F.col("l")).groupBy("cell", "i", "j").agg((F.sum("c") * b.scale(level_j)).alias("v"))
+    return c.join(tensor, c.mode == F.col("l")).groupBy(*(by or []), "cell", "i", "j").agg((F.sum("c") * b.scale(level_j)).alias("v"))
 
 
 def project(panel: DataFrame, level_j: int, modes: int, order: int | None = None, by: str = "asset", at: str = "dt", x: str = "close") -> DataFrame:
@@ -172,3 +172,51 @@ def solve_odes(spark: SparkSession, problems: DataFrame, level_j: int, modes: in
                 yield pd.DataFrame({"id": r.id, "cell": np.repeat(np.arange(1 << level_j), modes), "mode": np.tile(np.arange(modes), 1 << level_j), "c": c})
 
     return problems.select("id", "a", "b", "f0", "f1", "y0").mapInPandas(solve, "id long, cell int, mode int, c double")
+
+
+def antiderivative(t: Column, level_j: int, cell: int, degree: int) -> Column:
+    """The integral from 0 to t of one basis function, exactly."""
+    at, u = locate(t, level_j)
+    inside = F.when(at == cell, u).when(at > cell, 1.0).otherwise(-1.0)
+    before, now = F.lit(1.0), inside
+    for _ in range(degree):
+        before, now = now, 2 * inside * now - before
+    return b.scale(level_j) / 2 ** (level_j + 1) * (now - (-1) ** (degree + 1)) / (degree + 1)
+
+
+def evaluate_series(c: DataFrame, times: DataFrame, level_j: int, modes: int) -> DataFrame:
+    """(id, t, value) of the functions with coefficients (id, cell, mode, c) at each time of (t)."""
+    cell, psi = basis_at(F.col("t"), level_j, modes)
+    at = times.select("t", cell.alias("cell"), F.posexplode(psi).alias("mode", "psi"))
+    return c.join(at, ["cell", "mode"]).groupBy("id", "t").agg(F.sum(F.col("c") * F.col("psi")).alias("value"))
+
+
+def verify(spark: SparkSession, level_j: int, modes: int) -> DataFrame:
+    """(identity, deviation): how far the operators' tables are from what defines them: orthonormal functions under the weight, the integration
+    operator against exact antiderivatives for all modes but the last, the product operator's symmetry and its projection."""
+    n = 2 * modes + 8
+    u = [fr.chebyshev_u(m, F.col("x")) for m in range(modes)]
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col("w") * u[i] * u[j]).alias("v")) for i in range(modes) for j in range(modes)]))
+    gram = nodes(spark, n).select(pairs.alias("z")).select("z.*").groupBy("i", "j").agg((F.sum("v") * (b.scale(level_j) ** 2 / 2 ** (level_j + 1))).alias("v"))
+    ortho = gram.agg(F.max(F.abs(F.col("v") - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0))).alias("deviation")).withColumn("identity", F.lit("orthonormality"))
+    # the operator's rows times the basis, against the integrals
+    times = spark.range(1001).select(F.least(F.col("id") / F.lit(1000.0), F.lit(1 - b.EPS)).alias("t"))
+    cell, psi = basis_at(F.col("t"), level_j, modes)
+    at = times.select("t", cell.alias("at"), F.posexplode(psi).alias("mode", "psi")).withColumn("j", F.col("at") * modes + F.col("mode"))
+    approx = integration_coo(spark, level_j, modes).join(at, "j").groupBy("i", "t").agg(F.sum(F.col("v") * F.col("psi")).alias("v"))
+    exact = F.explode(F.array(*[F.struct(F.lit(c * modes + m).cast("long").alias("i"), antiderivative(F.col("t"), level_j, c, m).alias("exact")) for c in range(1 << level_j) for m in range(modes - 1)]))
+    both = times.select("t", exact.alias("z")).select("t", "z.*").join(approx, ["i", "t"], "left")
+    integral = both.agg(F.max(F.abs(F.col("exact") - F.coalesce("v", F.lit(0.0)))).alias("deviation")).withColumn("identity", F.lit("integration"))
+    # multiplication by sum of c psi, its coefficients running over the flat index
+    cells = 1 << level_j
+    c = spark.range(cells * modes).select(F.floor(F.col("id") / modes).cast("int").alias("cell"), (F.col("id") % modes).cast("int").alias("mode"), ((F.col("id") + 1) / (cells * modes)).alias("c"))
+    h = product_coo(c, level_j, modes)
+    turned = h.select("cell", F.col("j").alias("i"), F.col("i").alias("j"), F.col("v").alias("w"))
+    symmetry = h.join(turned, ["cell", "i", "j"], "left").agg(F.max(F.abs(F.col("v") - F.coalesce("w", F.lit(0.0)))).alias("deviation")).withColumn("identity", F.lit("product symmetry"))
+    f = c.groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("mode", "c"))), lambda z: z["c"]).alias("c"))
+    value = sum((F.col("c")[m] * u[m] for m in range(modes)), F.lit(0.0)) * b.scale(level_j)
+    inner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), (F.col("w") * value * u[i] * u[j]).alias("p")) for i in range(modes) for j in range(modes)]))
+    grid = f.withColumn("q", F.explode(F.sequence(F.lit(1), F.lit(n)))).join(nodes(spark, n), "q")
+    projected = grid.select("cell", inner.alias("z")).select("cell", "z.*").groupBy("cell", "i", "j").agg((F.sum("p") * (b.scale(level_j) ** 2 / 2 ** (level_j + 1))).alias("p"))
+    projection = projected.join(h, ["cell", "i", "j"], "left").agg(F.max(F.abs(F.col("p") - F.coalesce("v", F.lit(0.0)))).alias("deviation")).withColumn("identity", F.lit("product projection"))
+    return ortho.unionByName(integral).unionByName(symmetry).unionByName(projection).select("identity", "deviation")

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import frames as fr
 from tessera.operators import backtest as bt
-from tessera.operators import decisions, stats
+from tessera.operators import align, decisions, stats
 from tessera.operators import features as feat
 from tessera.operators import signals as sig
 from tessera.plans.panels import returns
 from tessera.plans.registry import Registry
-from tessera.plans.signals import LS, TECH, _weights, score_sql
+from tessera.plans.signals import LS, TECH, _weights, feature_tables, score_sql
 from tessera.sources import panels as src
 from tessera.sources import stores
 from tessera.streaming import bars as stream
@@ -26,13 +26,9 @@ def _fwd(spark, sf):
     return returns(spark, sf).withColumn("fwd", F.lead("ret").over(fr.ordered()))
 
 
-def _n_dates(panel) -> int:
-    return panel.select("dt").distinct().count()
-
-
 @query("walkforward_folds", f"WITH $PW, {FOLDS} SELECT * FROM fd")
 def _(spark, sf):
-    return bt.folds(spark, _n_dates(src.weekly(spark, sf)), 100, 13)
+    return bt.folds(spark, bt.n_dates(src.weekly(spark, sf)), 100, 13)
 
 
 @query("fold_standardize", f"""WITH $PW, $R, $F, {FOLDS}, u AS (SELECT dt, ret, dense_rank() OVER (ORDER BY dt) AS pos FROM f WHERE ret IS NOT NULL AND fwd IS NOT NULL)
@@ -40,7 +36,7 @@ SELECT fold, count(*) AS n, round(avg(ret), 6) + 0.0 AS mean, round(stddev_samp(
 def _(spark, sf):
     panel = src.weekly(spark, sf)
     rows = _fwd(spark, sf).filter("ret is not null and fwd is not null")
-    m = bt.fold_moments(rows, ["ret"], "fwd", bt.folds(spark, _n_dates(panel), 100, 13))
+    m = bt.fold_moments(rows, ["ret"], "fwd", bt.folds(spark, bt.n_dates(panel), 100, 13))
     mean = F.col("s_0") / F.col("s_n")
     return m.select("fold", F.col("s_n").alias("n"), fr.tidy(mean).alias("mean"), F.round(F.sqrt((F.col("s_0_0") - F.col("s_n") * mean * mean) / (F.col("s_n") - 1)), 6).alias("sd"))
 
@@ -50,45 +46,68 @@ s AS (SELECT fold, count(*) AS n, avg(ret) AS m, stddev_samp(ret) AS sd, sum(ret
 SELECT fold, n, round(((xy - m * sy) / sd) / (n - 1 + 1.0), 6) + 0.0 AS beta, round(sy / n, 6) + 0.0 AS intercept FROM s""")
 def _(spark, sf):
     rows = _fwd(spark, sf).filter("ret is not null and fwd is not null")
-    f = bt.ridge_fits(rows, ["ret"], "fwd", bt.folds(spark, _n_dates(src.weekly(spark, sf)), 100, 13), 1.0)
+    f = bt.ridge_fits(rows, ["ret"], "fwd", bt.folds(spark, bt.n_dates(src.weekly(spark, sf)), 100, 13), 1.0)
     return f.select("fold", "n", fr.tidy(F.col("beta")[1]).alias("beta"), fr.tidy(F.col("beta")[0]).alias("intercept"))
 
 
 def _cs(spark, sf):
-    """Features and standardised target of the weekly cross-section, ranked by date."""
-    f = feat.causal_features(src.weekly(spark, sf), [13, 21])
+    """Features and standardised target of the weekly cross-section, ranked by date. Written, as several steps read them."""
+    f = feat.causal_features(src.weekly(spark, sf), [13, 21], engine="arrow")
     f = f.withColumn("ret", fr.simple_return(F.col("close"), fr.ordered())).withColumn("fwd", F.lead("ret").over(fr.ordered()))
     f = f.withColumn("y", bt.cs_target(f))
     names = ["W13_trendT", "W13_vol", "W21_dev"]
     ok = f.filter("y is not null and fwd is not null")
     n = F.count("*").over(fr.group())
-    return ok.withColumns({c: (fr.tied_rank(F.col(c), ["dt"]) - 0.5) / n - 0.5 for c in names}), names
+    ranked = ok.withColumns({c: (fr.tied_rank(F.col(c), ["dt"]) - 0.5) / n - 0.5 for c in names})
+    return stores.settle(ranked.select("dt", "asset", *names, "y", "fwd")), names
+
+
+def _ranked_sql() -> str:
+    """Tables up to u (dt, asset, x1, x2, x3, y, fwd, pos) and fd, the folds over its dates."""
+    rank = lambda c: f"(rank() OVER (PARTITION BY dt ORDER BY {c}) + (count(*) OVER (PARTITION BY dt, {c}) - 1) / 2 - 0.5) / count(*) OVER (PARTITION BY dt) - 0.5"
+    return f"""{feature_tables(13)}, {feature_tables(21)}, j AS (SELECT a.dt, a.asset, a.close, a.trendT, a.vol, b.dev FROM ft13 a JOIN ft21 b USING (dt, asset)),
+jr AS (SELECT *, close / lag(close) OVER (PARTITION BY asset ORDER BY dt) - 1 AS ret FROM j), jf AS (SELECT *, lead(ret) OVER (PARTITION BY asset ORDER BY dt) AS fwd FROM jr),
+jy AS (SELECT *, CASE WHEN stddev_pop(fwd) OVER w >= 2.220446049250313e-16 THEN (fwd - avg(fwd) OVER w) / stddev_pop(fwd) OVER w END AS y FROM jf WINDOW w AS (PARTITION BY dt)),
+u AS (SELECT dt, asset, {rank("trendT")} AS x1, {rank("vol")} AS x2, {rank("dev")} AS x3, y, fwd, dense_rank() OVER (ORDER BY dt) AS pos FROM jy WHERE y IS NOT NULL AND fwd IS NOT NULL),
+fd AS (SELECT k AS fold, 99 + k * 13 AS train_end, 101 + k * 13 AS test_start, 113 + k * 13 AS test_end FROM (SELECT unnest(range(0, (n - 100 + 12) // 13)) AS k FROM (SELECT max(pos) AS n FROM u)))"""
 
 
-@query("cs_ridge_score")
+#: The solution of three symmetric equations a b = v by minors.
+THREE = """(SELECT *, a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a13 * a23) + a13 * (a12 * a23 - a13 * a22) AS det FROM g),
+be AS (SELECT *, (v1 * (a22 * a33 - a23 * a23) + v2 * (a13 * a23 - a12 * a33) + v3 * (a12 * a23 - a13 * a22)) / det AS b1, (v1 * (a13 * a23 - a12 * a33) + v2 * (a11 * a33 - a13 * a13) + v3 * (a12 * a13 - a11 * a23)) / det AS b2,
+  (v1 * (a12 * a23 - a13 * a22) + v2 * (a12 * a13 - a11 * a23) + v3 * (a11 * a22 - a12 * a12)) / det AS b3 FROM h)"""
+
+
+@query("cs_ridge_score", f"""WITH $PW, {_ranked_sql()}, g AS (SELECT fold, test_start, test_end, sum(x1 * x1) + 10 AS a11, sum(x1 * x2) AS a12, sum(x1 * x3) AS a13, sum(x2 * x2) + 10 AS a22, sum(x2 * x3) AS a23, sum(x3 * x3) + 10 AS a33,
+  sum(x1 * y) AS v1, sum(x2 * y) AS v2, sum(x3 * y) AS v3 FROM fd JOIN u ON pos <= train_end GROUP BY 1, 2, 3), h AS {THREE}
+SELECT dt, asset, fold, round(b1 * x1 + b2 * x2 + b3 * x3, 6) + 0.0 AS score, round(fwd, 6) + 0.0 AS fwd FROM be JOIN u ON pos BETWEEN test_start AND test_end""")
 def _(spark, sf):
     rows, names = _cs(spark, sf)
-    fits = bt.ridge_fits(rows, names, "y", bt.folds(spark, _n_dates(rows), 100, 13), 10.0, standardize=False, intercept=False)
-    return bt.predict(rows, names, fits).select("dt", "asset", "fold", "score", "fwd")
+    fits = bt.ridge_fits(rows, names, "y", bt.folds(spark, bt.n_dates(rows), 100, 13), 10.0, standardize=False, intercept=False)
+    return bt.predict(rows, names, fits).select("dt", "asset", "fold", fr.tidy(F.col("score")).alias("score"), fr.tidy(F.col("fwd")).alias("fwd"))
 
 
-@query("walkforward_ridge")
+@query("walkforward_ridge", f"""WITH $PW, {_ranked_sql()}, m AS (SELECT fold, test_start, test_end, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_samp(x1) AS s1, stddev_samp(x2) AS s2, stddev_samp(x3) AS s3, avg(y) AS my, max(train_end) AS te FROM fd JOIN u ON pos <= train_end GROUP BY 1, 2, 3),
+z AS (SELECT m.*, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, (x3 - m3) / s3 AS z3, y - my AS c FROM m JOIN u ON pos <= te),
+g AS (SELECT fold, test_start, test_end, m1, m2, m3, s1, s2, s3, my, sum(z1 * z1) + 1 AS a11, sum(z1 * z2) AS a12, sum(z1 * z3) AS a13, sum(z2 * z2) + 1 AS a22, sum(z2 * z3) AS a23, sum(z3 * z3) + 1 AS a33, sum(z1 * c) AS v1, sum(z2 * c) AS v2, sum(z3 * c) AS v3 FROM z GROUP BY ALL), h AS {THREE},
+s AS (SELECT dt, asset, fold, my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 + b3 * (x3 - m3) / s3 AS score FROM be JOIN u ON pos BETWEEN test_start AND test_end)
+SELECT dt, asset, fold, round(score, 6) + 0.0 AS score, CASE WHEN round(score, 6) >= 0 THEN 1 ELSE -1 END AS position FROM s""")
 def _(spark, sf):
     rows, names = _cs(spark, sf)
-    fits = bt.ridge_fits(rows, names, "y", bt.folds(spark, _n_dates(rows), 100, 13), 1.0)
-    return bt.predict(rows, names, fits).select("dt", "asset", "fold", "score", F.when(F.col("score") >= 0, 1).otherwise(-1).alias("position"))
+    fits = bt.ridge_fits(rows, names, "y", bt.folds(spark, bt.n_dates(rows), 100, 13), 1.0)
+    return bt.predict(rows, names, fits).select("dt", "asset", "fold", fr.tidy(F.col("score")).alias("score"), F.when(fr.tidy(F.col("score")) >= 0, 1).otherwise(-1).alias("position"))
 
 
 @query("walkforward_logistic")
 def _(spark, sf):
     rows, names = _cs(spark, sf)
-    return bt.walkforward_logistic(rows, names, "fwd", bt.folds(spark, _n_dates(rows), 100, 52), 1.0)
+    return bt.walkforward_logistic(rows, names, "fwd", bt.folds(spark, bt.n_dates(rows), 100, 52), 1.0)
 
 
 @query("lambda_select")
 def _(spark, sf):
     rows, names = _cs(spark, sf)
-    return bt.walkforward_logistic(rows, names, "fwd", bt.folds(spark, _n_dates(rows), 150, 104), [0.1, 1.0, 10.0]).select("asset", "fold", "penalty").distinct()
+    return bt.walkforward_logistic(rows, names, "fwd", bt.folds(spark, bt.n_dates(rows), 150, 104), [0.1, 1.0, 10.0]).select("asset", "fold", "penalty").distinct()
 
 
 @query("cs_target", "WITH $PW, $R, $F SELECT dt, asset, CASE WHEN stddev_pop(fwd) OVER w >= 2.220446049250313e-16 THEN round((fwd - avg(fwd) OVER w) / stddev_pop(fwd) OVER w, 6) + 0.0 END AS y FROM f WINDOW w AS (PARTITION BY dt)")
@@ -281,19 +300,22 @@ for _mode, _key in (("date", "'7|1|' || CAST(dt AS VARCHAR) || '|' || asset"), (
     )
 
 HEX = "('0x' || substr(md5({}), 1, 8))::BIGINT"
-query("null_shift", f"SELECT run, pos, (pos - 1 - sh) - 300 * floor((pos - 1 - sh) / 300.0)::BIGINT + 1 AS source FROM (SELECT run, unnest(range(1, 301)) AS pos, 100 + {HEX.format("'7|' || run")} % 100 AS sh FROM (SELECT unnest(range(1, 6)) AS run))")(lambda spark, sf: bt.null_index(spark, 300, "shift", 7, 5))
-query("null_block_perm", "WITH b AS (SELECT run, b, least(21, 300 - b * 21) AS size, md5('7|' || run || '|' || b) AS k FROM (SELECT unnest(range(1, 6)) AS run), (SELECT unnest(range(15)) AS b)), c AS (SELECT *, (sum(size) OVER (PARTITION BY run ORDER BY k, b) - size)::BIGINT AS at_ FROM b) SELECT run, at_ + i + 1 AS pos, b * 21 + i + 1 AS source FROM (SELECT run, b, at_, unnest(range(size)) AS i FROM c)")(lambda spark, sf: bt.null_index(spark, 300, "blockperm", 7, 5))
-query("null_block_boot", f"SELECT run, b * 21 + i + 1 AS pos, start + i AS source FROM (SELECT run, b, 1 + {HEX.format("'7|' || run || '|' || b")} % 280 AS start FROM (SELECT unnest(range(1, 6)) AS run), (SELECT unnest(range(15)) AS b)), (SELECT unnest(range(21)) AS i) WHERE b * 21 + i + 1 <= 300")(lambda spark, sf: bt.null_index(spark, 300, "block", 7, 5))
+NN = "nn AS (SELECT count(DISTINCT dt) AS n FROM p), lo AS (SELECT n, greatest(least(252, n // 3), n // 20) AS low FROM nn), rs AS (SELECT unnest(range(1, 6)) AS run)"
+SHIFT = f"ms AS (SELECT run, pos, (pos - 1 - sh) - n * floor((pos - 1 - sh) / n::DOUBLE)::BIGINT + 1 AS source FROM (SELECT run, n, unnest(range(1, n + 1)) AS pos, low + {HEX.format("'7|' || run")} % greatest(1, n - 2 * low) AS sh FROM rs, lo))"
+PERM = "b AS (SELECT run, b, least(21, n - b * 21) AS size, md5('7|' || run || '|' || b) AS k FROM rs, (SELECT n, unnest(range((n + 20) // 21)) AS b FROM nn)), c AS (SELECT *, (sum(size) OVER (PARTITION BY run ORDER BY k, b) - size)::BIGINT AS at_ FROM b), mp AS (SELECT run, at_ + i + 1 AS pos, b * 21 + i + 1 AS source FROM (SELECT run, b, at_, unnest(range(size)) AS i FROM c))"
+BOOT = f"mb AS (SELECT run, b * 21 + i + 1 AS pos, start + i AS source FROM (SELECT run, b, n, 1 + {HEX.format("'7|' || run || '|' || b")} % (n - 20) AS start FROM rs, (SELECT n, unnest(range((n + 20) // 21)) AS b FROM nn)), (SELECT unnest(range(21)) AS i) WHERE b * 21 + i + 1 <= n)"
+for _name, _mode, _sql, _table in (("null_shift", "shift", SHIFT, "ms"), ("null_block_perm", "blockperm", PERM, "mp"), ("null_block_boot", "block", BOOT, "mb")):
+    query(_name, f"WITH $PW, {NN}, {_sql} SELECT run, pos, source FROM {_table}")(lambda spark, sf, mode=_mode: bt.null_index(bt.n_dates(src.weekly(spark, sf)), mode, 7, 5))
 
 
 TRI = """m AS (SELECT d.dt, d.asset, d.close, rt.rate, b.rate AS num FROM d ASOF LEFT JOIN rt ON d.asset = rt.cur AND d.dt >= rt.valid_from ASOF LEFT JOIN (SELECT * FROM rt WHERE cur = 1) b ON d.dt >= b.valid_from),
 g AS (SELECT dt, asset, close, close / lag(close) OVER o * (1 + (rate - num) * (dt - lag(dt) OVER o) / 360.0) AS g, rate - num AS diff FROM m WINDOW o AS (PARTITION BY asset ORDER BY dt))"""
 
 
-@query("total_return_index", f"WITH $PD, $RT, {TRI} SELECT dt, asset, round(ln(product(coalesce(g, 1)) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS log_tri FROM g WHERE dt >= DATE '1992-03-01' OR g IS NULL")
+@query("total_return_index", f"WITH $PD, $RT, {TRI} SELECT dt, asset, round(ln(product(coalesce(g, 1)) OVER (PARTITION BY asset ORDER BY dt ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS log_tri FROM g")
 def _(spark, sf):
     t = decisions.total_return(src.daily(spark, sf), src.rates(spark, sf), 1)
-    t = t.filter("dt >= '1992-03-01' or growth is null").withColumn("tri", F.product(F.coalesce("growth", F.lit(1.0))).over(fr.running()))
+    t = t.withColumn("tri", F.product(F.coalesce("growth", F.lit(1.0))).over(fr.running()))
     return t.select("dt", "asset", fr.tidy(F.ln("tri")).alias("log_tri"))
 
 
@@ -330,16 +352,6 @@ def _(spark, sf):
     return decisions.hold_state(sig.technical(src.weekly(spark, sf), 5, 20, 10)).select("dt", "asset", "signal", "held", "entry")
 
 
-@query("sandbox_run")
-def _(spark, sf):
-    return decisions.sandbox(src.weekly(spark, sf), 5, 20, 10)
-
-
-@query("decision_summary")
-def _(spark, sf):
-    return decisions.summary(decisions.sandbox(src.weekly(spark, sf), 5, 20, 10))
-
-
 @query("orchestrator_decisions", f"""WITH $PW, r AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY asset ORDER BY dt) AS ret FROM p), {score_sql()},
 z AS (SELECT *, sign(score)::INTEGER AS signal, row_number() OVER (PARTITION BY asset ORDER BY dt DESC) AS k FROM w2 WHERE score IS NOT NULL)
 SELECT asset, dt, round(score, 5) + 0.0 AS score, signal, round(abs(score) * 2.9, 5) AS expected_edge_bps, round(2.9 * abs(signal) / 1.989, 5) AS required_edge_bps, abs(signal)::DOUBLE AS projected_turnover,
@@ -363,10 +375,7 @@ for _format in ("json", "csv", "parquet"):
 @query("jsonl_replay", RECORD.replace("SELECT ", "SELECT row_number() OVER (ORDER BY o_orderkey, o_totalprice) AS seq, "))
 def _(spark, sf):
     r = _records(spark, sf)
-    from pyspark.sql import Window as W
-
-    numbered = r.withColumn("seq", F.row_number().over(W.orderBy("instrument", "score")).cast("long"))
-    return stores.roundtrip(numbered, "json").select("seq", *r.columns)
+    return stores.roundtrip(align.numbered(r, ["instrument", "score"], "seq"), "json").select("seq", *r.columns)
 
 
 @query("decision_record", "SELECT o_orderkey AS instrument, o_totalprice AS score, '{\"priority\":\"' || o_orderpriority || '\",\"status\":\"' || o_orderstatus || '\"}' AS metadata FROM orders")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tessera.plans import backtests, panels, signals, wavelets
+from tessera.plans import backtests, panels, signals, studies, wavelets
 
-SECTIONS = [panels, signals, wavelets, backtests]
+SECTIONS = [panels, signals, wavelets, backtests, studies]
 
 
 def queries() -> dict[str, Callable]:

@@ -226,7 +226,7 @@ def _(spark, sf):
 
 @query("expanding_median", "WITH $PW SELECT dt, asset, quantile_cont(close, 0.5) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med FROM p")
 def _(spark, sf):
-    return src.weekly(spark, sf).select("dt", "asset", F.percentile("close", 0.5).over(fr.before()).alias("med"))
+    return stats.expanding_median(src.weekly(spark, sf), "close", "med").select("dt", "asset", "med")
 
 
 @query("percentile_interval", "WITH $PW, $R SELECT asset, round(quantile_cont(ret, 0.05), 6) + 0.0 AS p05, round(quantile_cont(ret, 0.95), 6) + 0.0 AS p95 FROM r GROUP BY asset")
@@ -320,12 +320,12 @@ def _(spark, sf):
 
 
 def _sets(spark, sf):
-    ship = src.table(spark, sf, "lineitem").filter("l_linenumber = 7").select(F.to_date("l_shipdate").alias("dt"))
+    ship = src.table(spark, sf, "lineitem").select(F.to_date("l_shipdate").alias("dt"))
     return ship, src.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("dt"))
 
 
 for _name, _op, _sql in (("union", lambda a, b: a.union(b).distinct(), "UNION"), ("intersect", lambda a, b: a.intersect(b), "INTERSECT"), ("except", lambda a, b: a.subtract(b), "EXCEPT")):
-    query(f"set_{_name}_dates", f"SELECT CAST(l_shipdate AS DATE) AS dt FROM lineitem WHERE l_linenumber = 7 {_sql} SELECT CAST(o_orderdate AS DATE) AS dt FROM orders")(lambda spark, sf, op=_op: op(*_sets(spark, sf)))
+    query(f"set_{_name}_dates", f"SELECT CAST(l_shipdate AS DATE) AS dt FROM lineitem {_sql} SELECT CAST(o_orderdate AS DATE) AS dt FROM orders")(lambda spark, sf, op=_op: op(*_sets(spark, sf)))
 
 
 @query("pooled_offsets", "WITH $PW, c AS (SELECT dt, count(*) AS n FROM p GROUP BY dt) SELECT dt, n, (sum(n) OVER (ORDER BY dt) - n)::BIGINT AS first_row FROM c")

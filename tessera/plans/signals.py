@@ -191,23 +191,30 @@ def _dots(weights):
     return "[" + ", ".join(repr(float(x)) + "::DOUBLE" for x in weights) + "]"
 
 
-def _feature_sql(w: int, modes: int = 4, weighting: str = "uniform") -> str:
-    """The same algebra in SQL: dot products of the window, shifted by its last value, with fixed weights."""
+def feature_tables(w: int, modes: int = 4, weighting: str = "uniform", source: str = "p") -> str:
+    """The same algebra in SQL: dot products of the window, shifted by its last value, with fixed weights. Tables up to ft{w} (dt, asset, close and
+    the six features), from dt, asset and close of `source`."""
     a, e, fit = feat.weights(w, modes, 1, weighting)
     rows = ", ".join(f"list_dot_product(s, {_dots(x)}) AS c{m}" for m, x in enumerate(a))
     edges = ", ".join(f"list_dot_product(s, {_dots(x)}) AS e{i}" for i, x in enumerate(e))
     resid = ", ".join(f"s[{i + 1}] - list_dot_product(s, {_dots(x)})" for i, x in enumerate(fit))
-    return f"""w0 AS (SELECT dt, asset, close, list(close) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS win FROM p),
-w1 AS (SELECT dt, asset, close, list_transform(win, lambda x: x - close) AS s FROM w0 WHERE len(win) = {w}),
-w2 AS (SELECT dt, asset, close, {rows}, {edges}, [{resid}] AS resid FROM w1),
-w3 AS (SELECT *, e0 + close AS edge, greatest(list_aggregate(resid, 'stddev_samp'), 2.220446049250313e-16) AS sd FROM w2)
-SELECT dt, asset, round(e1 / greatest(abs(edge), 2.220446049250313e-16), 6) + 0.0 AS W{w}_trend, round(e1 / sd, 4) + 0.0 AS W{w}_trendT, round(e2 / greatest(abs(edge), 2.220446049250313e-16), 5) + 0.0 AS W{w}_curv,
-round((close - edge) / sd, 6) + 0.0 AS W{w}_dev, round(sd / greatest(abs(edge), 2.220446049250313e-16), 6) + 0.0 AS W{w}_vol, round((c2 * c2 + c3 * c3) / greatest(c1 * c1 + c2 * c2 + c3 * c3, 2.220446049250313e-16), 6) + 0.0 AS W{w}_rough FROM w3"""
+    eps = "2.220446049250313e-16"
+    return f"""wa{w} AS (SELECT dt, asset, close, list(close) OVER (PARTITION BY asset ORDER BY dt ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS win FROM {source}),
+wb{w} AS (SELECT dt, asset, close, list_transform(win, lambda x: x - close) AS s FROM wa{w} WHERE len(win) = {w}),
+wc{w} AS (SELECT dt, asset, close, {rows}, {edges}, [{resid}] AS resid FROM wb{w}),
+wd{w} AS (SELECT *, e0 + close AS edge, greatest(list_aggregate(resid, 'stddev_samp'), {eps}) AS sd FROM wc{w}),
+ft{w} AS (SELECT dt, asset, close, e1 / greatest(abs(edge), {eps}) AS trend, e1 / sd AS trendT, e2 / greatest(abs(edge), {eps}) AS curv, (close - edge) / sd AS dev, sd / greatest(abs(edge), {eps}) AS vol, (c2 * c2 + c3 * c3) / greatest(c1 * c1 + c2 * c2 + c3 * c3, {eps}) AS rough FROM wd{w})"""
+
+
+DIGITS = {"trend": 6, "trendT": 4, "curv": 5, "dev": 6, "vol": 6, "rough": 6}
+
+
+def _feature_sql(w: int, modes: int = 4, weighting: str = "uniform") -> str:
+    return f"{feature_tables(w, modes, weighting)} SELECT dt, asset, " + ", ".join(f"round({c}, {d}) + 0.0 AS W{w}_{c}" for c, d in DIGITS.items()) + f" FROM ft{w}"
 
 
 def _tidy_features(f, w):
-    digits = {"trend": 6, "trendT": 4, "curv": 5, "dev": 6, "vol": 6, "rough": 6}
-    return f.select("dt", "asset", *[fr.tidy(F.col(f"W{w}_{k}"), d).alias(f"W{w}_{k}") for k, d in digits.items()])
+    return f.select("dt", "asset", *[fr.tidy(F.col(f"W{w}_{k}"), d).alias(f"W{w}_{k}") for k, d in DIGITS.items()])
 
 
 for _name, _w, _kind in (("wavelet_features_w21", 21, "uniform"), ("wavelet_features_cheb", 13, "chebyshev")):
@@ -260,10 +267,12 @@ def _(spark, sf):
 
 EWMA = f"""{INDEX}, n AS (SELECT dt, r, row_number() OVER (ORDER BY dt) AS k FROM iy), s0 AS (SELECT var_pop(r) AS v FROM n WHERE k BETWEEN 2 AND 21),
 e(k, v) AS (SELECT 21::BIGINT, v FROM s0 UNION ALL SELECT e.k + 1, 0.94 * e.v + 0.06 * n.r * n.r FROM e JOIN n ON n.k = e.k)"""
-FILTER = f"""{EWMA}, vv AS (SELECT n.dt, CASE WHEN e.v IS NOT NULL THEN sqrt(e.v * 52) END AS vol FROM n LEFT JOIN e ON n.k = e.k),
-tg AS (SELECT *, CASE WHEN vol IS NOT NULL AND count(vol) OVER b >= 52 THEN quantile_cont(vol, 0.5) OVER b END AS target FROM vv WINDOW b AS (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+TARGETS = """tg AS (SELECT *, CASE WHEN vol IS NOT NULL AND count(vol) OVER b >= 52 THEN quantile_cont(vol, 0.5) OVER b END AS target FROM vv WINDOW b AS (ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 ex AS (SELECT *, CASE WHEN target IS NOT NULL THEN least(greatest(target / greatest(vol, 2.220446049250313e-16), 0), 1) END AS x FROM tg),
 sm AS (SELECT dt, vol, target, CASE WHEN x IS NOT NULL THEN least(greatest(avg(x) OVER (ORDER BY dt ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 0), 1) END AS exposure FROM ex)"""
+FILTER = f"{EWMA}, vv AS (SELECT n.dt, CASE WHEN e.v IS NOT NULL THEN sqrt(e.v * 52) END AS vol FROM n LEFT JOIN e ON n.k = e.k), {TARGETS}"
+WAVELET = f"""{INDEX}, il AS (SELECT dt, 'index' AS asset, level AS close FROM iy), {feature_tables(13, source="il")}, {feature_tables(21, source="il")},
+vv AS (SELECT iy.dt, (a.vol + b.vol) / 2 * sqrt(52) AS vol FROM iy LEFT JOIN ft13 a ON a.dt = iy.dt LEFT JOIN ft21 b ON b.dt = iy.dt), {TARGETS}"""
 
 
 @query("ewma_vol", f"WITH RECURSIVE $PW, $R, {EWMA} SELECT n.dt, round(sqrt(e.v * 52), 6) AS vol FROM e JOIN n ON n.k = e.k")
@@ -281,9 +290,9 @@ def _(spark, sf):
     return _filtered(spark, sf).select("dt", *[F.round(c, 6).alias(c) for c in ("vol", "target", "exposure")])
 
 
-@query("risk_filter_wavelet")
+@query("risk_filter_wavelet", f"WITH $PW, $R, {WAVELET} SELECT dt, round(vol, 6) AS vol, round(target, 6) AS target, round(exposure, 6) AS exposure FROM sm")
 def _(spark, sf):
-    return _filtered(spark, sf, "wavelet")
+    return _filtered(spark, sf, "wavelet").select("dt", *[F.round(c, 6).alias(c) for c in ("vol", "target", "exposure")])
 
 
 @query("risk_diagnostics", f"WITH RECURSIVE $PW, $R, {FILTER}, ch AS (SELECT *, abs(exposure - lag(exposure) OVER (ORDER BY dt)) AS c FROM sm) SELECT count(exposure) AS n_valid, round(avg(exposure), 6) AS mean_exposure, round(stddev_samp(exposure), 6) AS std_exposure, round(avg(CASE WHEN exposure < 1 THEN 1.0 WHEN exposure >= 1 THEN 0 END), 6) AS share_derisked, round(avg(c), 6) AS turnover FROM ch")

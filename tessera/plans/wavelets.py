@@ -90,17 +90,18 @@ def _(spark, sf):
     return wav.linearization(spark, 4)
 
 
-COEFFICIENTS = "c AS (SELECT vec_id, (i // 4)::INTEGER AS cell, (i % 4)::INTEGER AS mode, embedding[i + 1]::DOUBLE AS c FROM embeddings, (SELECT unnest(range(16)) AS i) WHERE vec_id = 0)"
+COEFFICIENTS = "c AS (SELECT vec_id, (i // 4)::INTEGER AS cell, (i % 4)::INTEGER AS mode, embedding[i + 1]::DOUBLE AS c FROM embeddings, (SELECT unnest(range(64)) AS i))"
 
 
 def _coefficients(spark, sf):
-    e = src.table(spark, sf, "embeddings").filter("vec_id = 0").select(F.posexplode(F.slice("embedding", 1, 16)).alias("i", "c"))
-    return e.select(F.floor(F.col("i") / 4).cast("int").alias("cell"), (F.col("i") % 4).alias("mode"), F.col("c").cast("double").alias("c"))
+    """Each vector's 64 components as those of a function: 16 cells of 4 modes."""
+    e = src.table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "c"))
+    return e.select("vec_id", F.floor(F.col("i") / 4).cast("int").alias("cell"), (F.col("i") % 4).alias("mode"), F.col("c").cast("double").alias("c"))
 
 
-@query("pom_coo", f"WITH {TENSOR}, {COEFFICIENTS} SELECT cell, i, j, round(sum(c) * {b.scale(2)!r}, 6) + 0.0 AS v FROM c JOIN t3 ON mode = l GROUP BY 1, 2, 3")
+@query("pom_coo", f"WITH {TENSOR}, {COEFFICIENTS} SELECT vec_id, cell, i, j, round(sum(c) * {b.scale(4)!r}, 6) + 0.0 AS v FROM c JOIN t3 ON mode = l GROUP BY 1, 2, 3, 4")
 def _(spark, sf):
-    return wav.product_coo(_coefficients(spark, sf), 2, 4).withColumn("v", fr.tidy(F.col("v")))
+    return wav.product_coo(_coefficients(spark, sf), 4, 4, ["vec_id"]).withColumn("v", fr.tidy(F.col("v")))
 
 
 @query("diff_matrix", "SELECT m, j, (8.0 * 2 * (j + 1))::DOUBLE AS v FROM (SELECT unnest(range(6))::INTEGER AS m) a, (SELECT unnest(range(6))::INTEGER AS j) b WHERE j < m AND (m - j) % 2 = 1")
@@ -109,40 +110,58 @@ def _(spark, sf):
     return spark.createDataFrame([(m, j, float(d[m, j])) for m in range(6) for j in range(6) if d[m, j]], "m int, j int, v double")
 
 
-@query("omi_apply", f"""WITH {BLOCKS}, c AS (SELECT vec_id, (i // 4)::INTEGER AS cell, (i % 4)::INTEGER AS mode, embedding[i + 1]::DOUBLE AS c FROM embeddings, (SELECT unnest(range(16)) AS i)),
-x AS (SELECT c.vec_id, k.cell, bl.j AS mode, c.c * CASE WHEN c.cell = k.cell THEN own ELSE later END AS v FROM c JOIN (SELECT unnest(range(4))::INTEGER AS cell) k ON c.cell <= k.cell JOIN bl ON bl.i = c.mode)
+BLOCKS16 = BLOCKS.replace("(8 * (a.i + 1))", "(32 * (a.i + 1))").replace("16.0 * (a.i + 1)", "64.0 * (a.i + 1)").replace("4.0 * (a.i + 1)), ", "16.0 * (a.i + 1)), ").replace("1 / (4.0 * (a.i + 1))", "1 / (16.0 * (a.i + 1))")
+
+
+@query("omi_apply", f"""WITH {BLOCKS16}, {COEFFICIENTS},
+x AS (SELECT c.vec_id, k.cell, bl.j AS mode, c.c * CASE WHEN c.cell = k.cell THEN own ELSE later END AS v FROM c JOIN (SELECT unnest(range(16))::INTEGER AS cell) k ON c.cell <= k.cell JOIN bl ON bl.i = c.mode)
 SELECT vec_id, cell, mode, round(sum(v), 6) + 0.0 AS c FROM x GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    e = src.table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("e"))
-    c = e.select("vec_id", F.explode(F.array(*[F.struct(F.lit(n).alias("cell"), F.slice("e", 4 * n + 1, 4).alias("c")) for n in range(4)])).alias("z")).select("vec_id", "z.*")
-    return wav.apply_integration(c, 2, 4, "vec_id").select("vec_id", "cell", F.posexplode("c").alias("mode", "c")).withColumn("c", fr.tidy(F.col("c")))
+    e = src.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    c = e.select("vec_id", F.explode(F.array(*[F.struct(F.lit(n).alias("cell"), F.slice("e", 4 * n + 1, 4).alias("c")) for n in range(16)])).alias("z")).select("vec_id", "z.*")
+    return wav.apply_integration(c, 4, 4, "vec_id").select("vec_id", "cell", F.posexplode("c").alias("mode", "c")).withColumn("c", fr.tidy(F.col("c")))
+
+
+def _ode(spark, rows, level_j, modes, digits):
+    """Solutions at 41 times, by the operators' equations."""
+    c = wav.solve_odes(spark, spark.createDataFrame(rows, "id long, a double, b double, f0 double, f1 double, y0 double"), level_j, modes)
+    times = spark.range(41).select((F.col("id") / F.lit(40.0)).alias("t"))
+    return wav.evaluate_series(c, times, level_j, modes).select("id", "t", fr.tidy(F.col("value"), digits).alias("y"))
+
+
+AT = "tt AS (SELECT unnest(range(41)) / 40.0::DOUBLE AS t)"
+
+
+@query("ode_const_coef", f"WITH {AT} SELECT unnest([1, 2])::BIGINT AS id, t, round(unnest([t / 2 - 0.25 + exp(-2 * t) / 4, 3 * exp(-t) - 1 + t]), 4) + 0.0 AS y FROM tt")
+def _(spark, sf):
+    return _ode(spark, [(1, 2.0, 0.0, 0.0, 1.0, 0.0), (2, 1.0, 0.0, 0.0, 1.0, 2.0)], 6, 4, 4)
 
 
-def _ode(spark, rows, level_j, modes):
-    return wav.solve_odes(spark, spark.createDataFrame(rows, "id long, a double, b double, f0 double, f1 double, y0 double"), level_j, modes)
+@query("ode_var_coef", f"WITH {AT} SELECT unnest([1, 2])::BIGINT AS id, t, round(unnest([1 - exp(-t * t / 2), exp(-t - t * t / 2)]), 6) + 0.0 AS y FROM tt")
+def _(spark, sf):
+    return _ode(spark, [(1, 0.0, 1.0, 0.0, 1.0, 0.0), (2, 1.0, 1.0, 0.0, 0.0, 1.0)], 4, 6, 6)
 
 
-@query("ode_const_coef")
+@query("verify_identities", "SELECT unnest(['orthonormality', 'integration', 'product symmetry', 'product projection']) AS identity, unnest([2, 4])::INTEGER AS level_j, 0.0::DOUBLE AS deviation WHERE FALSE UNION ALL SELECT i, j::INTEGER, 0.0::DOUBLE FROM (SELECT unnest(['orthonormality', 'integration', 'product symmetry', 'product projection']) AS i), (SELECT unnest([2, 4]) AS j)")
 def _(spark, sf):
-    return _ode(spark, [(1, 2.0, 0.0, 0.0, 1.0, 0.0)], 2, 4)
+    both = [wav.verify(spark, j, m).withColumn("level_j", F.lit(j)) for j, m in ((2, 4), (4, 6))]
+    return both[0].unionByName(both[1]).select("identity", "level_j", fr.tidy(F.col("deviation"), 9).alias("deviation"))
 
 
-@query("ode_var_coef")
+@query("omi_published", "SELECT i::INTEGER AS i, j::INTEGER AS j, own::DOUBLE AS own, later::DOUBLE AS later FROM (VALUES (0, 0, 1/8, 1/4), (0, 1, 1/16, 0), (0, 2, 0, 0), (0, 3, 0, 0), (1, 0, -3/32, 0), (1, 1, 0, 0), (1, 2, 1/32, 0), (1, 3, 0, 0), (2, 0, 1/24, 1/12), (2, 1, -1/48, 0), (2, 2, 0, 0), (2, 3, 1/48, 0), (3, 0, -1/32, 0), (3, 1, 0, 0), (3, 2, -1/64, 0), (3, 3, 0, 0)) v(i, j, own, later)")
 def _(spark, sf):
-    return _ode(spark, [(1, 0.0, 1.0, 0.0, 1.0, 0.0)], 2, 6)
+    """The blocks of the integration operator at level 2 with 4 modes, as published."""
+    return wav.integration_blocks(spark, 2, 4).select("i", "j", (F.col("own") + 0.0).alias("own"), "later")
 
 
-@query("verify_identities")
+@query("wavelet_scale", "SELECT j::INTEGER AS level_j, round(sqrt(pow(2, j + 2) / pi()), 9) AS scale FROM (SELECT unnest(range(21)) AS j)")
 def _(spark, sf):
-    import numpy as np
+    return spark.range(21).select(F.col("id").cast("int").alias("level_j"), F.round(F.sqrt(F.pow(F.lit(2.0), F.col("id") + 2) / F.pi()), 9).alias("scale"))
+
 
-    rows = []
-    for j, m in ((2, 4), (4, 6)):
-        x, w = b.quadrature(2 * m)
-        gram = b.u_table(m, x) * w @ b.u_table(m, x).T * (b.scale(j) ** 2 / 2 ** (j + 1))
-        h = b.product_blocks(j, np.arange((1 << j) * m, dtype=float), m)
-        rows.append((j, m, float(abs(gram - np.eye(m)).max()), float(abs(h - h.transpose(0, 2, 1)).max())))
-    return spark.createDataFrame(rows, "level_j int, modes int, orthonormality double, symmetry double")
+@query("wavelet_antiderivative", f"WITH {T}, v AS (SELECT event_id, CASE WHEN cell = 2 THEN u WHEN cell > 2 THEN 1 ELSE -1 END::DOUBLE AS u FROM u) SELECT event_id, round({A} / 16 * (4 * u * u * u - 3 * u + 1) / 3, 6) + 0.0 AS integral FROM v")
+def _(spark, sf):
+    return _times(spark, sf).select("event_id", fr.tidy(wav.antiderivative(F.col("t"), 3, 2, 2)).alias("integral"))
 
 
 J, M = 3, 4

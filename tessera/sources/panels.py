@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -90,11 +91,12 @@ def cached(spark: SparkSession, path: str, names: list[str], start=None, build=N
     if not force:
         try:
             have = spark.read.parquet(path)
-            row = have.agg(F.array_except(F.lit(names), F.collect_set(name)).alias("missing"), F.min(at).alias("first")).first()
-            if not row["missing"] and (start is None or (row["first"] is not None and str(row["first"]) <= str(start))):
+            reaches = F.lit(True) if start is None else F.coalesce(F.min(at) <= F.lit(start).cast(have.schema[at].dataType), F.lit(False))
+            row = have.agg(F.array_except(F.lit(names), F.collect_set(name)).alias("missing"), reaches.alias("reaches")).first()
+            if not row["missing"] and row["reaches"]:
                 return have
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     if offline or build is None:
         raise FileNotFoundError(f"{path} does not cover what is asked for")
@@ -141,3 +143,38 @@ def synthetic(spark: SparkSession, assets: list[str], days: int, seed: int) -> D
         F.date_add(F.lit("2020-01-01").cast("date"), F.col("day").cast("int")).alias("dt"), "asset", "open",
         (F.greatest("open", "close") * (1 + F.abs(0.004 * normal("e", "f")))).alias("high"), (F.least("open", "close") * (1 - F.abs(0.004 * normal("g", "h")))).alias("low"), "close",
     )
+
+
+def normal(*key: Column | str | int) -> Column:
+    """A standard normal number that is the same everywhere: two uniform ones from the md5 of a key, by Box and Muller."""
+    digest = F.md5(F.concat_ws("|", *[k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in key]))
+    u = [(F.conv(F.substring(digest, at, 8), 16, 10).cast("long") + 1) / F.lit(2.0**32 + 1) for at in (1, 9)]
+    return F.sqrt(-2 * F.ln(u[0])) * F.cos(2 * F.pi() * u[1])
+
+
+def reverting(spark: SparkSession, days: int, assets: int, kappa: float, seed: int = 7) -> DataFrame:
+    """(t, asset, close) of a made panel: a market factor, own noise, and a pull of strength kappa towards the own moving average, as far as it differs
+    from the others'. The shocks are drawn by the cluster; prices follow from those before, in one ordered pass over a row a day."""
+    import numpy as np
+    import pandas as pd
+
+    unit = lambda k: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(k), F.col("asset").cast("string"))), 1, 8), 16, 10).cast("long") + 1) / F.lit(2.0**32 + 1)
+    grid = spark.range(1, days + 1).select(F.col("id").cast("int").alias("t"), F.explode(F.sequence(F.lit(1), F.lit(assets))).alias("asset"))
+    market = 0.0003 + 0.009 * normal(seed, "m", F.col("t"))
+    shock = (0.6 + 0.8 * unit("b")) * market + (0.010 + 0.008 * unit("s")) * normal(seed, "i", F.col("t"), F.col("asset"))
+    days_ = grid.withColumn("shock", shock).groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("asset", "shock"))), lambda x: x["shock"]).alias("shocks")).withColumn("panel", F.lit(1))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("t")
+        price, rows = np.full(assets, 100.0), []
+        mean = price.copy()
+        for i, x in enumerate(frame["shocks"]):
+            if i:
+                away = (price - mean) / np.maximum(mean, np.finfo(float).eps)
+                price = price * (1 + np.asarray(x) - kappa * (away - away.mean()))
+                mean = 0.95 * mean + 0.05 * price
+            rows.append(price.tolist())
+        return pd.DataFrame({"t": frame["t"].to_numpy(), "closes": rows})
+
+    made = days_.groupBy("panel").applyInPandas(one, "t int, closes array<double>")
+    return made.select("t", F.posexplode("closes").alias("i", "close")).select("t", (F.col("i") + 1).alias("asset"), "close")

@@ -21,7 +21,8 @@ def bars(events: DataFrame, seconds: int = 5, late: str = "10 seconds") -> DataF
 
 
 def run_bars(spark: SparkSession, path: str, seconds: int = 5) -> DataFrame:
-    """All bars of a finished source: the stream runs until it has read what is there and writes to the shared folder."""
+    """All bars of a finished source: the stream runs until it has read what is there. Each batch writes the bars that it changed, the watermark frees
+    the state of those that can change no more, and the last version of a bar is read."""
     schema = spark.read.parquet(path).schema
     if dict(spark.read.parquet(path).dtypes)["ts"] == "timestamp_ntz":
         schema = spark.read.parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).schema
@@ -32,9 +33,24 @@ def run_bars(spark: SparkSession, path: str, seconds: int = 5) -> DataFrame:
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/bars/batch={number}")
 
-    q = bars(source, seconds).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(put).queryName(name).trigger(availableNow=True).start()
+    q = bars(source, seconds).writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").foreachBatch(put).queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/bars/batch={q.lastProgress['batchId']}")
+    made = bars(spark.createDataFrame([], schema), seconds).columns
+    versions = spark.read.schema(bars(spark.createDataFrame([], schema), seconds).schema.add("batch", "long")).parquet(f"{out}/bars")
+    return versions.groupBy("asset", "dt").agg(F.max_by(F.struct(*made[2:]), "batch").alias("b")).select("asset", "dt", "b.*")
+
+
+def run_held(signals: DataFrame, loss: float = 0.07) -> DataFrame:
+    """held_stream over the signals of a table, written as a source first."""
+    spark, out = signals.sparkSession, scratch(signals.sparkSession)
+    signals.write.parquet(f"{out}/in")
+    source = spark.readStream.schema(signals.schema).parquet(f"{out}/in")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/held/batch={number}")
+
+    held_stream(source, loss).writeStream.outputMode("append").option("checkpointLocation", f"{out}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("asset string, dt date, held int, entry double").parquet(f"{out}/held/*")
 
 
 def held_stream(signals: DataFrame, loss: float = 0.07) -> DataFrame:
@@ -44,15 +60,14 @@ def held_stream(signals: DataFrame, loss: float = 0.07) -> DataFrame:
 
     def step(key, frames, state: GroupState):
         held, entry = state.get if state.exists else (0, None)
-        for frame in frames:
-            rows = []
-            for r in frame.sort_values("dt").itertuples():
-                if (entry is not None and (entry - r.close) / entry >= loss - 1e-12) or r.signal < 0:
-                    held, entry = 0, None
-                elif r.signal > 0 and entry is None:
-                    held, entry = 1, r.close
-                rows.append((key[0], r.dt, held, entry))
-            yield pd.DataFrame(rows, columns=["asset", "dt", "held", "entry"])
+        rows = []
+        for r in pd.concat(list(frames)).sort_values("dt").itertuples():  # a batch's rows of one asset come in several frames
+            if (entry is not None and (entry - r.close) / entry >= loss - 1e-12) or r.signal < 0:
+                held, entry = 0, None
+            elif r.signal > 0 and entry is None:
+                held, entry = 1, r.close
+            rows.append((key[0], r.dt, held, entry))
+        yield pd.DataFrame(rows, columns=["asset", "dt", "held", "entry"]).astype({"entry": object})
         state.update((held, entry))
 
     return signals.groupBy("asset").applyInPandasWithState(step, "asset string, dt date, held int, entry double", "held int, entry double", "append", GroupStateTimeout.NoTimeout)

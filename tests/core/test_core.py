@@ -250,18 +250,71 @@ def test_logistic_reaches_a_stationary_point():
 
 
 def test_null_maps_and_breakeven(spark):
+    ns = spark.createDataFrame([("a", 100), ("b", 63)], "asset string, n long")
     for mode in ("shift", "blockperm"):
-        got = backtest.null_index(spark, 100, mode, 1, 3, 21).groupBy("run").agg(F.count_distinct("source").alias("n"), F.count_distinct("pos").alias("m")).collect()
-        assert all((r.n, r.m) == (100, 100) for r in got)
-    assert backtest.null_index(spark, 100, "block", 1, 1, 21).filter("source < 1 or source > 100").count() == 0
+        got = backtest.null_index(ns, mode, 1, 3, 21).groupBy("asset", "run").agg(F.count_distinct("source").alias("n"), F.count_distinct("pos").alias("m")).collect()
+        assert len(got) == 6 and all((r.n, r.m) == ({"a": 100, "b": 63}[r.asset],) * 2 for r in got)
+    assert backtest.null_index(ns, "block", 1, 1, 21).filter("source < 1 or source > 100").count() == 0
     with pytest.raises(ValueError):
-        backtest.null_index(spark, 100, "x", 1, 1)
+        backtest.null_index(ns, "x", 1, 1)
     s = spark.createDataFrame([(0.0, 2.0), (1.0, 1.0), (2.0, -1.0)], "spread double, sharpe double")
     assert backtest.breakeven(s).first().breakeven == 1.5
     assert backtest.breakeven(s.filter("spread > 1")).first().breakeven is None
     assert backtest.breakeven(s.filter("spread < 2")).first().breakeven == math.inf
 
 
+def test_cross_sectional_null_equals_a_refit(spark):
+    """Several features, each run fitted anew in NumPy on the targets that its own map deals out."""
+    rng = np.random.default_rng(16)
+    days = pd.date_range("2020-01-01", periods=50)
+    frame = pd.DataFrame([(d.date(), f"a{i:02}", *rng.normal(size=4)) for d in days for i in range(12)], columns=["dt", "asset", "x", "z", "y", "fwd"])
+    rows = spark.createDataFrame(frame)
+    f = backtest.folds(spark, 50, 30, 10)
+    got = {r.run: r for r in backtest.cross_sectional_backtest(rows, ["x", "z"], "y", f, 2.0, runs=2, mode="date", seed=3, periods=52).collect()}
+    maps = {0: frame.assign(source=frame.asset), **{k: frame.merge(backtest.null_permute(rows, 3, k, "date").toPandas(), on=["dt", "asset"]) for k in (1, 2)}}
+    own = frame.set_index(["dt", "asset"])
+    for run, m in maps.items():
+        m = m.sort_values(["dt", "asset"])
+        theirs = own.loc[list(zip(m.dt, m.source, strict=True))]
+        m = m.assign(y=theirs.y.to_numpy(), fwd=theirs.fwd.to_numpy())
+        ics, rets = [], []
+        for r in f.collect():
+            at = m.dt.map({d.date(): k for k, d in enumerate(days, 1)})
+            tr, te = m[(at >= r.train_start) & (at <= r.train_end)], m[(at >= r.test_start) & (at <= r.test_end)]
+            x = tr[["x", "z"]].to_numpy()
+            te = te.assign(score=te[["x", "z"]].to_numpy() @ np.linalg.solve(x.T @ x + 2 * np.eye(2), x.T @ tr.y))
+            for _, day in te.groupby("dt"):
+                ics.append(day.score.rank().corr(day.fwd.rank()))
+                day = day.sort_values("score")
+                rets.append(day.fwd.tail(2).mean() - day.fwd.head(2).mean())
+        assert abs(got[run].ic_mean - np.mean(ics)) < 1e-9 and got[run].n_dates == len(ics)
+        assert abs(got[run].sharpe - np.mean(rets) / np.std(rets, ddof=1) * 52**0.5) < 1e-9
+    p = backtest.null_p_values(spark.createDataFrame([(0, 0.2), (1, 0.1), (2, 0.2), (3, 0.3)], "run int, m double"), ["m"]).first()
+    assert (p.runs, p.p_m) == (3, 0.75)
+
+
+def test_expanding_median_and_numbers(spark):
+    rng = np.random.default_rng(17)
+    v = [None if i % 7 == 3 else float(x) for i, x in enumerate(rng.integers(0, 9, 60))]
+    p = panel(spark, {"a": v, "b": v[::-1]})
+    got = stats.expanding_median(p, "close", "med", least=3).orderBy("asset", "dt").collect()
+    for a, x in (("a", v), ("b", v[::-1])):
+        past = [[q for q in x[:i] if q is not None] for i in range(len(x))]
+        assert [r.med for r in got if r.asset == a] == [float(np.median(q)) if len(q) >= 3 else None for q in past]
+    n = align.numbered(p.filter("close is not null"), ["asset", "dt"], "seq").orderBy("asset", "dt").collect()
+    assert [r.seq for r in n] == list(range(1, len(n) + 1))
+
+
+def test_antiderivatives_and_condition(spark):
+    t = np.linspace(0, 1, 2001)
+    exact, psi = b.antiderivative(2, 4, t), b.basis(2, 4, t)
+    rough = np.concatenate([np.zeros((16, 1)), np.cumsum((psi[:, 1:] + psi[:, :-1]) / 2 * np.diff(t), axis=1)], axis=1)
+    assert abs(exact - rough).max() < 5e-3
+    d = features.feature_diagnostics(panel(spark, {"a": [1.0] * 30}), [13, 21]).orderBy("window").collect()
+    assert [(r.first_valid_row, r.edge_lookback) for r in d] == [(21, 13.0), (21, 21.0)] and all(r.operator_cond >= 1 for r in d)
+    assert features.feature_diagnostics(panel(spark, {"a": [1.0] * 20}), [21]).first().first_valid_row is None
+
+
 def test_drawdown_conventions(spark):
     r = panel(spark, {"a": [-0.5, 0.1, -0.2]}).withColumnRenamed("close", "ret")
     assert stats.drawdown(r, ["asset"]).first().max_drawdown == -0.56
@@ -299,6 +352,17 @@ def test_malformed_lines_are_errors(spark, tmp_path):
         stores.replay(spark, str(tmp_path), "seq int").collect()
 
 
+def test_decision_lines_are_numbered_and_checked(spark, tmp_path):
+    df = spark.createDataFrame([(2, None, True), (1, "a", False)], "seq int, note string, ok boolean")
+    stores.append_decisions(df, str(tmp_path / "log"))
+    line = json.loads(next(x for x in stores.decision_lines(df).collect() if '"seq":2' in x.value).value)
+    assert list(line) == sorted(line) and line["note"] is None and line["timestamp"].endswith("+00:00")
+    assert {(r.seq, r.note, r.ok) for r in stores.replay_decisions(spark, str(tmp_path / "log"), df.schema).collect()} == {(2, None, True), (1, "a", False)}
+    (tmp_path / "bad.jsonl").write_text('{"seq": 1}\n\n{"seq": \n')
+    with pytest.raises(Exception, match="malformed decision at .*bad.jsonl:3"):
+        stores.replay_decisions(spark, str(tmp_path / "bad.jsonl"), "seq int").collect()
+
+
 def test_stream_equals_batch(spark, tmp_path):
     got = stream.run_bars(spark, f"{SF}/events.parquet")
     batch = stream.bars(spark.read.parquet(f"{SF}/events.parquet"))
