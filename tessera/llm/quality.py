@@ -156,7 +156,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, buf, off in chunks(batch):
             x, m = _views(part, buf, off)
-            yield pa.record_batch([part.column("doc_id"), part.column("quality"), *(pa.array(list(v.astype(np.float32)), pa.list_(pa.float32())) for v in (x, m))], names=["doc_id", "quality", "x", "m"])
+            yield pa.record_batch([part.column("doc_id"), part.column("quality"), *(pa.array([r.tobytes() for r in v.astype("<f4")], pa.binary()) for v in (x, m))], names=["doc_id", "quality", "x", "m"])
 
 
 def _typed(docs: DataFrame, *extra: str) -> DataFrame:
@@ -167,7 +167,7 @@ def _typed(docs: DataFrame, *extra: str) -> DataFrame:
 
 def _collected(docs: DataFrame, few: DataFrame, most: int) -> list:
     """Features of the rows with the ids of `few`, at most `most` of them: the first by a hash of their id, ties by all that is read."""
-    rows = _typed(docs).join(F.broadcast(few), "doc_id").mapInArrow(_features, "doc_id long, quality long, x array<float>, m array<float>")
+    rows = _typed(docs).join(F.broadcast(few), "doc_id").mapInArrow(_features, "doc_id long, quality long, x binary, m binary")
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x", "m").limit(most).collect()
 
 
@@ -186,12 +186,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
         return None
     other = docs.filter("doc_id is not null").select("doc_id").join(labels, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
     got += _collected(docs, other.withColumn("quality", F.lit(-1).cast("long")), pool)
-    x, m = (np.array([r[i] for r in got], float) for i in (2, 3))
+    x, m = (np.frombuffer(b"".join(r[i] for r in got), "<f4").reshape(len(got), -1).astype(float) for i in (2, 3))
+    del got
     # every other row of a class calibrates, by the hash of the id, so that either class is on both sides
-    role = np.where(np.arange(len(got)) < len(y), 0, 1)
+    role = np.where(np.arange(len(x)) < len(y), 0, 1)
     for q in (0.0, 1.0):
         role[np.flatnonzero(y == q)[1::2]] = 2
-    y = np.append(y, np.full(len(got) - len(y), -1.0))
+    y = np.append(y, np.full(len(x) - len(y), -1.0))
     if len(set(y[role == 2])) < 2:
         own = np.flatnonzero(role != 1)
         role[own] = 0
