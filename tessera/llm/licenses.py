@@ -70,10 +70,11 @@ DIGESTS = [
     ("MPL-1.1", "312d60d6637eaa5485742576ef2bf899e0513899a4e98cc9a1a6c688423c3ca6"),
     ("MPL-2.0", "383594bdce0c728972216e9a2472728e1ce0ac4e0e983e80b237c67270d2ef1f"),
 ]
-#: Spellings that count as one, after punctuation is gone; (pattern, replacement).
+#: Spellings that count as one, after punctuation is gone; (spelling, replacement), one after the other.
 SPELLINGS = [
-    ("(licen|offen)ce", "$1se"), ("(organi|authori|recogni|reali|utili|initiali|emphasi)s([aei])", "$1z$2"), ("(judg|acknowledg)ement", "$1ment"), ("(fav|lab)our", "$1or"),
-    ("non (commercial|infring)", "non$1"), ("sub license", "sublicense"), ("wilful", "willful"), ("https", "http"),
+    ("licence", "license"), ("offence", "offense"), ("organis", "organiz"), ("authoris", "authoriz"), ("recognis", "recogniz"), ("realis", "realiz"), ("utilis", "utiliz"), ("initialis", "initializ"), ("emphasis", "emphasiz"),
+    ("judgement", "judgment"), ("acknowledgement", "acknowledgment"), ("favour", "favor"), ("labour", "labor"), ("non commercial", "noncommercial"), ("non infring", "noninfring"), ("sub license", "sublicense"),
+    ("wilful", "willful"), ("https", "http"),
 ]
 #: Lines of a copyright holder: a copyright mark with a sign, year or blank after it, or a reservation of rights.
 LINE = r"(^|\n)[^\n0-9A-Za-z]*([Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt][^\n0-9A-Za-z]*(\([Cc]\)|©|[0-9]|[<\[{])|\([Cc]\)|©|[Aa][Ll][Ll] [Rr][Ii][Gg][Hh][Tt][Ss] [Rr][Ee][Ss][Ee][Rr][Vv][Ee][Dd])[^\n]*"
@@ -83,8 +84,8 @@ def canonical(text: Column) -> Column:
     """Lines of copyright holders go; A-Z are lower-cased; all but letters and digits of ASCII become single spaces; then SPELLINGS."""
     c = F.regexp_replace(F.coalesce(text, F.lit("")), LINE, "\n")
     c = F.trim(F.regexp_replace(F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^0-9a-z]+", " "))
-    for pattern, to in SPELLINGS:
-        c = F.regexp_replace(c, pattern, to)
+    for spelling, to in SPELLINGS:
+        c = F.replace(c, F.lit(spelling), F.lit(to))
     return c
 
 

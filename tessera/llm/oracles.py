@@ -14,8 +14,8 @@ def _sql(text: str) -> str:
 def _canonical(text: str) -> str:
     c = f"regexp_replace(coalesce({text}, ''), {_sql(licenses.LINE)}, chr(10), 'g')"
     c = f"trim(regexp_replace(translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^0-9a-z]+', ' ', 'g'))"
-    for pattern, to in licenses.SPELLINGS:
-        c = f"regexp_replace({c}, {_sql(pattern)}, {_sql(to.replace('$', chr(92)))}, 'g')"
+    for spelling, to in licenses.SPELLINGS:
+        c = f"replace({c}, {_sql(spelling)}, {_sql(to)})"
     return c
 
 
