@@ -56,9 +56,9 @@ def zscore(x: Column, w, keep_null: bool = False) -> Column:
 
 def tied_rank(x: Column, by: Sequence[str]) -> Column:
     """1-based average rank of equal values among non-null ones."""
-    own = W.partitionBy(*by, x.isNull()).orderBy(x)
-    same = W.partitionBy(*by, x)
-    return F.when(x.isNotNull(), F.rank().over(own) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    own = W.partitionBy(*by).orderBy(x.asc_nulls_last())  # one sort gives both, and all ranks of a group share its shuffle
+    peers = own.rangeBetween(W.currentRow, W.currentRow)
+    return F.when(x.isNotNull(), F.rank().over(own) + (F.count(F.lit(1)).over(peers) - 1) / 2)
 
 
 def correlation(x: Column, y: Column) -> Column:
