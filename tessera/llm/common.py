@@ -132,6 +132,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def mark() -> int:
+    """How many scratch tables there are, for release()."""
+    return len(_written)
+
+
+def release(before: int) -> None:
+    """Deletes the scratch tables since mark() but the last, whose rows no longer need them."""
+    gone, _written[before:-1] = _written[before:-1], []
+    for spark, path in gone:
+        delete(spark, path)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:

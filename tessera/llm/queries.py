@@ -67,11 +67,7 @@ def secrets_by_versions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    import corpus_pipeline
-
-    out = {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_licenses, op4_warc, op5_substrings, op6_quality, op7_topk, op8_minhash, op9_tokens, op10_secrets, secrets_by_versions)}
-    return out | {"pipeline": corpus_pipeline.run}
-
+    return {f.__name__: f for f in (op1_decontaminate, op2_pack, op3_licenses, op4_warc, op5_substrings, op6_quality, op7_topk, op8_minhash, op9_tokens, op10_secrets, secrets_by_versions)}
 
 def oracle_sql() -> dict[str, str]:
     return {"op3_licenses": oracles.op3(), "op4_warc": oracles.OP4, "op5_substrings": oracles.OP5, "op7_topk": oracles.OP7, "op8_minhash": oracles.OP8, "op10_secrets": oracles.op10(), "secrets_by_versions": oracles.op10()}

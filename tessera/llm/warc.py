@@ -128,7 +128,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """(archive, records, bytes) of the archives written to a folder that executors share: a record for each page, its payload the html
     in UTF-8 (null: empty). Of pages with equal payloads that with the largest page_id is the response, all others are
     revisits that refer to it; a null page_id never is the response of pages that have one, and pages of equal payload and equal largest
-    id are responses alike. A null url is empty; the contents of revisits are not written."""
+    id are responses alike. A null url is empty; the contents of revisits are not written; a very long page is one record. No pages give no
+    archives; extra columns are ignored."""
     pages = pages.select("page_id", "url", "html")
     key = F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
     keep = pages.select(key.alias("key"), "page_id").groupBy("key").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).filter("n > 1").select("key", "largest")
@@ -140,6 +141,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to) of each record, as streamed from its archive: content length
-    and block digest are verified, a bad record ends the job with an error."""
+    and block digest are verified, a bad record ends the job with an error. Archives are read piece by piece, a record at a time in memory; null and
+    repeated ids are records of their own; no archives give no rows."""
     n = max(1, min(archives.count(), 10 * int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     return archives.select("archive").repartition(n).mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")

@@ -689,3 +689,29 @@ def test_stages_decide_by_row(spark):
     got = cp.clean(spark, docs, SF)
     assert got.columns == docs.columns
     assert sorted((r.doc_id or 0, r.text) for r in got.collect()) == sorted((i or 0, x) for i, x in rows if x != item)
+
+
+def test_stages_take_awkward_rows(spark, awkward, empty):
+    import corpus_pipeline as cp
+
+    for name, stage in cp.STAGES:
+        got, none = stage(spark, awkward, SF), stage(spark, empty, SF)
+        assert none.count() == 0, name
+        if name != "packing":
+            assert got.columns == awkward.columns and none.columns == empty.columns, name
+        rows = Counter(r.doc_id for r in got.collect())
+        assert rows[8] == {"quality classifier": rows[8], "near-duplicates": 1}.get(name, 2), name
+        if name in ("decontamination", "secrets"):
+            assert got.count() == awkward.count()
+        if name == "near-duplicates":
+            assert rows[None] == 2 and rows[5] + rows[6] == 1 and rows[8] + rows[9] == 1 and all(rows[i] for i in (1, 2, 3, 4, 7, 10, 11))
+    twice = awkward.withColumn("_row", F.lit(3))
+    assert cp.distinct(spark, twice, SF).columns == twice.columns
+
+
+def test_scratch_tables_are_released(spark):
+    import corpus_pipeline as cp
+
+    before = common.mark()
+    cp.run(spark, SF).count()
+    assert common.mark() - before <= 4
