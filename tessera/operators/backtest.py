@@ -44,24 +44,46 @@ def positions(rows: DataFrame, at: str = "dt", by: Sequence[str] = ()) -> DataFr
 
 
 def moments(rows: DataFrame, features: Sequence[str], target: str, at: str = "dt", by: Sequence[str] = ()) -> DataFrame:
-    """One row a date and group with n, sums and products (columns s_*, one partial aggregate): the Gram matrix of any run of dates is a sum of these."""
-    x = [F.col(f) for f in (*features, target)]
-    out = [F.count("*").alias("s_n")] + [F.sum(c).alias(f"s_{i}") for i, c in enumerate(x)]
-    out += [F.sum(x[i] * x[j]).alias(f"s_{i}_{j}") for i in range(len(x)) for j in range(i, len(x))]
-    return rows.groupBy(*by, at).agg(*out)
+    """(by..., dt, e, v): the upper triangle of the Gram matrix of 1, the features and the target on each date, element by element; that of any run of dates is a
+    sum of these. Each batch adds up its own rows first, in one product a batch, so that little is shuffled however many rows a date has.
+    Rows with a missing value are left out."""
+    names, keys = [*features, target], [*by, at]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    up = np.triu_indices(len(names) + 1)
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.dropna(subset=names)
+            if not len(frame):
+                continue
+            group = frame.groupby(keys, sort=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            first = np.append(0, np.flatnonzero(np.diff(group[order])) + 1)
+            z = np.column_stack([np.ones(len(frame)), frame[names].to_numpy(float)])[order]
+            out = frame.iloc[order[first]][keys].copy()
+            out["g"] = list(np.add.reduceat(z[:, up[0]] * z[:, up[1]], first, axis=0))
+            yield out
+
+    sums = rows.select(*keys, *names).mapInPandas(partial, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", g array<double>")
+    return sums.select(*keys, F.posexplode("g").alias("e", "v")).groupBy(*keys, "e").agg(F.sum("v").alias("v"))
 
 
 def fold_moments(rows: DataFrame, features: Sequence[str], target: str, fold_table: DataFrame, at: str = "dt", by: Sequence[str] = ()) -> DataFrame:
-    """The moments of each fold's training span, in each group: running sums over dates, taken at both ends, so all folds share one pass over the
-    rows."""
+    """The moments of each fold's training span, in each group, as columns s_n, s_i and s_i_j: running sums of each element over dates, taken at both
+    ends, so all folds share one pass over the rows."""
     m = moments(rows, features, target, at, by).join(positions(rows, at, by), [*by, at])
-    names = [c for c in m.columns if c.startswith("s_")]
-    w = W.partitionBy(*by).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    run = m.select(*by, "pos", *[F.sum(c).over(w).alias(c) for c in names])
-    hi = run.select(*by, F.col("pos").alias("train_end"), *[F.col(c).alias(f"h{c}") for c in names])
-    lo = run.select(*by, (F.col("pos") + 1).alias("train_start"), *[F.col(c).alias(f"l{c}") for c in names])
-    f = hi.join(fold_table, "train_end").join(lo, [*by, "train_start"], "left")
-    return f.select(*by, *fold_table.columns, *[(F.col(f"h{c}") - F.coalesce(f"l{c}", F.lit(0))).alias(c) for c in names])
+    w = W.partitionBy(*by, "e").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    run = m.select(*by, "e", "pos", F.sum("v").over(w).alias("v"))
+    hi = run.select(*by, "e", F.col("pos").alias("train_end"), F.col("v").alias("hi"))
+    lo = run.select(*by, "e", (F.col("pos") + 1).alias("train_start"), F.col("v").alias("lo"))
+    f = hi.join(fold_table, "train_end").join(lo, [*by, "e", "train_start"], "left")
+    keys = [*by, *fold_table.columns]
+    g = f.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("e", (F.col("hi") - F.coalesce("lo", F.lit(0.0))).alias("v")))).alias("g"))
+    p = len(features) + 1
+    place = {ij: k for k, ij in enumerate((i, j) for i in range(p + 1) for j in range(i, p + 1))}
+    v = lambda i, j: F.col("g")[place[i, j]]["v"]
+    pairs = [v(i + 1, j + 1).alias(f"s_{i}_{j}") for i in range(p) for j in range(i, p)]
+    return g.select(*keys, v(0, 0).cast("long").alias("s_n"), *[v(0, i + 1).alias(f"s_{i}") for i in range(p)], *pairs)
 
 
 def ridge_fits(rows: DataFrame, features: Sequence[str], target: str, fold_table: DataFrame, penalty: float, standardize: bool = True, intercept: bool = True, at: str = "dt", by: Sequence[str] = ()) -> DataFrame:
@@ -333,16 +355,14 @@ def cross_sectional_backtest(rows: DataFrame, features: Sequence[str], target: s
         real = real.unionByName(rows.select(at, by, *features).join(dealt, [at, by]).join(theirs, [at, "source"]).drop("source"))
     fits = ridge_fits(real, features, target, fold_table, penalty, standardize=False, intercept=False, at=at, by=["run"])
     scored = predict(real, features, fits, at, ["run"])
-    ranked = scored.select("run", at, fr.tied_rank(F.col("score"), ["run", at]).alias("a"), fr.tied_rank(F.col(fwd), ["run", at]).alias("b"))
-    ic = ranked.groupBy("run", at).agg(fr.correlation(F.col("a"), F.col("b")).alias("ic"))
-    book = scored.withColumn("_key", F.struct("run", at))
-    held = signals.long_short(book, quantile, "score", by, "_key")
-    ret = held.groupBy("run", at).agg(F.sum(F.col("weight") * F.coalesce(fwd, F.lit(0.0))).alias("ret"))
+    day = ["run", at]
+    ranked = scored.withColumns({"_a": fr.tied_rank(F.col("score"), day), "_b": fr.tied_rank(F.col(fwd), day)})
+    held = signals.long_short(ranked, quantile, "score", by, day)
     if cost_bps:
         w = W.partitionBy("run", by).orderBy(at)
-        change = held.withColumn("_c", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0)))).groupBy("run", at).agg(F.sum("_c").alias("_c"))
-        ret = ret.join(change, ["run", at]).withColumn("ret", F.col("ret") - cost_bps / 1e4 * F.col("_c"))
-    both = ic.join(ret, ["run", at])
+        held = held.withColumn("_c", F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(w), F.lit(0.0))))
+    cost = cost_bps / 1e4 * F.sum("_c") if cost_bps else F.lit(0.0)
+    both = held.groupBy(*day).agg(fr.correlation(F.col("_a"), F.col("_b")).alias("ic"), (F.sum(F.col("weight") * F.coalesce(fwd, F.lit(0.0))) - cost).alias("ret"))
     return both.groupBy("run").agg(F.count("*").alias("n_dates"), F.avg("ic").alias("ic_mean"), fr.ratio(F.avg("ic"), F.stddev_samp("ic")).alias("ic_ir"), fr.sharpe(F.col("ret"), periods).alias("sharpe"))
 
 

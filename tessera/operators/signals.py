@@ -79,17 +79,31 @@ def momentum(panel: DataFrame, lookback: int = 21, saturation: float = 2.0, thre
     return out.withColumn("momentum", F.when(F.col("_sum").isNotNull(), F.when(F.abs(x) < threshold, 0.0).otherwise(x))).drop("_sum")
 
 
-def long_short(scores: DataFrame, quantile: float = 0.2, score: str = "score", by: str = "asset", at: str = "dt") -> DataFrame:
+def long_short(scores: DataFrame, quantile: float = 0.2, score: str = "score", by: str = "asset", at: str | list[str] = "dt") -> DataFrame:
     """weight: +-1/n for the best and worst n = max(1, floor(quantile * count)) of a date, 0 between; ties by name."""
     if not 0 < quantile < 0.5:
         raise ValueError("quantile must lie between 0 and 0.5")
+    day = [at] if isinstance(at, str) else at
     live = scores.filter(F.col(score).isNotNull())
-    order = W.partitionBy(at).orderBy(F.desc(score), by)
-    live = live.withColumns({"_k": F.row_number().over(order), "_n": F.count("*").over(fr.group(at))})
+    order = W.partitionBy(*day).orderBy(F.desc(score), by)
+    live = live.withColumns({"_k": F.row_number().over(order), "_n": F.count("*").over(W.partitionBy(*day))})
     nq = F.greatest(F.lit(1), F.floor(F.lit(quantile) * F.col("_n") + 1e-12))
     return live.withColumn("weight", F.when(F.col("_k") <= nq, 1 / nq).when(F.col("_k") > F.col("_n") - nq, -1 / nq).otherwise(0.0)).drop("_k", "_n")
 
 
+def rank_features(rows: DataFrame, columns: list[str], at: str = "dt") -> DataFrame:
+    """The columns as average ranks by date, centred and scaled: (rank - 0.5) / n - 0.5, missing ones staying so. Many columns of a date are ranked in one
+    pass over its cross-section instead of a sort each."""
+    import pandas as pd
+
+    kinds = ", ".join(f"{f.name} {'double' if f.name in columns else f.dataType.simpleString()}" for f in rows.schema)
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(**((frame[columns].rank() - 0.5) / len(frame) - 0.5))
+
+    return rows.groupBy(at).applyInPandas(one, kinds)
+
+
 def first_last(scores: DataFrame, n: int, score: str, by: str, at: str) -> DataFrame:
     """weight: +-1/n for the n highest and lowest scores of a date."""
     up, down = W.partitionBy(at).orderBy(F.desc(score), by), W.partitionBy(at).orderBy(score, F.desc(by))

@@ -238,6 +238,17 @@ def test_ridge_by_moments_equals_the_direct_fit(spark):
     assert all(r.train_end - r.train_start == 24 for r in rolling)
 
 
+def test_ranks_of_many_columns_equal_the_windows(spark):
+    rng = np.random.default_rng(18)
+    rows = [(f"d{i % 3}", f"a{i}", None if i % 11 == 4 else float(rng.integers(0, 6)), float(rng.normal())) for i in range(60)]
+    df = spark.createDataFrame(rows, "dt string, asset string, x double, z double")
+    n = F.count("*").over(fr.group())
+    want = df.withColumns({c: (fr.tied_rank(F.col(c), ["dt"]) - 0.5) / n - 0.5 for c in ("x", "z")})
+    got = {r.asset: r for r in signals.rank_features(df, ["x", "z"]).collect()}
+    for r in want.collect():
+        assert (got[r.asset].x is None) == (r.x is None) and abs((got[r.asset].x or 0) - (r.x or 0)) < 1e-12 and abs(got[r.asset].z - r.z) < 1e-12
+
+
 def test_logistic_reaches_a_stationary_point():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 3))
