@@ -23,6 +23,8 @@ HELD = 1 << 15
 LEAST, MOST = 8, 10
 #: Cells of items by bins that are counted without sorting.
 DENSE = 1 << 23
+#: Bytes whose pieces are looked up at a time.
+SLICE = 1 << 16
 #: Bytes of items in one index: more items make more passes.
 BLOCK = 16 << 20
 
@@ -128,6 +130,8 @@ class Pieces:
         self.ahead = int(self.at.max())
         self.low = int(self.ahead // n).bit_length()
         self.floor = int(self.least.min())
+        #: Bytes from a run's bin to the end of its last piece, at most.
+        self.reach = self.ahead + n + 2 * int(self.most.max()) + (2 << int(self.shift.max()))
 
     @staticmethod
     def _slot(code: np.ndarray) -> np.ndarray:
@@ -220,12 +224,15 @@ class Index:
     def regions(self, words: Words) -> list[tuple[int, int, int, int, int]]:
         """(text, item, from, to, last): all bytes of a text that can hold the item, which begins there at from .. last; those that overlap are
         one region. A run begins within the edits of where its unbroken pieces say."""
-        found, code = [], None
-        for pieces in self.pieces:
-            code = pieces.n, packed(words.bytes, pieces.n, code)
-            item, low = pieces.places(code[1], len(words.bytes))
-            e, width = pieces.most[item], 1 << pieces.shift[item]
-            found.append((pieces.ids[item], low - e, low + 2 * width + e, e))
+        found, both = [], max((p.reach for p in self.pieces), default=0)
+        step = max(SLICE, 16 * both)
+        for k in range(0, len(words.bytes), step):  # slices that fit the processor's cache, with what a run at their end needs
+            part, code = words.bytes[k : k + step + both], None
+            for pieces in self.pieces:
+                code = pieces.n, packed(part, pieces.n, code)
+                item, low = pieces.places(code[1], len(part))
+                e, width = pieces.most[item], 1 << pieces.shift[item]
+                found.append((pieces.ids[item], low + k - e, low + k + 2 * width + e, e))
         if not found or not words.n_docs:
             return []
         item, low, high, e = (np.concatenate(c) for c in zip(*found, strict=True))
