@@ -209,24 +209,28 @@ def cs_target(panel: DataFrame, fwd: str = "fwd", at: str = "dt") -> Column:
     return F.when(sd >= EPS, (F.col(fwd) - F.avg(fwd).over(w)) / sd)
 
 
-def hold_between(weights: DataFrame, every: int, by: str = "asset", at: str = "dt", w: str = "weight") -> DataFrame:
-    """Weights of every `every`th date, held until the next one: each date is mapped to its rebalance date and joined on that."""
-    d = weights.select(at).distinct().withColumn("_j", F.row_number().over(W.orderBy(at)) - 1)
-    first = d.select(F.col("_j").alias("_r"), F.col(at).alias("_from"))
-    plan = d.withColumn("_r", F.col("_j") - F.col("_j") % every).join(first, "_r").select(at, "_from")
-    return plan.join(weights.select(F.col(at).alias("_from"), by, w), "_from").select(at, by, w)
-
-
-def long_short_returns(weights: DataFrame, fwd: DataFrame, cost_bps: float = 0.0, by: str = "asset", at: str = "dt") -> DataFrame:
-    """(dt, gross, turnover, net): a missing forward return contributes 0. Weights of an asset that leaves count as sold."""
-    w = weights.select(at, by, "weight")
-    dates = w.select(at).distinct().withColumn("_pos", F.row_number().over(W.orderBy(at)))
-    w = w.join(dates, at)
-    prev = w.select((F.col("_pos") + 1).alias("_pos"), by, F.col("weight").alias("_before"))
-    both = w.select("_pos", by, "weight").join(prev, ["_pos", by], "full").join(dates, "_pos")
+def hold_between(weights: DataFrame, every: int | Sequence[int], by: str = "asset", at: str = "dt", w: str = "weight", keys: Sequence[str] = ()) -> DataFrame:
+    """Weights of every `every`th date, held until the next one: each date is mapped to its rebalance date and joined on that. keys name books of their
+    own; several intervals make as many books, told by a column `every`."""
+    d = weights.select(*keys, at).distinct().withColumn("_j", F.row_number().over(W.partitionBy(*keys).orderBy(at)) - 1)
+    first = d.select(*keys, F.col("_j").alias("_r"), F.col(at).alias("_from"))
+    many = not isinstance(every, int)
+    d = d.withColumn("every", F.explode(F.lit(list(every))) if many else F.lit(every))
+    plan = d.withColumn("_r", F.col("_j") - F.col("_j") % F.col("every")).join(first, [*keys, "_r"]).select(*keys, *["every"] * many, at, "_from")
+    return plan.join(weights.select(*keys, F.col(at).alias("_from"), by, w), [*keys, "_from"]).select(*keys, *["every"] * many, at, by, w)
+
+
+def long_short_returns(weights: DataFrame, fwd: DataFrame, cost_bps: float = 0.0, by: str = "asset", at: str = "dt", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys..., dt, gross, turnover, net): a missing forward return contributes 0. Weights of an asset that leaves count as sold. keys name books of their
+    own."""
+    w = weights.select(*keys, at, by, "weight")
+    dates = w.select(*keys, at).distinct().withColumn("_pos", F.row_number().over(W.partitionBy(*keys).orderBy(at)))
+    w = w.join(dates, [*keys, at])
+    prev = w.select(*keys, (F.col("_pos") + 1).alias("_pos"), by, F.col("weight").alias("_before"))
+    both = w.select(*keys, "_pos", by, "weight").join(prev, [*keys, "_pos", by], "full").join(dates, [*keys, "_pos"])
     both = both.join(fwd.select(at, by, "fwd"), [at, by], "left")
     x, b = F.coalesce("weight", F.lit(0.0)), F.coalesce("_before", F.lit(0.0))
-    out = both.groupBy(at).agg(F.sum(x * F.coalesce("fwd", F.lit(0.0))).alias("gross"), F.sum(F.abs(x - b)).alias("turnover"))
+    out = both.groupBy(*keys, at).agg(F.sum(x * F.coalesce("fwd", F.lit(0.0))).alias("gross"), F.sum(F.abs(x - b)).alias("turnover"))
     return out.withColumn("net", F.col("gross") - cost_bps / 1e4 * F.col("turnover"))
 
 

@@ -240,10 +240,12 @@ def _(spark, sf):
 
 
 def _grid(spark, sf):
+    panel = stores.settle(_fwd(spark, sf))  # every configuration reads it
+
     def run(c):
-        m = sig.momentum(returns(spark, sf), c["window"]).withColumn("score", F.col("momentum"))
+        m = sig.momentum(panel, c["window"]).withColumn("score", F.col("momentum"))
         w = bt.hold_between(sig.long_short(m), c["every"])
-        return bt.long_short_returns(w, _fwd(spark, sf), 2.0).select("dt", F.col("net").alias("ret"))
+        return bt.long_short_returns(w, panel, 2.0).select("dt", F.col("net").alias("ret"))
 
     return bt.run_grid([{"window": w, "every": e} for w in (4, 13) for e in (1, 4)], run, ["window", "every"], 52)
 

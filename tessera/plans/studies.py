@@ -162,12 +162,16 @@ def _(spark, sf):
 
 
 def _grid(spark, sf):
-    def run(c):
-        m = sig.momentum(returns(spark, sf), c["window"], threshold=c["threshold"]).withColumn("score", F.col("momentum"))
-        held = sig.long_short(m).withColumn("weight", F.when(F.col("score") == 0, 0.0).otherwise(F.col("weight")))
-        return bt.long_short_returns(bt.hold_between(held, c["every"]), _fwd(spark, sf), 2.0).select("dt", F.col("net").alias("ret"))
-
-    return bt.run_grid([{"window": w, "threshold": t, "every": e} for w in (4, 13) for t in (0.0, 0.5) for e in (1, 21)], run, ["window", "threshold", "every"], 52)
+    """All configurations in one pass: they are keys of the same windows, joins and aggregates."""
+    panel = stores.settle(_fwd(spark, sf))
+    by_window = [sig.momentum(panel, w).select("dt", "asset", F.lit(w).alias("window"), "momentum") for w in (4, 13)]
+    scored = by_window[0].unionByName(by_window[1]).withColumn("threshold", F.explode(F.lit([0.0, 0.5])))
+    scored = scored.withColumn("score", F.when(F.abs("momentum") < F.col("threshold"), 0.0).otherwise(F.col("momentum")))
+    held = sig.long_short(scored, at=["window", "threshold", "dt"]).withColumn("weight", F.when(F.col("score") == 0, 0.0).otherwise(F.col("weight")))
+    book = bt.hold_between(held, [1, 21], keys=["window", "threshold"])
+    keys = ["window", "threshold", "every"]
+    ret = bt.long_short_returns(book, panel, 2.0, keys=keys).select(*keys, "dt", F.col("net").alias("ret"))
+    return stats.performance(ret, keys, periods=52)
 
 
 def _summed(w: int) -> str:
