@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, Words, chunks, mix
+from tessera.llm.common import LOWER, Words, chunks, flat, mix
 
 #: Labelled rows that training reads at most, and unlabelled ones: the first by a hash of their id. Half of the labelled rows of either class
 #: are seeds, half calibrate; the unlabelled ones are the pool from which the views label texts for one another.
@@ -92,8 +93,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, standard: bool = True) -> View:
-    mean, scale = (x.mean(0), np.maximum(x.std(0), 1e-6)) if standard else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
-    a = np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
+    a = np.ones((len(x), x.shape[1] + 1))
+    f = a[:, :-1]
+    f[:] = x
+    mean, scale = (f.mean(0), np.maximum(f.std(0), 1e-6)) if standard else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
+    f -= mean
+    f /= scale
+    np.clip(f, -8, 8, out=f)
     w, hold = np.zeros(a.shape[1]), np.append(np.full(a.shape[1] - 1, ridge), 1e-3)
     for _ in range(30):
         p = sigmoid(a @ w)
@@ -165,10 +171,35 @@ def _typed(docs: DataFrame, *extra: str) -> DataFrame:
     return docs.select("doc_id", *[(F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()], *extra)
 
 
-def _collected(docs: DataFrame, few: DataFrame, most: int) -> list:
+def _sampled(docs: DataFrame, few: DataFrame, most: int) -> DataFrame:
     """Features of the rows with the ids of `few`, at most `most` of them: the first by a hash of their id, ties by all that is read."""
     rows = _typed(docs).join(F.broadcast(few), "doc_id").mapInArrow(_features, "doc_id long, quality long, x binary, m binary")
-    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x", "m").limit(most).collect()
+    return rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x", "m").limit(most)
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model as bytes, from the labelled rows and then those without (quality -1), all in one task; no row where no text or only one class is labelled."""
+    parts: list[list[np.ndarray]] = [[], [], []]
+    for batch in batches:
+        for have, c in zip(parts, ("x", "m"), strict=False):
+            have.append(np.frombuffer(flat(batch.column(c))[0].tobytes(), "<f4").reshape(batch.num_rows, -1))
+        parts[2].append(batch.column("quality").to_numpy().astype(float))
+    if not sum(map(len, parts[2])):
+        return
+    x, m, y = (np.concatenate([v for v in have if len(v)]) for have in parts)
+    del parts
+    labelled = int((y >= 0).sum())
+    if len(set(y[:labelled])) < 2:
+        return
+    # every other row of a class calibrates, by the hash of the id, so that either class is on both sides
+    role = np.where(np.arange(len(x)) < labelled, 0, 1)
+    for q in (0.0, 1.0):
+        role[np.flatnonzero(y == q)[1::2]] = 2
+    if len(set(y[role == 2])) < 2:
+        own = np.flatnonzero(role != 1)
+        role[own] = 0
+        x, m, y, role = np.vstack([x, x[own]]), np.vstack([m, m[own]]), np.append(y, y[own]), np.append(role, np.full(len(own), 2))
+    yield pa.record_batch([pa.array([pickle.dumps(co_train(x, m, y, role))], pa.binary())], names=["model"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int = POOL) -> Model | None:
@@ -176,28 +207,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pool: int =
     id or another quality than 0 and 1 are left out; a document with labels of both is labelled twice; repeated ids are rows of their
     own. Null texts are empty, null or missing languages, sources and lengths have values of their own.
 
-    With a single row of a class there is none to calibrate by: then all rows are seeds and calibrate too."""
+    With a single row of a class there is none to calibrate by: then all rows are seeds and calibrate too.
+
+    A task of an executor holds the features and trains; the driver gets the model alone, about 12 kB."""
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("long").alias("quality")).filter("doc_id is not null")
     rows = labels.filter("quality in (0, 1)").distinct()
     docs = _typed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    got = _collected(docs, rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample), sample)
-    y = np.array([r[1] for r in got], float)
-    if len(set(y)) < 2:
-        return None
+    labelled = _sampled(docs, rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample), sample)
     other = docs.filter("doc_id is not null").select("doc_id").join(labels, "doc_id", "left_anti").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(pool)
-    got += _collected(docs, other.withColumn("quality", F.lit(-1).cast("long")), pool)
-    x, m = (np.frombuffer(b"".join(r[i] for r in got), "<f4").reshape(len(got), -1).astype(float) for i in (2, 3))
-    del got
-    # every other row of a class calibrates, by the hash of the id, so that either class is on both sides
-    role = np.where(np.arange(len(x)) < len(y), 0, 1)
-    for q in (0.0, 1.0):
-        role[np.flatnonzero(y == q)[1::2]] = 2
-    y = np.append(y, np.full(len(x) - len(y), -1.0))
-    if len(set(y[role == 2])) < 2:
-        own = np.flatnonzero(role != 1)
-        role[own] = 0
-        x, m, y, role = np.vstack([x, x[own]]), np.vstack([m, m[own]]), np.append(y, y[own]), np.append(role, np.full(len(own), 2))
-    return co_train(x, m, y, role)
+    both = labelled.unionByName(_sampled(docs, other.withColumn("quality", F.lit(-1).cast("long")), pool)).coalesce(1)
+    got = both.sortWithinPartitions(F.col("quality") < 0, F.xxhash64("doc_id"), "doc_id", "quality", "x", "m").mapInArrow(_trained, "model binary").collect()
+    return pickle.loads(got[0][0]) if got else None  # noqa: S301
 
 
 def _apply(model: Model | None, threshold: float, filter_: bool):

@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -495,6 +496,18 @@ def test_training_rows_do_not_vary(spark):
     assert np.array_equal(a.combined.weights, b.combined.weights) and np.array_equal(a.views[0].weights, b.views[0].weights)
 
 
+def test_the_driver_holds_no_features_of_training_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    tracemalloc.start()
+    try:
+        model = quality.train(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    width = len(model.views[0].mean) + len(model.views[1].mean)
+    assert peak < docs.count() * width * 4 / 2, peak  # half of the features, as bytes
+
+
 def test_quality_needs_two_classes(spark, awkward, empty):
     labels = spark.createDataFrame([(4, 1, 0), (4, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.train(awkward, labels) is None
